@@ -97,7 +97,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
 def _flight(seed: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "size"], kind="stable", na_position="first")
+        rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")  # the last ones, still open, are small
         rng = np.random.default_rng([seed, *(int(x) for x in key)])
         rows["p"] = cube_flight(rows["size"].to_numpy(), rows["p"].to_numpy(), rng, land=bool(rows["blocks"].iloc[0] == 1))
         return rows
