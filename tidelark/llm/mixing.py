@@ -6,7 +6,10 @@ cube method: the vector of probabilities walks in the null space of the balancin
 (words and documents of the source), so both totals stay as they are, until all but a few
 documents are decided. Blocks of documents walk independently; what each leaves open (two
 documents at most) walks again in blocks of the next level, until one block of each source
-is left, whose last documents land as near to the target words as they can.
+is left, whose last documents land as near to the target words as they can. A document of more
+than a hundredth of its source cannot be balanced by others; these (fewer than 100 of a
+source) land first, largest first, each taken if that brings the running total nearer, and
+the words that they leave over or short move the probabilities of all others alike.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql.window import Window
 
 from tidelark.llm._common import stored, word_count
 
-BLOCK, FEW_SOURCES = 4096, 10_000
+BLOCK, FEW_SOURCES, LARGE = 4096, 10_000, 100
 _EPS = 1e-9
 
 
@@ -69,6 +72,16 @@ def cube_flight(sizes: np.ndarray, probs: np.ndarray, rng: np.random.Generator,
     return np.array(p)
 
 
+def _land_large(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
+    due, taken = 0.0, []
+    for s, p in zip(rows["size"], rows["p"], strict=True):
+        due += p * s
+        taken.append(float(due >= s / 2))
+        due -= taken[-1] * s
+    return rows.assign(p=taken, due=due)
+
+
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Targets of sources; sizes: source, source_size. Adds _rank (by code point, null last) and target.
 
@@ -120,14 +133,24 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     few = totals.count() <= FEW_SOURCES
     if few:
         totals = F.broadcast(totals)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    r = F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate)
     rows = base.join(totals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rows = rows.withColumns({"sure": F.floor(r).cast("int"), "p": r - F.floor(r)})
     keep = ["doc_id", "source", "size", "source_size", "target", "_rank", "sure", "p"]
-    rows = rows.select(*keep).withColumn("p", F.when(F.col("size") > 0, F.col("p")).otherwise(0.0))
+
+    def rated(df: DataFrame, shift: F.Column) -> DataFrame:
+        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate + shift))
+        rate = F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate)
+        r = F.when(F.col("size") > 0, rate).otherwise(0.0)
+        return df.withColumns({"sure": F.floor(r).cast("int"), "p": r - F.floor(r)})
+
+    large = F.col("size") * LARGE > F.col("source_size")
+    first = rated(rows.where(large), F.lit(0.0)).select(*keep)
+    landed = stored(first.groupBy("_rank").applyInPandas(_land_large, T.StructType([*first.schema.fields, T.StructField("due", T.DoubleType())])), "mix-large")
+    due = landed.groupBy("_rank").agg((F.max("due") / F.greatest(F.max("source_size") - F.sum("size"), F.lit(1))).alias("_shift"))
+    small = rows.where(~large).join(F.broadcast(due) if few else due, "_rank", "left")
+    rows = rated(small, F.coalesce("_shift", F.lit(0.0))).select(*keep)
     schema = T.StructType([*rows.schema.fields, T.StructField("blocks", T.LongType()), T.StructField("_block", T.LongType())])
-    done, level, open_ = [rows.where("p <= 0")], 0, rows.where("p > 0")
+    done, level, open_ = [landed.select(*keep), rows.where("p <= 0")], 0, rows.where("p > 0")
     while True:
         counts = open_.groupBy("_rank").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
         most_blocks = counts.agg(F.max("blocks")).first()[0]
