@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidelark.llm.mixing import mix_sources
 from tidelark.llm.packing import pack_documents
 from tidelark.llm.sharding import shard_documents
+from tidelark.llm.simhash import near_duplicates
 from tidelark.llm.token_output import read_token_files, write_token_files
 
 
@@ -41,6 +42,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "source")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(_documents(spark, sf_dir), shingle=3, radius=3)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
