@@ -4,7 +4,7 @@ A byte-level or word-end pre-tokenizer never joins what stands on both sides of
 between two non-space characters, nor a letter and the punctuation after it. Such pieces
 (with the space in front) therefore encode alone to the same ids as within the text; a text
 that may hold a special token is encoded whole. Each different piece is encoded once in a
-worker; when the memory has ``KEPT`` of them it starts anew. Pieces that are one word of
+worker; when the memory has ``KEPT`` of them, those that came most often stay. Pieces that are one word of
 Latin letters go straight to the tokenizer's model, as its pre-tokenizer leaves them whole.
 """
 
@@ -14,11 +14,13 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
 
-KEPT = 800_000
+KEPT = 450_000
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[^\W_])(?=[!-/:-@\[-^`{-~])")
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _HELD: dict[str, Encoder] = {}
@@ -56,6 +58,20 @@ class Encoder:
         self.place = _Places()
         self.ids = np.zeros(0, np.uint32)
         self.ends = np.zeros(1, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the half of the pieces that came most often, each twice at least."""
+        often = np.flatnonzero(self.uses >= 2)
+        often = often[np.argsort(-self.uses[often], kind="stable")][: KEPT // 2]
+        often.sort()
+        keys = list(self.place)
+        start, n = self.ends[often], np.diff(self.ends)[often]
+        stop = np.cumsum(n)
+        self.ids = self.ids[np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        self.ends = np.concatenate([[0], stop])
+        self.uses = self.uses[often] // 2
+        self.place = _Places((keys[i], j) for j, i in enumerate(often.tolist()))
 
     def _word(self, piece: str) -> list[int]:
         if self.lower:
@@ -79,7 +95,7 @@ class Encoder:
     def encode(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit integers."""
         if len(self.place) > KEPT:
-            self.forget()
+            self._shrink()
         place, old = self.place, len(self.place)
         at = []
         for text in batch:
@@ -87,6 +103,7 @@ class Encoder:
             at.append(np.fromiter(map(place.__getitem__, keys), np.int64, len(keys)))
         if grown := len(place) - old:
             self._learn(list(islice(reversed(place), grown))[::-1])
+        self.uses = np.pad(self.uses, (0, grown)) + np.bincount(np.concatenate(at), minlength=len(place)) if at else self.uses
         out = []
         for p in at:
             start, n = self.ends[p], self.ends[p + 1] - self.ends[p]
@@ -101,13 +118,18 @@ def encoder(path: str) -> Encoder:
     return _HELD[path]
 
 
-def slices(strings: list[str], most: int = 4 << 20) -> list[list[str]]:
-    """Runs of texts of some ``most`` characters, so that a batch of long texts stays small."""
-    out, size = [[]], 0
-    for s in strings:
-        if size > most:
-            out.append([])
-            size = 0
-        out[-1].append(s)
-        size += len(s)
-    return out
+def slices(ids: pa.Array, texts: pa.Array, most: int = 1 << 20, step: int = 256) -> Iterator[tuple[list[int], list[str]]]:
+    """Runs of ids and texts, of some ``most`` characters each, so that a batch of long texts stays small."""
+    held: tuple[list[int], list[str]] = ([], [])
+    size = 0
+    for i in range(0, len(ids), step):
+        for d, t in zip(ids[i : i + step].to_pylist(), texts[i : i + step], strict=True):
+            text = t.as_py()
+            held[0].append(d)
+            held[1].append(text)
+            size += len(text)
+            if size > most:
+                yield held
+                held, size = ([], []), 0
+    if held[0]:
+        yield held

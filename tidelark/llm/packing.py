@@ -76,10 +76,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, seen = task_id(), Counter()
         for b in batches:
-            ids_of, at = b.column(0).to_pylist(), 0
-            for some in slices(b.column(1).to_pylist()):
+            for own, some in slices(b.column(0), b.column(1)):
                 rows: list[tuple] = []
-                for doc_id, ids in zip(ids_of[at:], encoder(tokenizer).encode(some), strict=False):
+                for doc_id, ids in zip(own, encoder(tokenizer).encode(some), strict=True):
                     raw = np.append(ids, np.uint32(end_id)).astype("<u4").tobytes()
                     start, total = 0, len(raw) // 4
                     for n in cut_lengths(total, capacity, short, waste):
@@ -87,7 +86,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
                         rows.append((doc_id, start, n, zlib.crc32(raw[4 * start : 4 * (start + n)]), total, k, pid, seen[k]))
                         seen[k] += 1
                         start += n
-                at += len(some)
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=[x.split()[0] for x in _PIECES.split(", ")])

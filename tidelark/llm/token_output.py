@@ -119,11 +119,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str | None = None, e
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, writer, uri = task_id(), None, ""
         for b in batches:
-            ids_of = b.column(0).to_pylist()
-            at = 0
-            for some in slices(b.column(1).to_pylist()):
-                if not some:
-                    continue
+            for own, some in slices(b.column(0), b.column(1)):
                 first, n = [], []
                 for ids in encoder(tokenizer).encode(some):
                     if writer is None:
@@ -132,8 +128,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str | None = None, e
                     first.append(writer.n)
                     writer.append(np.append(ids, np.uint32(end_id)))
                     n.append(len(ids) + 1)
-                own = ids_of[at : at + len(some)]
-                at += len(some)
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(n)), pa.array([pid] * len(n), pa.int64()), pa.array(own, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["file", "shard", "doc_id", "first", "n_tokens"])
         if writer:
             writer.close()
