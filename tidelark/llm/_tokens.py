@@ -10,7 +10,6 @@ Latin letters go straight to the tokenizer's model, as its pre-tokenizer leaves
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import unicodedata
@@ -20,7 +19,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
-KEPT = 450_000
+KEPT, AT_ONCE = 300_000, 8_192
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[^\W_])(?=[!-/:-@\[-^`{-~])")
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _HELD: dict[str, Encoder] = {}
@@ -45,9 +44,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        told = json.loads(self.tokenizer.to_str())
-        self.lower = "Lowercase" in json.dumps(told["normalizer"])
-        self.ends_words = bool(told["model"].get("end_of_word_suffix"))
+        self.lower = "Lowercase" in str(self.tokenizer.normalizer)
+        self.ends_words = bool(self.tokenizer.model.end_of_word_suffix)
         self.letters = _byte_letters()
         self.forget()
         tries = ["the", " the", " Thereof", " été", " Übergröße", " don", "s", " s", " ll", "naïve", " ÀÉÎõü", " x"]
@@ -85,8 +83,10 @@ class Encoder:
     def _learn(self, new: list[str]) -> None:
         got: list[list[int] | None] = [self._word(k) if self.direct and _PLAIN(k) else None for k in new]
         rest = [i for i, ids in enumerate(got) if ids is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False), strict=True):
-            got[i] = e.ids
+        for at in range(0, len(rest), AT_ONCE):
+            some = rest[at : at + AT_ONCE]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False), strict=True):
+                got[i] = e.ids
         n = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum()))
         self.ids = np.concatenate([self.ids, flat])
@@ -118,7 +118,7 @@ def encoder(path: str) -> Encoder:
     return _HELD[path]
 
 
-def slices(ids: pa.Array, texts: pa.Array, most: int = 1 << 20, step: int = 256) -> Iterator[tuple[list[int], list[str]]]:
+def slices(ids: pa.Array, texts: pa.Array, most: int = 1 << 19, step: int = 256) -> Iterator[tuple[list[int], list[str]]]:
     """Runs of ids and texts, of some ``most`` characters each, so that a batch of long texts stays small."""
     held: tuple[list[int], list[str]] = ([], [])
     size = 0
