@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelark.llm.mixing import mix_sources
 from tidelark.llm.packing import pack_documents
+from tidelark.llm.quality import judge
 from tidelark.llm.sharding import shard_documents
 from tidelark.llm.simhash import near_duplicates
 from tidelark.llm.token_output import read_token_files, write_token_files
@@ -37,6 +38,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_documents(spark, sf_dir), (1, 2, 3), 3)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "source")
