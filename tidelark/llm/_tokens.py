@@ -19,7 +19,7 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 
-KEPT, AT_ONCE = 300_000, 8_192
+KEPT, AT_ONCE = 600_000, 8_192
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[^\W_])(?=[!-/:-@\[-^`{-~])")
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _HELD: dict[str, Encoder] = {}
