@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidelark.llm.mixing import mix_sources
 from tidelark.llm.packing import pack_documents
+from tidelark.llm.pii import KINDS, find_personal_data, span_text
 from tidelark.llm.quality import judge
 from tidelark.llm.sharding import shard_documents
 from tidelark.llm.simhash import near_duplicates
@@ -94,6 +95,12 @@ def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_pages(media, ["doc_id", "n_bytes", "media_bytes", "media_sha256"]).mapInArrow(_page_digests, _DIGEST)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(_documents(spark, sf_dir))
+    counts = [F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    return out.select("doc_id", *counts, F.sha2(span_text("base").cast("binary"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_documents(spark, sf_dir), shingle=3, radius=3)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
