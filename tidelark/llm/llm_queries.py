@@ -45,7 +45,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(_documents(spark, sf_dir))
+    return judge(_documents(spark, sf_dir)).drop("text_hash")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,9 +46,9 @@ def _covered(places: str, n: int) -> Column:
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the counts of the rules and the two histograms (arrays of counts) of every text."""
-    text = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    t = text.select("doc_id", "lang", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
+    """doc_id, text_hash, lang, the counts of the rules and the two histograms (arrays of counts) of every text."""
+    text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", F.coalesce("text", F.lit("")).alias("text"))
+    t = text.select("doc_id", "text_hash", "lang", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
     t = t.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     n = F.size("words")
     windows = F.when(n >= 8, F.transform(F.sequence(F.lit(0), n - 8), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(8))))).otherwise(F.array().cast("array<bigint>"))
@@ -56,6 +56,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     t = t.select(
         "doc_id",
+        "text_hash",
         "lang",
         "text",
         n.cast("long").alias("n_words"),
@@ -75,6 +76,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     counted = F.transform(F.array(*(F.lit(f" {w} ") for w in WORDS)), lambda w: ((F.length("common") - F.length(F.replace("common", w, F.lit("")))) / F.length(w)).cast("double"))
     t = t.select(
         "doc_id",
+        "text_hash",
         "lang",
         "n_words",
         "word_chars",
@@ -121,7 +123,7 @@ def judge(docs: DataFrame, far_chars: float = FAR_CHARS, far_words: float = FAR_
     not measured, nor is any where no language has a reference; these pass. Repeated rows
     are judged one by one, and an empty table gives an empty result.
 
-    Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    Returns doc_id, text_hash (to find the row again), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     chars_distance and words_distance (null where not measured), kept.
     """
     counts = stored(text_counts(docs), "quality-counts")
@@ -137,4 +139,4 @@ def judge(docs: DataFrame, far_chars: float = FAR_CHARS, far_words: float = FAR_
         t = t.withColumns({"chars_distance": F.lit(None).cast("double"), "words_distance": F.lit(None).cast("double")})
     t = t.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     far = F.coalesce((F.col("chars_distance") > far_chars) | (F.col("words_distance") > far_words), F.lit(False))
-    return t.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", (~F.col("base_failed") & ~far).alias("kept"))
+    return t.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", (~F.col("base_failed") & ~far).alias("kept"))
