@@ -14,7 +14,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +88,7 @@ class Encoder:
             for i, e in zip(some, self.tokenizer.encode_batch_fast([new[i] for i in some], add_special_tokens=False), strict=True):
                 got[i] = e.ids
         n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum()))
+        flat = np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
         self.ids = np.concatenate([self.ids, flat])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(n)])
 
