@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelark.llm.lm import score_documents
 from tidelark.llm.mixing import mix_sources
 from tidelark.llm.packing import pack_documents
 from tidelark.llm.pii import KINDS, find_personal_data, span_text
@@ -48,6 +49,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(_documents(spark, sf_dir)).drop("text_hash")
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(_documents(spark, sf_dir), (1, 2, 3), 3)
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), "copies", "source")
