@@ -18,6 +18,7 @@ from tidelark.llm.pii import KINDS, find_personal_data, span_text
 from tidelark.llm.quality import judge
 from tidelark.llm.sharding import shard_documents
 from tidelark.llm.simhash import near_duplicates
+from tidelark.llm.suffix_dedup import remove_repeats
 from tidelark.llm.tiff import text_tiff, tiff_pages
 from tidelark.llm.token_output import read_token_files, write_token_files
 
@@ -100,6 +101,10 @@ def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_pages(media, ["doc_id", "n_bytes", "media_bytes", "media_sha256"]).mapInArrow(_page_digests, _DIGEST)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), length=50)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal_data(_documents(spark, sf_dir))
     counts = [F.size(F.expr(f"filter(base, s -> s.kind = {k})")).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
