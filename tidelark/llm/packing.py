@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelark.llm._common import stored, task_id, texts
+from tidelark.llm._common import release, stored, task_id, texts
 from tidelark.llm._tokens import encoder, slices
 
 CAPACITY, SHORT, WASTE = 4096, 128, 1 / 64
@@ -89,6 +89,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
                 if rows:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=[x.split()[0] for x in _PIECES.split(", ")])
+        release()
 
     pieces = stored(texts(docs).mapInArrow(tokenize, _PIECES), "pack-pieces")
     counts = pieces.groupBy("class", "_pid").agg(F.count(F.lit(1)).alias("n"))

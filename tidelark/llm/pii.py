@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.llm._common import stored, texts
+from tidelark.llm._common import release, stored, texts
 
 KINDS = ["email", "ip", "card", "phone"]
 TRAINING_DOCS, STEPS, ROUNDS = 2000, 300, 15
@@ -307,6 +307,7 @@ def mask_personal_data(docs: DataFrame, training_docs: int = TRAINING_DOCS) -> D
                     spans = _all_spans(*parts, model)[1]
                     out.append(masked(t.as_py(), spans) if spans else t.as_py())
             yield b.set_column(at, b.schema.field(at), pa.array(out, text.type))
+        release()
 
     return docs.mapInArrow(mask, docs.schema)
 

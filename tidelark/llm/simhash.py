@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.llm._common import stored, texts
+from tidelark.llm._common import release, stored, texts
 
 BITS, RADIUS, SHINGLE, SEED, HOT = 64, 3, 3, 42, 20_000
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -48,8 +48,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+        release()
 
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
@@ -175,6 +176,7 @@ def _links(keyed: DataFrame, radius: int, most: int = 1 << 18) -> DataFrame:
                     yield out(keys[:whole], fps[:whole])
         if held:
             yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        release()
 
     return keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp").mapInArrow(run, "a long, b long")
 

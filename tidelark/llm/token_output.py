@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelark.llm._common import scratch, task_id, texts
+from tidelark.llm._common import release, scratch, task_id, texts
 from tidelark.llm._tokens import encoder, slices
 
 SEQ_LEN, ROWS = 2048, 128
@@ -131,6 +131,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, out: str | None = None, e
                 yield pa.RecordBatch.from_arrays([pa.array([uri] * len(n)), pa.array([pid] * len(n), pa.int64()), pa.array(own, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["file", "shard", "doc_id", "first", "n_tokens"])
         if writer:
             writer.close()
+        release()
 
     ranged = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ranged.mapInArrow(write, "file string, shard long, doc_id long, first long, n_tokens long").write.parquet(f"{out}/index")
