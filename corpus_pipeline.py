@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelark.llm._common import scratch
+from tidelark.llm._common import scratch, stored
 from tidelark.llm.llm_queries import tokenizer_path
 from tidelark.llm.mixing import mix_sources
 from tidelark.llm.packing import pack_documents
@@ -26,7 +26,8 @@ NEAR_BITS = 9
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality rules keep; equal rows share one verdict."""
-    kept = judge(docs).where("kept").select("doc_id", "text_hash").distinct()
+    verdicts = stored(judge(docs).select("doc_id", "text_hash", "kept"), "verdicts")  # else the filter would measure anew
+    kept = verdicts.where("kept").select("doc_id", "text_hash").distinct()
     same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"])
     return docs.join(kept, same, "left_semi")
 
