@@ -1,0 +1,39 @@
+"""Numerical kernels over arrays: what a series needs that no built-in function computes.
+
+Nothing here touches Spark, so workers import it alone.
+"""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+
+
+def _draws(seed: int, cell: tuple, n: int, size: tuple[int, int]) -> np.ndarray:
+    key = int.from_bytes(hashlib.blake2b(repr((seed, *cell)).encode(), digest_size=8).digest(), "little")
+    return np.random.default_rng(key).integers(0, n, size=size)
+
+
+def block_bootstrap(x: np.ndarray, block: int, n_boot: int, alpha: float, seed: int, cell: tuple) -> tuple[float, float]:
+    """Circular block bootstrap interval of the mean; blocks are differences of running sums."""
+    n = len(x)
+    if n < 2:
+        return np.nan, np.nan
+    block = min(block, n)
+    k = -(-n // block)
+    run = np.concatenate([[0.0], np.cumsum(np.concatenate([x, x]))])
+    starts = _draws(seed, (*cell, "block"), n, (n_boot, k))
+    last = n - (k - 1) * block
+    sums = (run[starts[:, :-1] + block] - run[starts[:, :-1]]).sum(axis=1) + run[starts[:, -1] + last] - run[starts[:, -1]]
+    return tuple(np.quantile(sums / n, [alpha / 2, 1 - alpha / 2]))
+
+
+def cluster_bootstrap(x: np.ndarray, cluster: np.ndarray, n_boot: int, alpha: float, seed: int, cell: tuple) -> tuple[float, float]:
+    """Interval of the mean with whole clusters drawn; needs two clusters."""
+    _, of = np.unique(cluster, return_inverse=True)
+    total, size = np.bincount(of, weights=x), np.bincount(of)
+    if len(size) < 2:
+        return np.nan, np.nan
+    pick = _draws(seed, (*cell, "cluster"), len(size), (n_boot, len(size)))
+    return tuple(np.quantile(total[pick].sum(axis=1) / size[pick].sum(axis=1), [alpha / 2, 1 - alpha / 2]))
