@@ -90,7 +90,7 @@ def ladder(cum_lab: DataFrame, labels: DataFrame, se: DataFrame | None = None, z
     tail = cells.join(stats.select(*CELL, "q05"), CELL).where(F.round(x, 9) <= F.round("q05", 9)).groupBy(*CELL).agg(F.avg(x).alias("es05"))
     out = stats.join(tail, CELL, "left").join(hac(cells) if se is None else se, CELL, "left").join(F.broadcast(entry_spacing(cum_lab)), GROUP).join(F.broadcast(count_episodes(labels)), ["pair", "regime"], "left")
     return out.select(
-        *CELL, "to_expiry", "n", F.bround(F.col("n") * F.least(F.lit(1.0), F.col("spacing") / F.col("h")), 1).alias("n_eff"), "mean", "se",
+        *CELL, "to_expiry", "n", (F.rint(10 * (F.col("n") * F.least(F.lit(1.0), F.col("spacing") / F.col("h")))) / 10).alias("n_eff"), "mean", "se",
         (F.col("mean") - z * F.col("se")).alias("ci_lo"), (F.col("mean") + z * F.col("se")).alias("ci_hi"), "p_profit", "q05", "q50", "q95", "es05", F.coalesce("episodes", F.lit(0)).alias("episodes"),
     )
 

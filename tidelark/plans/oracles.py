@@ -89,7 +89,7 @@ PARTS: dict[str, str] = {
     "res": f"SELECT {CELL}, cum_pnl - avg(cum_pnl) OVER (PARTITION BY {CELL}) AS e, row_number() OVER (PARTITION BY {CELL} ORDER BY entry_date, trade_id) AS k, count(*) OVER (PARTITION BY {CELL}) AS n FROM cells",
     "hac": f"""SELECT {', '.join('a.' + c for c in CELL.split(', '))}, sqrt(greatest(sum(a.e * b.e * CASE WHEN a.k = b.k THEN 1.0 ELSE 2.0 * (1 - (a.k - b.k) / (least(a.h, a.n - 1) + 1.0)) END) / max(a.n), 0) / max(a.n)) AS se
         FROM res a JOIN res b ON {' AND '.join(f'a.{c} = b.{c}' for c in CELL.split(', '))} AND b.k BETWEEN a.k - least(a.h, a.n - 1) AND a.k WHERE a.n >= 2 GROUP BY ALL""",
-    "lad": f"""SELECT s.*, e.es05, h.se, round_even(s.n * least(1.0, p.spacing / s.h), 1) AS n_eff, coalesce(x.episodes, 0) AS episodes, s.mean - 1.6448536 * h.se AS ci_lo, s.mean + 1.6448536 * h.se AS ci_hi
+    "lad": f"""SELECT s.*, e.es05, h.se, round_even(10 * (s.n * least(1.0, p.spacing / s.h)), 0) / 10 AS n_eff, coalesce(x.episodes, 0) AS episodes, s.mean - 1.6448536 * h.se AS ci_lo, s.mean + 1.6448536 * h.se AS ci_hi
         FROM stat s LEFT JOIN es e USING ({CELL}) LEFT JOIN hac h USING ({CELL}) JOIN spacing p USING ({G}) LEFT JOIN eps x USING (pair, regime)""",
     "cmb": """SELECT pair, tenor_days, entry_date, age, date, sum(CASE archetype WHEN 'call_25d' THEN pnl ELSE -pnl END) AS pnl FROM td WHERE archetype IN ('call_25d', 'put_25d') GROUP BY ALL HAVING count(DISTINCT archetype) = 2""",
     "ent": f"""SELECT {G}, entry_date, h, to_expiry, avg(pnl / scale) AS earn, avg(vol / scale) AS earn_vol, avg(theta / scale) AS earn_theta, count(DISTINCT trade_id) AS n_trades, avg(scale) AS vega0
