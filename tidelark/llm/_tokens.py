@@ -20,7 +20,9 @@ import numpy as np
 import pyarrow as pa
 
 KEPT, AT_ONCE = 600_000, 8_192
-_CUT = re.compile(r"(?<=\S)(?= \S)|(?<=[^\W_])(?=[!-/:-@\[-^`{-~])")
+_MARK = r"[!-/:-@\[-^`{-~]"
+#: Pieces of a text: one word with the space before it, or all up to the next place to cut.
+_PIECES = re.compile(rf" ?[^\W_]+(?={_MARK}| \S|\Z)|(?s:.)+?(?=(?<=\S) \S|(?<=[^\W_]){_MARK}|\Z)").findall
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _HELD: dict[str, Encoder] = {}
 
@@ -99,7 +101,7 @@ class Encoder:
         place, old = self.place, len(self.place)
         at = []
         for text in batch:
-            keys = [text] if "<|" in text else _CUT.split(text)
+            keys = [text] if "<|" in text else _PIECES(text)
             at.append(np.fromiter(map(place.__getitem__, keys), np.int64, len(keys)))
         if grown := len(place) - old:
             self._learn(list(islice(reversed(place), grown))[::-1])
@@ -108,7 +110,7 @@ class Encoder:
         for p in at:
             start, n = self.ends[p], self.ends[p + 1] - self.ends[p]
             stop = np.cumsum(n)
-            out.append(self.ids[np.repeat(start - (stop - n), n) + np.arange(stop[-1])])
+            out.append(self.ids[np.repeat(start - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)])
         return out
 
 
