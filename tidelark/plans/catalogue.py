@@ -22,6 +22,7 @@ from tidelark.operators import evaluate as ev
 from tidelark.operators import explore as ex
 from tidelark.operators import features as ft
 from tidelark.operators import ladder as ld
+from tidelark.operators import models as md
 from tidelark.operators import states as st
 from tidelark.plans.oracles import CELL, G, W, bday, roll, win, with_parts, z
 from tidelark.sources import tables as tb
@@ -288,6 +289,28 @@ add("missing_market_dates", "pair date:d", "SELECT DISTINCT pair, date FROM td W
 add("pnl_summary", f"{GS} trades:i rows:i first_entry:d last_entry:d mean:f sd:f q01:f q50:f q99:f", f"SELECT {G}, count(DISTINCT trade_id) AS trades, count(*) AS rows, min(entry_date) AS first_entry, max(entry_date) AS last_entry, avg(pnl) AS mean, stddev_samp(pnl) AS sd, quantile_cont(pnl, 0.01) AS q01, quantile_cont(pnl, 0.5) AS q50, quantile_cont(pnl, 0.99) AS q99 FROM td GROUP BY ALL")(lambda w: ev.pnl_summary(w.td))
 
 
+# fitted models, rows only
+def _scored(w: World) -> DataFrame:
+    y = {"target": F.lead("atm_1m", 5).over(SERIES) - F.col("atm_1m"), "level_target": F.lead("rv_1m", 5).over(SERIES), "score": rolling_percentile("atm_1m", 252)}
+    return w.market.withColumns(y).select("pair", "date", "score", "target", "level_target")
+
+
+def _screened(w: World) -> DataFrame:
+    t = w.labels.join(w.market.select("pair", "date", "rr25_1m", "fly25_1m", F.col("atm_1y").alias("score"), (F.lead("rv_1w", 5).over(SERIES)).alias("y")), ["pair", "date"])
+    return t
+
+
+add("har_forecast", "pair date:d forecast:f", None)(lambda w: md.har_forecast(w.market))
+add("shock_score", "pair date:d cusum:f p_young:f run:i score:f", None)(lambda w: md.shock_score(w.market))
+add("finder_report", "pair candidate:i partition r2:f switches:i min_episodes:i lower:f upper:f feasible:b chosen:b winner:b", None)(lambda w: md.finder(_scored(w)))
+add("auto_labels", "pair date:d regime warm:b", None)(lambda w: md.make_labels(_scored(w), md.finder(_scored(w))))
+add("tilt_fit", "pair feature n:i beta:f gain:f folds_up:i", None)(lambda w: md.tilt_fits(_screened(w), ["rr25_1m", "fly25_1m"]))
+add("leading_screen", "pair feature n:i delta_r2:f folds_up:i gain:f gain_folds_up:i p_perm:f retain:b fail_reason for_holdout:b", None)(lambda w: md.leading_screen(_screened(w), ["rr25_1m", "fly25_1m"], permutations=20))
+add("discover_substates", "pair regime k:i bic:f min_runs:i stability:f accepted:b", None)(lambda w: md.discover(st.characteristics(w.market), w.labels))
+add("factor_share", "pair date:d share:f", None)(lambda w: md.factor_share(w.market, ["spot", "g10_1", "g10_2", "g10_3"]))
+add("sweep_table", "variant pair candidate:i partition r2:f switches:i min_episodes:i", None)(lambda w: md.sweep(_scored(w), {"base": {}, "tight": {"budget": 15.0}}))
+
+
 def _sparse(w: World) -> DataFrame:
     """Orders as trades of a line a day, which break most rules of a trade-day table."""
     li = w.spark.read.parquet(f"{w.sf_dir}/lineitem.parquet")
