@@ -19,7 +19,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 
-KEPT, AT_ONCE = 600_000, 8_192
+KEPT, AT_ONCE = 300_000, 4_096
 _MARK = r"[!-/:-@\[-^`{-~]"
 #: Pieces of a text: one word with the space before it, or all up to the next place to cut.
 _PIECES = re.compile(rf" ?[^\W_]+(?={_MARK}| \S|\Z)|(?s:.)+?(?=(?<=\S) \S|(?<=[^\W_]){_MARK}|\Z)").findall
