@@ -20,23 +20,23 @@ BLOCKS = 4096
 
 
 class _Walk:
-    """Known boundaries in ascending order; hidden[i]: there are more between i and i + 1."""
+    """Known boundaries in ascending order; hidden[i]: there are more between i and i + 1.
 
-    def __init__(self, rows: list[tuple[int, int, int]], total: int, k: int) -> None:
-        self.known = {s: (e, n) for s, e, n in rows}
+    known: start of a block of groups -> its end, its groups, the start of its last group.
+    """
+
+    def __init__(self, rows: list[tuple[int, int, int, int]], total: int, k: int) -> None:
+        self.known: dict[int, tuple[int, int, int]] = {}
         self.total, self.k = total, k
-        self._sort()
+        self.refine([], rows)
 
-    def _sort(self) -> None:
+    def refine(self, gaps: list[int], rows: list[tuple[int, int, int, int]]) -> None:
+        for s in gaps:
+            del self.known[s]
+        self.known |= {s: (e, n, last) for s, e, n, last in rows}
         self.at = sorted(self.known)
         self.hidden = [self.known[s][1] > 1 for s in self.at]
 
-    def refine(self, gaps: list[tuple[int, int]], rows: list[tuple[int, int, int]]) -> None:
-        for lo, _ in gaps:
-            del self.known[lo]
-        self.known |= {s: (e, n) for s, e, n in rows}
-        self._sort()
-
     def walk(self, cap: int, hopeful: bool) -> list[int]:
         """Where shards end at this capacity; hopeful: as if each byte of a hidden gap were a boundary."""
         p, out = 0, []
@@ -59,31 +59,27 @@ class _Walk:
 
 def minimax_cuts(groups: DataFrame, k: int, blocks: int = BLOCKS) -> tuple[int, list[int]]:
     """Smallest capacity and where its greedy shards begin; groups: start, size (both longs), start a prefix sum."""
-    total = groups.agg(F.max(F.col("start") + F.col("size"))).first()[0] or 0
+    spark = groups.sparkSession
+    own = groups.where(F.col("size") > 0)
+    total, last = own.agg(F.max(F.col("start") + F.col("size")), F.max("start")).first()
     if not total:
         return 0, [0]
 
-    def blocked(lo: int, hi: int, n: int) -> list[tuple[int, int, int]]:
-        width = max(1, -(-(hi - lo) // n))
-        inside = groups.where((F.col("start") >= lo) & (F.col("start") < hi) & (F.col("size") > 0))
-        found = inside.groupBy(F.floor((F.col("start") - F.lit(lo)) / F.lit(width)).alias("b")).agg(F.min("start"), F.max(F.col("start") + F.col("size")), F.count(F.lit(1)))
-        return [tuple(r)[1:] for r in found.collect()]
+    def blocked(gaps: list[tuple[int, int]], n: int) -> list[tuple[int, int, int, int]]:
+        """Blocks within each gap (its first and last start); two at least, so that each gap breaks."""
+        told = spark.createDataFrame([(lo, hi, max(1, -(-(hi - lo + 1) // n))) for lo, hi in gaps], "lo long, hi long, width long")
+        inside = own.where((F.col("start") >= gaps[0][0]) & (F.col("start") <= gaps[-1][1])).join(F.broadcast(told), (F.col("start") >= F.col("lo")) & (F.col("start") <= F.col("hi")))
+        found = inside.groupBy("lo", F.floor((F.col("start") - F.col("lo")) / F.col("width")).alias("b")).agg(F.min("start"), F.max(F.col("start") + F.col("size")), F.count(F.lit(1)), F.max("start"))
+        return [tuple(r)[2:] for r in found.collect()]
 
-    w = _Walk(blocked(0, total, blocks), total, k)
+    w = _Walk(blocked([(0, last)], max(2, blocks)), total, k)
     while True:
         lo, hi = w.smallest(True), w.smallest(False)
         ends = list(zip(w.walk(lo, False), w.walk(hi, True), strict=False))
-        gaps = {(s, w.known[s][0]) for i, s in enumerate(w.at) if w.hidden[i] for a, b in ends if s <= b and w.known[s][0] > a}
+        gaps = [s for i, s in enumerate(w.at) if w.hidden[i] and any(s <= b and w.known[s][0] > a for a, b in ends)]
         if not gaps:
             return hi, [0, *w.walk(hi, False)[:-1]]
-        spans: list[list[int]] = []
-        for s, e in sorted(gaps):
-            if spans and spans[-1][1] == s:
-                spans[-1][1] = e
-            else:
-                spans.append([s, e])
-        rows = [r for s, e in spans for r in blocked(s, e, max(2, blocks // len(spans)))]
-        w.refine(sorted(gaps), rows)
+        w.refine(gaps, blocked([(s, w.known[s][2]) for s in gaps], max(2, blocks // len(gaps))))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
