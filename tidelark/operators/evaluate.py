@@ -59,7 +59,7 @@ def walk_forward(cum_lab: DataFrame, splits: int = 4, first: float = 0.4, kappa:
     marks = dates.withColumn("k", F.explode(F.filter(F.array(*(F.when(F.col("i") == c, F.lit(k)) for k, c in enumerate(cuts))), lambda x: x.isNotNull())))
     marks = marks.select(*keys, "k", F.col("entry_date").alias("t"))
     folds = marks.withColumnRenamed("t", "t0").join(marks.select(*keys, (F.col("k") - 1).alias("k"), F.col("t").alias("t1")), [*keys, "k"])
-    x = cum_lab.select(*keys, "entry_date", "regime", "cum_pnl").join(F.broadcast(folds), keys)
+    x = cum_lab.select(*keys, "entry_date", "regime", "cum_pnl").join(folds, keys)
     x = x.withColumns({"train": business_days("entry_date") < business_days("t0") - F.col("h"), "test": (F.col("entry_date") >= F.col("t0")) & (F.col("entry_date") < F.col("t1"))})
     x = x.where(F.col("train") | F.col("test"))
     y = F.when(F.col("train"), F.col("cum_pnl"))

@@ -33,7 +33,7 @@ def trailing_earn(ent: DataFrame, days: DataFrame, h: int = 5, window: int = 20,
     own = ent.where((F.col("h") == h) & ~F.col("to_expiry"))
     own = own.withColumn("_t", F.min("tenor_days").over(Window.partitionBy("archetype"))).where("tenor_days = _t")
     known = own.join(pos.withColumnRenamed("date", "entry_date"), ["pair", "entry_date"]).select("pair", "archetype", (F.col("i") + h).alias("i"), "earn")
-    grid = pos.join(F.broadcast(own.select("archetype").distinct()))
+    grid = pos.join(own.select("archetype").distinct())
     s = grid.join(known, ["pair", "archetype", "i"], "left")
     by = Window.partitionBy("pair", "archetype").orderBy("date")
     s = s.withColumn("earn_mean", rolling(F.avg, "earn", window, max(5, window // 2), by=by))
@@ -88,14 +88,14 @@ def condition_effect(ent: DataFrame, mask: DataFrame, component: str = "earn", b
         F.var_samp(F.when(on, x)).alias("_v1"), F.var_samp(F.when(~on, x)).alias("_v0"),
     )
     eff = lambda n: F.greatest(F.col(n) * F.least(F.lit(1.0), 1.0 / F.col("h")), F.lit(1e-9))
-    return a.join(F.broadcast(runs), "pair", "left").select(*keys, "n_on", "n_off", "mean_on", "mean_off", (F.col("mean_on") - F.col("mean_off")).alias("diff"), F.sqrt(F.col("_v1") / eff("n_on") + F.col("_v0") / eff("n_off")).alias("se"), F.coalesce("runs", F.lit(0)).alias("runs"))
+    return a.join(runs, "pair", "left").select(*keys, "n_on", "n_off", "mean_on", "mean_off", (F.col("mean_on") - F.col("mean_off")).alias("diff"), F.sqrt(F.col("_v1") / eff("n_on") + F.col("_v0") / eff("n_off")).alias("se"), F.coalesce("runs", F.lit(0)).alias("runs"))
 
 
 def fit_confirm(ent: DataFrame, mask: DataFrame, share: float = 0.7) -> DataFrame:
     """The effect in the first part of the entry dates of each pair and in the rest."""
     at = ent.groupBy("pair").agg(F.percentile(F.datediff("entry_date", F.lit("1970-01-01").cast("date")), F.lit(share)).alias("_cut"))
     part = F.when(F.datediff("entry_date", F.lit("1970-01-01").cast("date")) <= F.col("_cut"), "fit").otherwise("confirm")
-    return condition_effect(ent.join(F.broadcast(at), "pair").withColumn("part", part), mask, by=["part"])
+    return condition_effect(ent.join(at, "pair").withColumn("part", part), mask, by=["part"])
 
 
 def shifted_masks(mask: DataFrame, shifts: list[int]) -> DataFrame:

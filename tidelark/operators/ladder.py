@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -62,33 +62,33 @@ def with_all(df: DataFrame) -> DataFrame:
     return df.withColumn("regime", F.explode(F.array(F.lit("ALL"), "regime")))
 
 
-def hac(cells: DataFrame, value: str = "cum_pnl") -> DataFrame:
-    """Newey-West standard error of the mean of each cell, with bandwidth h, in the order of entries.
-
-    Autocovariances come from lags of one window, so a cell is sorted once.
-    """
+def _newey_west(most: int) -> tuple[dict[str, Column], Column]:
+    """Columns of residual products by lag, and the standard error that their sums give, with bandwidth h."""
     w = Window.partitionBy(*CELL).orderBy("entry_date", "trade_id")
-    whole = Window.partitionBy(*CELL)
-    most = cells.agg(F.max("h")).first()[0] or 0
-    e = cells.select(*CELL, "entry_date", "trade_id", (F.col(value) - F.avg(value).over(whole)).alias("e"))
-    lagged = e.select(*CELL, "e", *((F.col("e") * F.lag("e", k).over(w)).alias(f"p{k}") for k in range(1, most + 1)))
+    products = {f"_p{k}": F.col("_e") * F.lag("_e", k).over(w) for k in range(1, most + 1)}
     n, band = F.count(F.lit(1)), F.least(F.first("h"), F.count(F.lit(1)) - 1)
-    var = F.sum(F.col("e") * F.col("e"))
+    var = F.sum(F.col("_e") * F.col("_e"))
     for k in range(1, most + 1):
-        var = var + F.when(band >= k, 2.0 * (1 - k / (band + 1.0)) * F.coalesce(F.sum(f"p{k}"), F.lit(0.0))).otherwise(0.0)
-    return lagged.groupBy(*CELL).agg(F.when(n >= 2, F.sqrt(F.greatest(var / n, F.lit(0.0)) / n)).alias("se"))
+        var = var + F.when(band >= k, 2.0 * (1 - k / (band + 1.0)) * F.coalesce(F.sum(f"_p{k}"), F.lit(0.0))).otherwise(0.0)
+    return products, F.when(n >= 2, F.sqrt(F.greatest(var / n, F.lit(0.0)) / n))
 
 
-def ladder(cum_lab: DataFrame, labels: DataFrame, se: DataFrame | None = None, z: float = Z90) -> DataFrame:
-    """A row for each group, regime (and ALL) and horizon. se: standard errors of cells, by default Newey-West."""
-    cells = with_all(cum_lab)
-    x = F.col("cum_pnl")
-    stats = cells.groupBy(*CELL).agg(
+def ladder(cum_lab: DataFrame, labels: DataFrame, se: DataFrame | None = None, z: float = Z90, horizons: Iterable[int] = HORIZONS, longest: int = 21) -> DataFrame:
+    """A row for each group, regime (and ALL) and horizon. se: standard errors of cells, by default Newey-West with bandwidth h.
+
+    Lags go up to the largest horizon or ``longest`` (the longest tenor). Mean, tail and
+    autocovariances come from windows over the cells and one aggregation, all on one exchange.
+    """
+    x, whole = F.col("cum_pnl"), Window.partitionBy(*CELL)
+    cells = with_all(cum_lab).withColumns({"_e": x - F.avg(x).over(whole), "_q": F.percentile(x, F.lit(0.05)).over(whole)})
+    products, error = ({}, None) if se is not None else _newey_west(max([longest, *horizons]))
+    stats = cells.withColumns(products).groupBy(*CELL).agg(
         F.first("to_expiry").alias("to_expiry"), F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("p_profit"),
-        *(F.percentile(x, F.lit(q)).alias(a) for q, a in ((0.05, "q05"), (0.5, "q50"), (0.95, "q95"))),
+        F.first("_q").alias("q05"), *(F.percentile(x, F.lit(q)).alias(a) for q, a in ((0.5, "q50"), (0.95, "q95"))),
+        F.avg(F.when(F.round(x, 9) <= F.round("_q", 9), x)).alias("es05"), *([error.alias("se")] if error is not None else []),
     )
-    tail = cells.join(stats.select(*CELL, "q05"), CELL).where(F.round(x, 9) <= F.round("q05", 9)).groupBy(*CELL).agg(F.avg(x).alias("es05"))
-    out = stats.join(tail, CELL, "left").join(hac(cells) if se is None else se, CELL, "left").join(F.broadcast(entry_spacing(cum_lab)), GROUP).join(F.broadcast(count_episodes(labels)), ["pair", "regime"], "left")
+    out = stats if se is None else stats.join(se, CELL, "left")
+    out = out.join(entry_spacing(cum_lab), GROUP).join(count_episodes(labels), ["pair", "regime"], "left")
     return out.select(
         *CELL, "to_expiry", "n", (F.rint(10 * (F.col("n") * F.least(F.lit(1.0), F.col("spacing") / F.col("h")))) / 10).alias("n_eff"), "mean", "se",
         (F.col("mean") - z * F.col("se")).alias("ci_lo"), (F.col("mean") + z * F.col("se")).alias("ci_hi"), "p_profit", "q05", "q50", "q95", "es05", F.coalesce("episodes", F.lit(0)).alias("episodes"),
@@ -100,7 +100,7 @@ def boot_se(cum_lab: DataFrame, labels: DataFrame, n_boot: int = 1000, alpha: fl
 
     Draws depend on the cell and the seed alone, not on partitions.
     """
-    cells = with_all(cum_lab.join(F.broadcast(episode_ids(labels).select("pair", F.col("date").alias("entry_date"), "episode")), ["pair", "entry_date"], "left"))
+    cells = with_all(cum_lab.join(episode_ids(labels).select("pair", F.col("date").alias("entry_date"), "episode"), ["pair", "entry_date"], "left"))
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["entry_date", "trade_id"])

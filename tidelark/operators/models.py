@@ -94,7 +94,7 @@ def make_labels(t: DataFrame, chosen: DataFrame, partition: str = "auto") -> Dat
         got = kn.label_candidate(*(g[c].to_numpy(float) for c in ("score", "target", "level_target")), h, d, k, x)
         return pd.DataFrame({"pair": g["pair"], "date": g["date"], "regime": got[0] if got else "carry", "warm": ~np.isfinite(g["score"].to_numpy(float))})
 
-    return t.join(F.broadcast(pick), "pair").groupBy("pair").applyInPandas(run, "pair string, date date, regime string, warm boolean")
+    return t.join(pick, "pair").groupBy("pair").applyInPandas(run, "pair string, date date, regime string, warm boolean")
 
 
 def tilt_fits(t: DataFrame, features: list[str], k: int = 1) -> DataFrame:
@@ -153,7 +153,7 @@ def discover(chars: DataFrame, labels: DataFrame, k_max: int = 4) -> DataFrame:
 
 def assign(chars: DataFrame, centres: DataFrame) -> DataFrame:
     """The nearest centre of each day; centres: pair, part, characteristic, mu, sd, centre."""
-    t = unpivoted(chars).join(F.broadcast(centres), ["pair", "characteristic"])
+    t = unpivoted(chars).join(centres, ["pair", "characteristic"])
     d = t.groupBy("pair", "date", "part").agg(F.sum(F.pow((F.col("value") - F.col("mu")) / F.col("sd") - F.col("centre"), 2)).alias("d"))
     return d.groupBy("pair", "date").agg(F.min_by("part", "d").alias("part"))
 

@@ -33,7 +33,7 @@ def durations(labels: DataFrame) -> DataFrame:
 def merge_rare(labels: DataFrame, rare: str, parent: str, least: int) -> DataFrame:
     """Give days of a state with fewer than ``least`` runs to its parent."""
     few = runs(labels).where(F.col("regime") == rare).groupBy("pair").agg(F.count(F.lit(1)).alias("_n"))
-    return labels.join(F.broadcast(few), "pair", "left").select("pair", "date", F.when((F.col("regime") == rare) & (F.col("_n") < least), parent).otherwise(F.col("regime")).alias("regime"))
+    return labels.join(few, "pair", "left").select("pair", "date", F.when((F.col("regime") == rare) & (F.col("_n") < least), parent).otherwise(F.col("regime")).alias("regime"))
 
 
 def transition_matrix(labels: DataFrame, strength: float = 0.0, stickiness: float = 0.95) -> DataFrame:
@@ -88,7 +88,7 @@ def step_breaks(df: DataFrame, score: str, target: str, min_share: float = 0.08,
     qs = [min_share + (1 - 2 * min_share) * k / (grid_n - 1) for k in range(grid_n)]
     grid = d.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s1"), F.sum(F.col("y") * F.col("y")).alias("s2"), F.percentile("s", F.array(*map(F.lit, qs))).alias("g"))
     g = grid.select("pair", "n", "s1", "s2", F.posexplode("g").alias("k", "g")).withColumn("g", F.round("g", 9))
-    below = d.join(F.broadcast(g.select("pair", "k", "g")), "pair").where(F.round("s", 9) < F.col("g")).groupBy("pair", "k").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("b1"))
+    below = d.join(g.select("pair", "k", "g"), "pair").where(F.round("s", 9) < F.col("g")).groupBy("pair", "k").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("b1"))
     g = g.join(below, ["pair", "k"], "left").fillna(0, ["c", "b1"])
     a = g.select("pair", "n", "s1", "s2", F.col("k").alias("ka"), F.col("g").alias("lower"), F.col("c").alias("ca"), F.col("b1").alias("ba"))
     b = g.select("pair", F.col("k").alias("kb"), F.col("g").alias("upper"), F.col("c").alias("cb"), F.col("b1").alias("bb"))
@@ -157,7 +157,7 @@ def tag_split(labels: DataFrame, tag: DataFrame, name: str, least: int = 5) -> D
     cell = F.when(F.coalesce("_t", F.lit("none")).isin("none", "flat"), F.col("regime")).otherwise(F.concat_ws("·", "regime", "_t"))
     t = t.withColumn("cell", cell)
     enough = runs(t.select("pair", "date", "cell"), "cell").groupBy("pair", "cell").agg(F.count(F.lit(1)).alias("_n"))
-    return t.join(F.broadcast(enough), ["pair", "cell"]).select("pair", "date", F.when((F.col("cell") == F.col("regime")) | (F.col("_n") >= least), F.col("cell")).otherwise(F.col("regime")).alias("regime"))
+    return t.join(enough, ["pair", "cell"]).select("pair", "date", F.when((F.col("cell") == F.col("regime")) | (F.col("_n") >= least), F.col("cell")).otherwise(F.col("regime")).alias("regime"))
 
 
 # profiles
@@ -188,7 +188,7 @@ def state_profile(chars: DataFrame, labels: DataFrame) -> DataFrame:
     t = unpivoted(chars).join(labels, ["pair", "date"])
     every = t.groupBy("pair", "characteristic").agg(F.avg("value").alias("all_mean"), F.stddev_samp("value").alias("all_sd"))
     own = t.groupBy("pair", "characteristic", "regime").agg(F.avg("value").alias("state_mean"), F.count(F.lit(1)).alias("n_days"))
-    return own.join(F.broadcast(every), ["pair", "characteristic"]).withColumn("d", F.try_divide(F.col("state_mean") - F.col("all_mean"), F.col("all_sd")))
+    return own.join(every, ["pair", "characteristic"]).withColumn("d", F.try_divide(F.col("state_mean") - F.col("all_mean"), F.col("all_sd")))
 
 
 def distinguishing(profile: DataFrame, top: int = 3) -> DataFrame:
@@ -201,7 +201,7 @@ def today_placement(chars: DataFrame, labels: DataFrame) -> DataFrame:
     t = unpivoted(chars).join(labels, ["pair", "date"])
     last = t.groupBy("pair", "characteristic").agg(F.max_by("value", "date").alias("today"), F.max_by("regime", "date").alias("state"))
     below = F.avg((F.round("value", 9) < F.round("today", 9)).cast("double"))
-    hist = t.join(F.broadcast(last), ["pair", "characteristic"]).where("regime = state and value is not null and today is not null")
+    hist = t.join(last, ["pair", "characteristic"]).where("regime = state and value is not null and today is not null")
     return hist.groupBy("pair", "characteristic", "state").agg(F.first("today").alias("today"), below.alias("pct_within_state"))
 
 
@@ -252,7 +252,7 @@ def fan(matrix: DataFrame, start: str, horizon: int = 21) -> DataFrame:
 def log_likelihood(labels: DataFrame, matrix: DataFrame) -> DataFrame:
     """Log-likelihood of the next day's states under a matrix, no probability below 1e-300."""
     moves = labels.select("pair", F.col("regime").alias("from_state"), F.lead("regime").over(SERIES).alias("to_state")).where("to_state is not null")
-    return moves.join(F.broadcast(matrix), ["pair", "from_state", "to_state"]).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log(F.greatest(F.col("p"), F.lit(1e-300)))).alias("loglik"))
+    return moves.join(matrix, ["pair", "from_state", "to_state"]).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log(F.greatest(F.col("p"), F.lit(1e-300)))).alias("loglik"))
 
 
 def covariate_paths(spark: SparkSession, now: float, horizon: int, halflife: float = 10.0) -> DataFrame:
