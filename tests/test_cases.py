@@ -159,7 +159,7 @@ def test_integrity_faults(spark, sf):
 def test_every_feature_is_point_in_time(spark, sf):
     from pyspark.sql import functions as F
 
-    from tidelark.functions.series import SERIES
+    from tidelark.functions.series import series
     from tidelark.operators import features as ft
     from tidelark.plans.catalogue import World
 
@@ -167,7 +167,7 @@ def test_every_feature_is_point_in_time(spark, sf):
     for registry in (ft.FEATURES, ft.LEADING):
         for f in registry.values():
             assert ft.truncation_gaps(f, m, "1997-06-30").isEmpty()
-    leak = lambda t: t.withColumn("leak", F.lead("spot", 5).over(SERIES))
+    leak = lambda t: t.withColumn("leak", F.lead("spot", 5).over(series()))
     assert not ft.truncation_gaps(leak, m, "1997-06-30").isEmpty()
     m.unpersist()
 

@@ -6,31 +6,35 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SERIES = Window.partitionBy("pair").orderBy("date")
 C = Column | str
 
 
+def series() -> WindowSpec:
+    """The series of each pair in order of dates; a function, as a window needs a session."""
+    return Window.partitionBy("pair").orderBy("date")
+
+
 def _c(x: C) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def trailing(n: int, lag: int = 0, by: WindowSpec = SERIES) -> WindowSpec:
-    return by.rowsBetween(1 - n - lag, -lag)
+def trailing(n: int, lag: int = 0, by: WindowSpec | None = None) -> WindowSpec:
+    return (by or series()).rowsBetween(1 - n - lag, -lag)
 
 
-def rolling(how, x: C, n: int, least: int | None = None, lag: int = 0, by: WindowSpec = SERIES) -> Column:
+def rolling(how, x: C, n: int, least: int | None = None, lag: int = 0, by: WindowSpec | None = None) -> Column:
     """how(x) over n rows up to ``lag`` rows ago; null with fewer than ``least`` values (default: all n)."""
     w = trailing(n, lag, by)
     return F.when(F.count(x).over(w) >= (n if least is None else least), how(x).over(w))
 
 
-def rolling2(how, x: C, y: C, n: int, least: int | None = None, by: WindowSpec = SERIES) -> Column:
+def rolling2(how, x: C, y: C, n: int, least: int | None = None, by: WindowSpec | None = None) -> Column:
     w = trailing(n, 0, by)
     both = F.when(_c(x).isNotNull() & _c(y).isNotNull(), 1)
     return F.when(F.count(both).over(w) >= (n if least is None else least), how(x, y).over(w))
 
 
-def rolling_percentile(x: str, n: int, least: int | None = None, by: WindowSpec = SERIES) -> Column:
+def rolling_percentile(x: str, n: int, least: int | None = None, by: WindowSpec | None = None) -> Column:
     """100 times the share of the other rows of the window that lie below the last; null rows count as not below.
 
     The share is of rows, so that a window reaching back over nulls is not shortened; a null last
@@ -43,7 +47,7 @@ def rolling_percentile(x: str, n: int, least: int | None = None, by: WindowSpec
     return F.when(ok, F.try_divide(100.0 * below, F.size(held) - 1))
 
 
-def lagged_z(x: C, n: int, least: int | None = None, by: WindowSpec = SERIES) -> Column:
+def lagged_z(x: C, n: int, least: int | None = None, by: WindowSpec | None = None) -> Column:
     """x less the mean of the n rows before it, in their standard deviations."""
     least = max(60, n // 4) if least is None else least
     return F.try_divide(_c(x) - rolling(F.avg, x, n, least, 1, by), rolling(F.stddev_samp, x, n, least, 1, by))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelark.functions.series import SERIES, business_days
+from tidelark.functions.series import series, business_days
 from tidelark.operators.states import HIGH, spearman
 from tidelark.sources.tables import GROUP, REQUIRED, component_columns, component_sets
 
@@ -100,17 +100,17 @@ def gate_integrity(report: DataFrame, golden: DataFrame | None = None, tolerance
 def lift(t: DataFrame, feature: str, horizon: int = 20, quantile: float = 0.9, window: int = 504) -> DataFrame:
     """How much likelier a move into the high band is after days of a high feature; t: pair, date, regime and the feature, both known."""
     d = t.where(F.col(feature).isNotNull() & F.col("regime").isNotNull()).select("pair", "date", "regime", F.round(feature, 9).alias("f"))
-    before = SERIES.rowsBetween(-window, -1)
+    before = series().rowsBetween(-window, -1)
     hi = F.col("regime").isin(HIGH)
     d = d.withColumns(
         {
             "thr": F.when(F.count("f").over(before) >= max(120, window // 4), F.percentile("f", F.lit(quantile)).over(before)),
-            "fut": F.coalesce(F.max(hi).over(SERIES.rowsBetween(1, horizon)), F.lit(False)),
-            "whole": F.count(F.lit(1)).over(SERIES.rowsBetween(1, horizon)) == horizon,
+            "fut": F.coalesce(F.max(hi).over(series().rowsBetween(1, horizon)), F.lit(False)),
+            "whole": F.count(F.lit(1)).over(series().rowsBetween(1, horizon)) == horizon,
         }
     )
     d = d.withColumn("elig", ~hi & F.col("whole")).withColumn("sig", F.coalesce(F.col("f") >= F.round("thr", 9), F.lit(False)) & F.col("elig"))
-    d = d.withColumn("first", F.col("sig") & ~F.coalesce(F.lag("sig").over(SERIES), F.lit(False)))
+    d = d.withColumn("first", F.col("sig") & ~F.coalesce(F.lag("sig").over(series()), F.lit(False)))
     fut = F.col("fut").cast("double")
     out = d.groupBy("pair").agg(F.avg(F.when(F.col("sig"), fut)).alias("p_event_signal"), F.avg(F.when(F.col("elig"), fut)).alias("p_event_all"), F.count(F.when(F.col("sig"), 1)).alias("n_signal"), F.count(F.when(F.col("first"), 1)).alias("n_signal_runs"))
     return out.withColumn("lift", F.try_divide("p_event_signal", "p_event_all"))

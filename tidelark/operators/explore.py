@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelark.functions.series import SERIES, lagged_z, rolling, rolling_percentile, with_runs
+from tidelark.functions.series import series, lagged_z, rolling, rolling_percentile, with_runs
 from tidelark.operators.features import change, log_return
 from tidelark.operators.ladder import HORIZONS
 from tidelark.sources.tables import GROUP, component_columns
@@ -29,7 +29,7 @@ def entries(td: DataFrame, horizons: tuple[int, ...] = HORIZONS, unit: str = "ve
 
 def trailing_earn(ent: DataFrame, days: DataFrame, h: int = 5, window: int = 20, zwindow: int = 252) -> DataFrame:
     """The h-day earn of entries on the day it is known, its trailing mean, and that as a lagged z-score; smallest tenor of each archetype."""
-    pos = days.select("pair", "date", F.row_number().over(SERIES).alias("i"))
+    pos = days.select("pair", "date", F.row_number().over(series()).alias("i"))
     own = ent.where((F.col("h") == h) & ~F.col("to_expiry"))
     own = own.withColumn("_t", F.min("tenor_days").over(Window.partitionBy("archetype"))).where("tenor_days = _t")
     known = own.join(pos.withColumnRenamed("date", "entry_date"), ["pair", "entry_date"]).select("pair", "archetype", (F.col("i") + h).alias("i"), "earn")
@@ -49,7 +49,7 @@ def raw_statistics(m: DataFrame) -> DataFrame:
         "pair", "date", "atm_1m", lagged_z("atm_1m", 252).alias("atm_1m_z252"), change("atm_1m", 5).alias("atm_1m_chg5"), change("atm_1m", 20).alias("atm_1m_chg20"),
         (F.col("atm_1y") - F.col("atm_1m")).alias("term_1y_1m"), "rr25_1m", lagged_z("rr25_1m", 252).alias("rr25_1m_z252"), "fly25_1m",
         F.try_divide("rv_1m", "atm_1m").alias("rv_iv_1m"), F.try_divide("rv_1w", "rv_1m").alias("rv_1w_1m"), *ma,
-        ((F.col("_ls") - F.lag("_ls", 20).over(SERIES)) / move(20)).alias("spot_ret20_z"),
+        ((F.col("_ls") - F.lag("_ls", 20).over(series())) / move(20)).alias("spot_ret20_z"),
         (F.try_divide(rolling(F.avg, "_r", 60), rolling(F.stddev_samp, "_r", 60)) * 60**0.5).alias("drift_t60"),
         rolling_percentile("atm_1m", 252).alias("atm_1m_pct252"), (F.col("atm_1m") - F.col("rv_1m")).alias("atm_1m_minus_rv_1m"),
         ((rolling(F.max, "_ls", 20) - rolling(F.min, "_ls", 20)) / move(20)).alias("spot_range20_z"),
@@ -100,7 +100,7 @@ def fit_confirm(ent: DataFrame, mask: DataFrame, share: float = 0.7) -> DataFram
 
 def shifted_masks(mask: DataFrame, shifts: list[int]) -> DataFrame:
     """The mask moved around its own calendar by each shift."""
-    t = mask.withColumns({"i": F.row_number().over(SERIES) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("pair"))})
+    t = mask.withColumns({"i": F.row_number().over(series()) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("pair"))})
     moved = t.withColumn("shift", F.explode(F.array(*map(F.lit, shifts)))).select("pair", "shift", F.pmod(F.col("i") + F.col("shift"), F.col("n")).alias("i"), "on")
     return moved.join(t.select("pair", "i", "date"), ["pair", "i"]).select("pair", "date", "shift", "on")
 

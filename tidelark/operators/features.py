@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.functions.series import SERIES, lagged_z, rolling, rolling2, rolling_percentile
+from tidelark.functions.series import series, lagged_z, rolling, rolling2, rolling_percentile
 
 RANK = 756
 Builder = Callable[..., DataFrame]
@@ -29,11 +29,11 @@ def ranked(m: DataFrame, x: F.Column, out: str, window: int = RANK) -> DataFrame
 
 
 def log_return(c: str = "spot") -> F.Column:
-    return F.log(F.col(c)) - F.log(F.lag(c).over(SERIES))
+    return F.log(F.col(c)) - F.log(F.lag(c).over(series()))
 
 
 def change(c: str, n: int = 1) -> F.Column:
-    return F.col(c) - F.lag(c, n).over(SERIES)
+    return F.col(c) - F.lag(c, n).over(series())
 
 
 def with_changes(m: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def stored_energy(m: DataFrame, window: int = RANK) -> DataFrame:
 
 def surprise() -> F.Column:
     """The day's log return in units of yesterday's implied daily move."""
-    return log_return() / (F.lag("atm_1m").over(SERIES) / 100 / 252**0.5)
+    return log_return() / (F.lag("atm_1m").over(series()) / 100 / 252**0.5)
 
 
 @feature(LEADING)
@@ -134,7 +134,7 @@ def mean_pair_corr(m: DataFrame, cols: list[str], window: int, out: str) -> Data
     t = t.withColumn("_full", F.when(full, 1.0))
     pairs = [rolling2(F.corr, f"_g{a}", f"_g{b}", window) for a in range(len(cols)) for b in range(a)]
     mean = sum(pairs[1:], pairs[0]) / len(pairs)
-    keep = F.count("_full").over(SERIES.rowsBetween(1 - window, 0)) == window
+    keep = F.count("_full").over(series().rowsBetween(1 - window, 0)) == window
     return t.withColumn(out, F.when(keep, mean)).drop("_full", *(f"_g{k}" for k in range(len(cols))))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelark.functions import kernels as kn
-from tidelark.functions.series import SERIES, with_runs
+from tidelark.functions.series import series, with_runs
 from tidelark.operators.features import surprise
 from tidelark.operators.states import RANK, unpivoted
 
@@ -160,8 +160,8 @@ def assign(chars: DataFrame, centres: DataFrame) -> DataFrame:
 
 def factor_share(m: DataFrame, cols: list[str], window: int = 20) -> DataFrame:
     """Share of the largest eigenvalue of the window's correlations; the windows are JVM frames, the eigenvalue a kernel."""
-    r = m.select("pair", "date", *(F.log(F.col(c) / F.lag(c).over(SERIES)).alias(c) for c in cols))
-    w = SERIES.rowsBetween(1 - window, 0)
+    r = m.select("pair", "date", *(F.log(F.col(c) / F.lag(c).over(series())).alias(c) for c in cols))
+    w = series().rowsBetween(1 - window, 0)
     pairs = [(a, b) for a in range(len(cols)) for b in range(a)]
     full = F.count(F.when(sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)) == 0, 1)).over(w) == window
     t = r.select("pair", "date", F.when(full, F.array(*(F.corr(cols[a], cols[b]).over(w) for a, b in pairs))).alias("c"))
@@ -184,7 +184,7 @@ def factor_share(m: DataFrame, cols: list[str], window: int = 20) -> DataFrame:
 def sweep(t: DataFrame, variants: dict[str, dict], confirm: float = 0.3) -> DataFrame:
     """The finder's choice under variants of its settings, fitted on the first part of the dates."""
     n = F.count(F.lit(1)).over(Window.partitionBy("pair"))
-    fit = t.withColumn("_i", F.row_number().over(SERIES)).withColumn("_n", n).where(F.col("_i") <= F.floor((1 - confirm) * F.col("_n"))).drop("_i", "_n")
+    fit = t.withColumn("_i", F.row_number().over(series())).withColumn("_n", n).where(F.col("_i") <= F.floor((1 - confirm) * F.col("_n"))).drop("_i", "_n")
     out = None
     for name, kw in variants.items():
         one = finder(fit, **kw).where("winner").withColumn("variant", F.lit(name))

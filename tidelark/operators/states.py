@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelark.functions.scans import level_scan
-from tidelark.functions.series import SERIES, rolling, rolling2, with_runs
+from tidelark.functions.series import series, rolling, rolling2, with_runs
 from tidelark.operators.features import change, log_return, surprise
 
 # Stress ranks of states and where each escalates to.
@@ -41,7 +41,7 @@ def transition_matrix(labels: DataFrame, strength: float = 0.0, stickiness: floa
     states = labels.select("pair", "regime").distinct()
     k = F.count(F.lit(1)).over(Window.partitionBy("pair"))
     grid = states.withColumn("_k", k).withColumnRenamed("regime", "from_state").join(states.withColumnRenamed("regime", "to_state"), "pair")
-    moves = labels.select("pair", F.col("regime").alias("from_state"), F.lead("regime").over(SERIES).alias("to_state")).groupBy("pair", "from_state", "to_state").agg(F.count(F.lit(1)).alias("_c"))
+    moves = labels.select("pair", F.col("regime").alias("from_state"), F.lead("regime").over(series()).alias("to_state")).groupBy("pair", "from_state", "to_state").agg(F.count(F.lit(1)).alias("_c"))
     prior = strength * F.when(F.col("from_state") == F.col("to_state"), stickiness).otherwise((1 - stickiness) / F.greatest(F.lit(1), F.col("_k") - 1))
     m = grid.join(moves, ["pair", "from_state", "to_state"], "left").withColumn("_m", F.coalesce("_c", F.lit(0)) + prior)
     total = F.sum("_m").over(Window.partitionBy("pair", "from_state"))
@@ -64,7 +64,7 @@ def duration_hazard(labels: DataFrame, most: int = 10) -> DataFrame:
 def oos_separation(df: DataFrame, target: str = "y", folds: int = 4, first: float = 0.4) -> DataFrame:
     """Out-of-sample R2 of state means: each fold is predicted from all rows before it, an unseen state by their mean."""
     d = df.where(F.col(target).isNotNull()).select("pair", "date", "regime", F.col(target).alias("y"))
-    d = d.withColumns({"i": F.row_number().over(SERIES) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("pair"))})
+    d = d.withColumns({"i": F.row_number().over(series()) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy("pair"))})
     start = F.floor(first * F.col("n"))
     cuts = [F.floor(start + (F.col("n") - start) * (k / folds)) for k in range(folds + 1)]
     d = d.withColumns({f"c{k}": c for k, c in enumerate(cuts)})
@@ -107,26 +107,26 @@ def corr_sign_tag(m: DataFrame, window: int = 21, band: float = 0.2, delta: floa
     """neg, flat or pos correlation of returns with changes of vol, with hysteresis, from flat."""
     c = m.withColumns({"_r": log_return(), "_dv": change("atm_1m")})
     c = c.withColumn("corr", F.round(rolling2(F.corr, "_r", "_dv", window, max(10, window // 2)), 9))
-    first = F.coalesce(F.col("corr"), F.when(F.row_number().over(SERIES) == 1, 0.0))
+    first = F.coalesce(F.col("corr"), F.when(F.row_number().over(series()) == 1, 0.0))
     return level_scan(c.withColumn("_x", first), "_x", [-band, band], delta, ["neg", "flat", "pos"], "corr_sign")
 
 
 def event_positions(m: DataFrame, events: DataFrame) -> DataFrame:
     """Row number of the first day of each series at or after each event; events past the end vanish."""
-    days = m.select("pair", "date", F.row_number().over(SERIES).alias("i"))
+    days = m.select("pair", "date", F.row_number().over(series()).alias("i"))
     return days.join(F.broadcast(events.select(F.col("date").alias("event"))), F.col("date") >= F.col("event")).groupBy("pair", "event").agg(F.min("i").alias("at"))
 
 
 def event_window_tag(m: DataFrame, events: DataFrame, before: int = 3, after: int = 1) -> DataFrame:
     """pre up to and on the event's day, post after it, else none; pre beats post."""
-    days = m.select("pair", "date", F.row_number().over(SERIES).alias("i"))
+    days = m.select("pair", "date", F.row_number().over(series()).alias("i"))
     near = event_positions(m, events).select("pair", F.explode(F.sequence(F.col("at") - before, F.col("at") + after)).alias("i"), "at")
     tag = near.groupBy("pair", "i").agg(F.max((F.col("i") <= F.col("at")).cast("int")).alias("pre"))
     return days.join(tag, ["pair", "i"], "left").select("pair", "date", F.when(F.col("pre") == 1, "pre").when(F.col("pre") == 0, "post").otherwise("none").alias("event"))
 
 
 def event_proximity(m: DataFrame, events: DataFrame, horizon: int = 10) -> DataFrame:
-    days = m.select("pair", "date", F.row_number().over(SERIES).alias("i"))
+    days = m.select("pair", "date", F.row_number().over(series()).alias("i"))
     near = event_positions(m, events).select("pair", F.explode(F.sequence(F.col("at") - horizon, F.col("at"))).alias("i"), "at")
     ramp = near.groupBy("pair", "i").agg(F.max(1 - (F.col("at") - F.col("i")) / horizon).alias("p"))
     return days.join(ramp, ["pair", "i"], "left").select("pair", "date", F.coalesce("p", F.lit(0.0)).alias("event_proximity"))
@@ -143,7 +143,7 @@ def pinned_tag(m: DataFrame, window: int = 21, ratio: float = 0.6, reach: float
 
 def intervention_tag(m: DataFrame, move: float = 0.05, window: int = 21, level: float | None = None, flag: str | None = None) -> DataFrame:
     """risk after a large move, above a level, or on a flagged day; what is missing is no risk."""
-    on = F.coalesce(F.col("spot") / F.lag("spot", window).over(SERIES) - 1 > move, F.lit(False))
+    on = F.coalesce(F.col("spot") / F.lag("spot", window).over(series()) - 1 > move, F.lit(False))
     if level is not None:
         on = on | F.coalesce(F.col("spot") > level, F.lit(False))
     if flag in m.columns:
@@ -167,7 +167,7 @@ def characteristics(m: DataFrame, window: int = 20) -> DataFrame:
     """Daily characteristics of a pair over a trailing window."""
     t = m.withColumns({"_r": log_return(), "_dv": change("atm_1m")})
     t = t.withColumn("_sd", rolling(F.stddev_samp, "_r", 63))
-    jump = F.coalesce(F.abs("_r") > 2.5 * F.lag("_sd").over(SERIES), F.lit(False)).cast("double")
+    jump = F.coalesce(F.abs("_r") > 2.5 * F.lag("_sd").over(series()), F.lit(False)).cast("double")
     return t.withColumn("_j", jump).select(
         "pair", "date",
         F.try_divide(rolling2(F.covar_samp, "_dv", "_r", window), rolling(F.var_samp, "_r", window)).alias("spotvol_beta"),
@@ -215,8 +215,8 @@ def surprises(m: DataFrame) -> DataFrame:
 
 def lead_profile(score: DataFrame, labels: DataFrame, before: int = 5) -> DataFrame:
     """Mean of the score's mean over the days before moves up and before moves down, and over all days."""
-    t = score.join(labels, ["pair", "date"]).withColumns({"_rank": lookup(RANK, F.col("regime")), "_m": F.avg("score").over(SERIES.rowsBetween(-before, -1))})
-    t = t.withColumn("_d", F.col("_rank") - F.lag("_rank").over(SERIES))
+    t = score.join(labels, ["pair", "date"]).withColumns({"_rank": lookup(RANK, F.col("regime")), "_m": F.avg("score").over(series().rowsBetween(-before, -1))})
+    t = t.withColumn("_d", F.col("_rank") - F.lag("_rank").over(series()))
     up, down = F.col("_d") > 0, F.col("_d") < 0
     return t.groupBy("pair").agg(F.avg("score").alias("all"), F.avg(F.when(up, F.col("_m"))).alias("before_up"), F.count(F.when(up, 1)).alias("before_up_n"), F.avg(F.when(down, F.col("_m"))).alias("before_down"), F.count(F.when(down, 1)).alias("before_down_n"))
 
@@ -251,7 +251,7 @@ def fan(matrix: DataFrame, start: str, horizon: int = 21) -> DataFrame:
 
 def log_likelihood(labels: DataFrame, matrix: DataFrame) -> DataFrame:
     """Log-likelihood of the next day's states under a matrix, no probability below 1e-300."""
-    moves = labels.select("pair", F.col("regime").alias("from_state"), F.lead("regime").over(SERIES).alias("to_state")).where("to_state is not null")
+    moves = labels.select("pair", F.col("regime").alias("from_state"), F.lead("regime").over(series()).alias("to_state")).where("to_state is not null")
     return moves.join(matrix, ["pair", "from_state", "to_state"]).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log(F.greatest(F.col("p"), F.lit(1e-300)))).alias("loglik"))
 
 
@@ -263,13 +263,13 @@ def covariate_paths(spark: SparkSession, now: float, horizon: int, halflife: flo
 
 def escalations(labels: DataFrame) -> DataFrame:
     """Days on which the label enters the high band."""
-    was = F.lag("regime").over(SERIES)
+    was = F.lag("regime").over(series())
     return labels.withColumn("from_state", was).where(F.col("regime").isin(HIGH) & ~F.col("from_state").isin(HIGH)).select("pair", "date", "from_state", F.col("regime").alias("to_state"))
 
 
 def alignment(t: DataFrame, feature: str, target: str, shifts: tuple[int, ...]) -> DataFrame:
     """Rank correlation of a feature with the target stamped k days later, for each k."""
-    long = t.select("pair", F.round(feature, 9).alias("x"), *((F.lead(target, k) if k >= 0 else F.lag(target, -k)).over(SERIES).alias(f"k{k}") for k in shifts))
+    long = t.select("pair", F.round(feature, 9).alias("x"), *((F.lead(target, k) if k >= 0 else F.lag(target, -k)).over(series()).alias(f"k{k}") for k in shifts))
     pairs = long.select("pair", "x", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("y")) for k in shifts))).alias("e")).select("pair", "x", "e.k", "e.y").where("x is not null and y is not null")
     return spearman(pairs, "x", "y", ["pair", "k"])
 

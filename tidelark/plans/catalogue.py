@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidelark.functions import scans
-from tidelark.functions.series import SERIES, rolling_percentile
+from tidelark.functions.series import series, rolling_percentile
 from tidelark.operators import combine as cmb
 from tidelark.operators import evaluate as ev
 from tidelark.operators import explore as ex
@@ -192,7 +192,7 @@ add("ewma_score", "pair date:d ewma:f", "SELECT pair, date, y AS ewma FROM ew",
 add("cusum_fixed_h", "pair date:d cusum:f", "SELECT pair, date, e AS cusum FROM cu", True, {
     "cx": f"SELECT pair, date, row_number() OVER {W} AS k, x2, {roll('avg', 'x2', 252, 63, 1)} AS mu FROM (SELECT pair, date, round(least(power((rr25_1m + 1) * 2, 2), 9), 9) AS x2 FROM market)",
     "cu": "SELECT pair, k, date, CAST(0 AS DOUBLE) AS s, CAST(0 AS DOUBLE) AS e FROM cx WHERE k = 1 UNION ALL SELECT pair, k, date, CASE WHEN v > 10 THEN 0.0 ELSE v END, v FROM (SELECT n.*, CASE WHEN n.x2 IS NULL OR n.mu IS NULL THEN c.s ELSE greatest(0.0, c.s + n.x2 - n.mu - 0.3) END AS v FROM cu c JOIN cx n ON n.pair = c.pair AND n.k = c.k + 1)"})(
-    lambda w: scans.cusum_scan(w.market.select("pair", "date", F.round(F.least(F.pow((F.col("rr25_1m") + 1) * 2, 2), F.lit(9.0)), 9).alias("x2")).withColumn("mu", F.when(F.count("x2").over(SERIES.rowsBetween(-252, -1)) >= 63, F.avg("x2").over(SERIES.rowsBetween(-252, -1)))), "x2", "mu", 0.3, 10.0))
+    lambda w: scans.cusum_scan(w.market.select("pair", "date", F.round(F.least(F.pow((F.col("rr25_1m") + 1) * 2, 2), F.lit(9.0)), 9).alias("x2")).withColumn("mu", F.when(F.count("x2").over(series().rowsBetween(-252, -1)) >= 63, F.avg("x2").over(series().rowsBetween(-252, -1)))), "x2", "mu", 0.3, 10.0))
 add("merge_rare", "pair date:d regime", "SELECT pair, date, CASE WHEN regime = 'stressed' AND n < 400 THEN 'agitated' ELSE regime END AS regime FROM lab LEFT JOIN (SELECT pair, count(*) AS n FROM runs WHERE regime = 'stressed' GROUP BY ALL) USING (pair)")(lambda w: st.merge_rare(w.labels, "stressed", "agitated", 400))
 add("transition_matrix", "pair from_state to_state moves:i p:f", "SELECT * FROM mat")(lambda w: st.transition_matrix(w.labels, 10.0))
 add("duration_check", "pair regime implied_days:f observed_mean_days:f episodes:i", """SELECT pair, regime, 1 / greatest(1e-9, 1 - CASE WHEN t = 0 THEN 0 ELSE m / t END) AS implied_days, observed_mean_days, episodes FROM
@@ -204,14 +204,14 @@ add("escalations", "pair date:d from_state to_state", f"SELECT pair, date, was A
 _Y = f"SELECT pair, date, regime, lead(atm_1m, 5) OVER {W} - atm_1m AS y FROM lab JOIN market USING (pair, date)"
 add("oos_separation", "pair n_test:i r2:f", f"""SELECT pair, count(*) AS n_test, 1 - sum(power(y - p, 2)) / sum(power(y - q, 2)) AS r2 FROM (SELECT pair, y, t, coalesce(avg(CASE WHEN NOT t THEN y END) OVER (PARTITION BY pair, f, regime), avg(CASE WHEN NOT t THEN y END) OVER (PARTITION BY pair, f)) AS p, avg(CASE WHEN NOT t THEN y END) OVER (PARTITION BY pair, f) AS q
     FROM (SELECT *, i >= CAST(floor(floor(0.4 * n) + (n - floor(0.4 * n)) * f / 4.0) AS BIGINT) AS t FROM (SELECT *, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY pair) AS n FROM ({_Y}) WHERE y IS NOT NULL) CROSS JOIN (SELECT unnest(range(4)) AS f) WHERE i < CAST(floor(floor(0.4 * n) + (n - floor(0.4 * n)) * (f + 1) / 4.0) AS BIGINT))) WHERE t GROUP BY ALL""")(
-    lambda w: st.oos_separation(w.labels.join(w.market.select("pair", "date", (F.lead("atm_1m", 5).over(SERIES) - F.col("atm_1m")).alias("y")), ["pair", "date"])))
+    lambda w: st.oos_separation(w.labels.join(w.market.select("pair", "date", (F.lead("atm_1m", 5).over(series()) - F.col("atm_1m")).alias("y")), ["pair", "date"])))
 add("step_breaks", "pair lower:f upper:f sse:f", f"""SELECT pair, lower, upper, sse FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY sse, ka, kb) AS b FROM (SELECT a.pair, a.k AS ka, b.k AS kb, a.g AS lower, b.g AS upper, round(a.s2 - power(a.b1, 2) / a.c - power(b.b1 - a.b1, 2) / (b.c - a.c) - power(a.s1 - b.b1, 2) / (a.n - b.c), 6) AS sse
     FROM sg a JOIN sg b ON a.pair = b.pair AND a.k < b.k WHERE a.c >= floor(0.08 * a.n) AND b.c - a.c >= floor(0.08 * a.n) AND a.n - b.c >= floor(0.08 * a.n))) WHERE b = 1""", False, {
     "sd": f"SELECT pair, date, atm_1m AS s, lead(atm_1y, 5) OVER {W} - atm_1y AS y FROM market",
     "sq": "SELECT pair, count(*) AS n, sum(y) AS s1, sum(y * y) AS s2, quantile_cont(s, [" + ", ".join(repr(0.08 + 0.84 * k / 39) for k in range(40)) + "]) AS g FROM sd WHERE y IS NOT NULL GROUP BY ALL",
     "sl": "SELECT pair, n, s1, s2, unnest(range(40)) AS k, round(unnest(g), 9) AS g FROM sq",
     "sg": "SELECT l.pair, l.n, l.s1, l.s2, l.k, l.g, count(d.y) AS c, coalesce(sum(d.y), 0) AS b1 FROM sl l LEFT JOIN sd d ON d.pair = l.pair AND round(d.s, 9) < l.g AND d.y IS NOT NULL GROUP BY ALL"})(
-    lambda w: st.step_breaks(w.market.withColumn("y", F.lead("atm_1y", 5).over(SERIES) - F.col("atm_1y")), "atm_1m", "y"))
+    lambda w: st.step_breaks(w.market.withColumn("y", F.lead("atm_1y", 5).over(series()) - F.col("atm_1y")), "atm_1m", "y"))
 
 # tags
 add("event_window", "pair date:d event", "SELECT pair, date, coalesce(t, 'none') AS event FROM market LEFT JOIN (SELECT pair, i, CASE WHEN bool_or(i <= pos) THEN 'pre' ELSE 'post' END AS t FROM (SELECT pair, pos, unnest(range(pos - 3, pos + 2)) AS i FROM epos) GROUP BY ALL) USING (pair, i)")(lambda w: st.event_window_tag(w.market, w.events))
@@ -277,7 +277,7 @@ add("largest_days", "trade_id date:d age:i pnl:f", "SELECT trade_id, date, age,
 _CV = ["pnl_vol", "pnl_spot", "pnl_rr", "pnl_fly", "pnl_theta", "pnl_trade", "pnl_delta_hedge", "pnl_vega_hedge"]
 add("component_variance", "archetype component ratio:f", "UNPIVOT (SELECT archetype, " + ", ".join(f"var_samp({c}) / nullif(var_samp(pnl), 0) AS {c}" for c in _CV) + " FROM td GROUP BY ALL) ON " + ", ".join(_CV) + " INTO NAME component VALUE ratio")(lambda w: ev.component_variance(w.td))
 add("decile_bins", "pair bin:i n:i mean:f se:f", f"SELECT pair, greatest(1, ceil(round(v, 9) / 10)) AS bin, count(*) AS n, avg(y) AS mean, stddev_samp(y) / sqrt(count(*)) * sqrt(5.0) AS se FROM p_vol JOIN (SELECT pair, date, lead(atm_1m, 5) OVER {W} - atm_1m AS y FROM market) USING (pair, date) WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY ALL")(
-    lambda w: ev.decile_bins(w.market.withColumns({"s": rolling_percentile("atm_1m", 756), "y": F.lead("atm_1m", 5).over(SERIES) - F.col("atm_1m")}), "s", "y"))
+    lambda w: ev.decile_bins(w.market.withColumns({"s": rolling_percentile("atm_1m", 756), "y": F.lead("atm_1m", 5).over(series()) - F.col("atm_1m")}), "s", "y"))
 _YS = "SELECT pair, year(date) AS year, regime, count(*) AS days, count(*) / CAST(sum(count(*)) OVER (PARTITION BY pair, year(date)) AS DOUBLE) AS share FROM {} GROUP BY pair, year(date), regime"
 add("yearly_share", "pair year:i regime days:i share:f", _YS.format("lab"))(lambda w: ev.yearly_share(w.labels))
 add("label_tv_distance", "pair year:i distance:f", "SELECT pair, year, sum(abs(coalesce(a.share, 0) - coalesce(b.share, 0))) / 2 AS distance FROM ya a FULL JOIN yb b USING (pair, year, regime) GROUP BY ALL", False, {"lab2": "SELECT pair, date, CASE WHEN atm_1m < 9.8 THEN 'carry' ELSE 'stressed' END AS regime FROM market", "ya": _YS.format("lab"), "yb": _YS.format("lab2")})(
@@ -291,12 +291,12 @@ add("pnl_summary", f"{GS} trades:i rows:i first_entry:d last_entry:d mean:f sd:f
 
 # fitted models, rows only
 def _scored(w: World) -> DataFrame:
-    y = {"target": F.lead("atm_1m", 5).over(SERIES) - F.col("atm_1m"), "level_target": F.lead("rv_1m", 5).over(SERIES), "score": rolling_percentile("atm_1m", 252)}
+    y = {"target": F.lead("atm_1m", 5).over(series()) - F.col("atm_1m"), "level_target": F.lead("rv_1m", 5).over(series()), "score": rolling_percentile("atm_1m", 252)}
     return w.market.withColumns(y).select("pair", "date", "score", "target", "level_target")
 
 
 def _screened(w: World) -> DataFrame:
-    t = w.labels.join(w.market.select("pair", "date", "rr25_1m", "fly25_1m", F.col("atm_1y").alias("score"), (F.lead("rv_1w", 5).over(SERIES)).alias("y")), ["pair", "date"])
+    t = w.labels.join(w.market.select("pair", "date", "rr25_1m", "fly25_1m", F.col("atm_1y").alias("score"), (F.lead("rv_1w", 5).over(series())).alias("y")), ["pair", "date"])
     return t
 
 
