@@ -45,8 +45,13 @@ def _covered(places: str, n: int) -> Column:
     return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step)["n"]
 
 
+def _shares(counts: str) -> Column:
+    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(counts, lambda x: F.try_divide(x, total))
+
+
 def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, lang, the counts of the rules and the two histograms (arrays of counts) of every text."""
+    """doc_id, text_hash, lang, the counts of the rules and the two histograms (arrays of shares) of every text."""
     text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", F.coalesce("text", F.lit("")).alias("text"))
     t = text.select("doc_id", "text_hash", "lang", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
     t = t.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
@@ -90,18 +95,13 @@ def text_counts(docs: DataFrame) -> DataFrame:
     t = t.withColumn("again", _again("ranked"))
     t = t.withColumn("n_repeat_words", F.coalesce(_covered("again", 8), F.lit(0)).cast("long")).drop("ranked", "again")
     others = F.greatest(F.col("n_words") - F.aggregate("common", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    return t.withColumn("common", F.array_append("common", others))
-
-
-def _shares(counts: str) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(counts, lambda x: F.try_divide(x, total))
+    t = t.withColumn("common", F.array_append("common", others))
+    return t.withColumns({"chars": _shares("chars"), "common": _shares("common")})
 
 
 def references(counts: DataFrame) -> DataFrame:
     """lang, chars, common: the mean histograms of each supported language, over all its documents of enough text."""
     use = counts.where(F.col("lang").isin([*COMMON_WORDS]) & (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS))
-    use = use.select("lang", _shares("chars").alias("chars"), _shares("common").alias("common"))
     n = {"chars": 7, "common": len(WORDS) + 1}
     means = use.groupBy("lang").agg(*(F.avg(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in n for i in range(n[c])))
     return means.select("lang", *(F.array(*(F.col(f"{c}{i}") for i in range(n[c]))).alias(c) for c in n))
@@ -129,10 +129,9 @@ def judge(docs: DataFrame, far_chars: float = FAR_CHARS, far_words: float = FAR_
     counts = stored(text_counts(docs), "quality-counts")
     refs = [r for r in references(counts).collect() if r["chars"][0] is not None]  # one row a supported language at most
     lit = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
-    t = counts.withColumns({"p": _shares("chars"), "w": _shares("common")})
-    measured = (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS)
+    t, measured = counts, (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS)
     if refs:
-        pairs = t.withColumn("d", F.array(*(F.struct(js_distance(F.col("p"), lit(r["chars"])).alias("c"), js_distance(F.col("w"), lit(r["common"])).alias("w")) for r in refs)))
+        pairs = t.withColumn("d", F.array(*(F.struct(js_distance(F.col("chars"), lit(r["chars"])).alias("c"), js_distance(F.col("common"), lit(r["common"])).alias("w")) for r in refs)))
         near = F.array_min(F.transform("d", lambda d: F.struct((d["c"] / far_chars + d["w"] / far_words).alias("s"), d["c"].alias("c"), d["w"].alias("w"))))
         t = pairs.withColumn("near", F.when(measured, near)).withColumns({"chars_distance": F.col("near.c"), "words_distance": F.col("near.w")})
     else:
