@@ -241,3 +241,21 @@ def test_stream_scan(spark, tmp_path):
     got = {r["date"]: r["level"] for r in spark.table("levels").collect()}
     want = kn.levels(np.array([r[2] for r in rows]), (3.0, 7.0), 0.5)
     assert [got[d] for d in days(12)] == want.tolist()
+
+
+def test_reports(spark, tmp_path):
+    import json
+
+    from tidelark.operators import report
+
+    lad = spark.createDataFrame([("p", "a", 21, "carry", h, 5, 2.0, 3, 0.1 * h, None, None, 0.5, -1.0, -2.0) for h in (1, 3)], "pair string, archetype string, tenor_days int, regime string, h int, n int, n_eff double, episodes int, mean double, ci_lo double, ci_hi double, p_profit double, q05 double, es05 double")
+    inc = spark.createDataFrame([("p", "a", "carry", "d1-1", 1, 0.1), ("p", "a", "carry", "d2-3", 2, -0.2)], "pair string, archetype string, regime string, bucket string, h_from int, earn_per_day double")
+    text = report.card(lad, inc, "p", "a", "carry")
+    assert "Thin evidence: 3 episodes" in text and "d2-3 at -0.2" in text and text.count("\n| ") >= 3
+    assert "(first 1 rows)" in report.markdown(lad, 1)
+    assert len(report.packet("t", {"ladder": lad}, most_characters=200)) <= 200
+    assert report.dump({"ladder": (lad, "the ladder")}, str(tmp_path)).count() == 1 and (tmp_path / "ladder.csv").exists()
+    page = json.loads(report.payload({"p": {"ladder": lad}}))
+    assert page["p"]["ladder"]["columns"]["ci_lo"] == [None, None] and page["p"]["ladder"]["complete"]
+    with pytest.raises(ValueError, match="pair"):
+        report.payload({})

@@ -236,17 +236,31 @@ def tilt(matrix: DataFrame, psi: Column, beta: float) -> DataFrame:
     return t.withColumn("p", F.col("_w") / F.sum("_w").over(Window.partitionBy("pair", "from_state"))).drop("_w")
 
 
-def fan(matrix: DataFrame, start: str, horizon: int = 21) -> DataFrame:
-    """Distribution over states 1 to ``horizon`` days after ``start``: a fold of the matrix of each pair over the days."""
+def fans(matrix: DataFrame, horizon: int = 21) -> DataFrame:
+    """Distribution over states 1 to ``horizon`` days after each state: a fold of the matrix of each pair over the days."""
     rows = matrix.groupBy("pair", "from_state").agg(F.array_sort(F.collect_list(F.struct("to_state", "p"))).alias("to"))
     m = rows.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("from_state", F.col("to.p").alias("p")))).alias("m"))
-    first = F.transform("m", lambda r: F.when(r["from_state"] == start, 1.0).otherwise(0.0))
+    m = m.select("pair", "m", F.explode("m.from_state").alias("start"))
+    first = F.transform("m", lambda r: F.when(r["from_state"] == F.col("start"), 1.0).otherwise(0.0))
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     times = lambda pi: F.aggregate(F.zip_with(pi, "m", lambda x, r: F.transform(r["p"], lambda q: x * q)), F.transform("m", lambda r: F.lit(0.0)), add)
     step = lambda acc, h: F.array_append(acc, times(F.element_at(acc, -1)))
     fold = F.aggregate(F.sequence(F.lit(1), F.lit(horizon)), F.array(first), step)
-    days = m.select("pair", F.col("m.from_state").alias("states"), F.posexplode(fold).alias("h", "pi")).where("h > 0")
-    return days.select("pair", "h", F.explode(F.arrays_zip("states", F.col("pi").alias("pi"))).alias("z")).select("pair", "h", F.col("z.states").alias("state"), F.col("z.pi").alias("p"))
+    days = m.select("pair", "start", F.col("m.from_state").alias("states"), F.posexplode(fold).alias("h", "pi")).where("h > 0")
+    return days.select("pair", "start", "h", F.explode(F.arrays_zip("states", F.col("pi").alias("pi"))).alias("z")).select("pair", "start", "h", F.col("z.states").alias("state"), F.col("z.pi").alias("p"))
+
+
+def fan(matrix: DataFrame, start: str, horizon: int = 21) -> DataFrame:
+    """The fan of one start state."""
+    return fans(matrix, horizon).where(F.col("start") == start).drop("start")
+
+
+def true_ladder(matrix: DataFrame, base: dict[str, float], slope: float, tenor: int = 21, horizons: tuple[int, ...] = (1, 3, 5, 10, 20), decay: float = 4.0) -> DataFrame:
+    """What a unit entered in each state earns on average up to h days, if days pay by their state and the theta grows to expiry."""
+    day = fans(matrix, tenor).groupBy("pair", "start", "h").agg(F.sum(F.col("p") * lookup(base, F.col("state"), 0.0)).alias("e"))
+    pay = F.col("e") + slope * F.exp(-(tenor - F.col("h")) / decay)
+    w = Window.partitionBy("pair", "start").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
+    return day.select("pair", F.col("start").alias("regime"), "h", F.sum(pay).over(w).alias("true_ev")).where(F.col("h").isin([*horizons, tenor]))
 
 
 def log_likelihood(labels: DataFrame, matrix: DataFrame) -> DataFrame:

@@ -240,6 +240,9 @@ _TILT = "SELECT pair, from_state, to_state, v / sum(v) OVER (PARTITION BY pair,
 add("tilt_matrix", "pair from_state to_state p:f", _TILT)(lambda w: st.tilt(st.transition_matrix(w.labels, 10.0), F.lit(1.5), 0.4))
 add("loglik_k1", "pair n:i loglik:f", f"SELECT pair, count(*) AS n, sum(ln(greatest(p, 1e-300))) AS loglik FROM (SELECT pair, regime AS from_state, lead(regime) OVER {W} AS to_state FROM lab) JOIN mat USING (pair, from_state, to_state) GROUP BY ALL")(lambda w: st.log_likelihood(w.labels, st.transition_matrix(w.labels, 10.0)))
 add("fan_21", "pair h:i state p:f", "SELECT pair, h, state, p FROM fn WHERE h > 0", True, {"fn": "SELECT DISTINCT pair, 0 AS h, from_state AS state, CASE WHEN from_state = 'carry' THEN CAST(1 AS DOUBLE) ELSE 0 END AS p FROM mat UNION ALL SELECT f.pair, f.h + 1, m.to_state, sum(f.p * m.p) FROM fn f JOIN mat m ON m.pair = f.pair AND m.from_state = f.state WHERE f.h < 21 GROUP BY f.pair, f.h, m.to_state"})(lambda w: st.fan(st.transition_matrix(w.labels, 10.0), "carry"))
+_PAY = {"carry": 0.1, "agitated": -0.05, "stressed": -0.3}
+add("true_ladder", "pair regime h:i true_ev:f", "SELECT * FROM (SELECT pair, start AS regime, h, sum(e + 0.2 * exp(-(21 - h) / 4.0)) OVER (PARTITION BY pair, start ORDER BY h) AS true_ev FROM (SELECT pair, start, h, sum(p * CASE state WHEN 'carry' THEN 0.1 WHEN 'agitated' THEN -0.05 ELSE -0.3 END) AS e FROM fa WHERE h > 0 GROUP BY ALL)) WHERE h IN (1, 3, 5, 10, 20, 21)", True, {
+    "fa": "SELECT DISTINCT a.pair, a.from_state AS start, 0 AS h, b.from_state AS state, CASE WHEN a.from_state = b.from_state THEN CAST(1 AS DOUBLE) ELSE 0 END AS p FROM mat a JOIN mat b ON a.pair = b.pair UNION ALL SELECT f.pair, f.start, f.h + 1, m.to_state, sum(f.p * m.p) FROM fa f JOIN mat m ON m.pair = f.pair AND m.from_state = f.state WHERE f.h < 21 GROUP BY f.pair, f.start, f.h, m.to_state"})(lambda w: st.true_ladder(st.transition_matrix(w.labels, 10.0), _PAY, 0.2))
 add("covariate_paths", "h:i frozen:f decay:f zero:f", "SELECT h, 1.2 AS frozen, 1.2 * power(0.5, h / 10.0) AS decay, 0.0 AS zero FROM (SELECT unnest(range(1, 22)) AS h)")(lambda w: st.covariate_paths(w.spark, 1.2, 21))
 _AL = f"""SELECT *, rank() OVER (PARTITION BY pair, k ORDER BY x) + (count(*) OVER (PARTITION BY pair, k, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pair, k ORDER BY y) + (count(*) OVER (PARTITION BY pair, k, y) - 1) / 2.0 AS b FROM (SELECT m.pair, s.k, round(m.atm_1m, 9) AS x, t.rv_1w AS y FROM market m CROSS JOIN (SELECT unnest([-10, -5, 0, 5, 10]) AS k) s JOIN market t ON t.pair = m.pair AND t.i = m.i + s.k) WHERE x IS NOT NULL AND y IS NOT NULL"""
 add("alignment_spearman", "pair k:i n:i rho:f", f"SELECT pair, k, count(*) AS n, corr(a, b) AS rho FROM ({_AL}) GROUP BY ALL")(lambda w: st.alignment(w.market, "atm_1m", "rv_1w", (-10, -5, 0, 5, 10)))
