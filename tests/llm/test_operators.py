@@ -491,3 +491,37 @@ def test_pipeline(spark, sf):
     mixed = pipeline.mixing(spark, docs, sf)
     assert mixed.columns == docs.columns and mixed.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
     assert pipeline.run(spark, sf).count() > 0
+
+
+def test_similar_groups_against_all_pairs():
+    from tidelark.llm.similar import shingle_set, similar_groups
+
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 400, int(rng.integers(3, 90)))]
+        for _ in range(int(rng.integers(1, 9))):
+            w = list(base)
+            for i in rng.integers(0, len(w), int(rng.integers(0, 4))):
+                w[i] = f"e{rng.integers(0, 9)}"
+            texts.append(" ".join(w))
+    texts += ["", " ", "one two", "One  two"]
+    sets = [shingle_set(x) for x in texts]
+    label = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                both, union = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+                if 5 * both >= 4 * union:
+                    label[i] = label[j] = min(label[i], label[j])
+    assert similar_groups(sets).tolist() == label
+
+
+def test_near_dedup_checks_links(spark, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    monkeypatch.setattr(pipeline, "NEAR_BITS", 24)  # proposes far too much, as chance does in a large corpus
+    base = [f"word{i}" for i in range(100)]
+    half = base[:60] + [f"other{i}" for i in range(40)]  # five-word similarity 0.4
+    near = base[:99] + ["end"]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(half)), (3, " ".join(near))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
