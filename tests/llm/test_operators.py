@@ -525,3 +525,12 @@ def test_near_dedup_checks_links(spark, monkeypatch):
     near = base[:99] + ["end"]
     docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(half)), (3, " ".join(near))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in pipeline.near_dedup(spark, docs, "").collect()) == [1, 2]
+
+
+def test_near_dedup_keeps_unlinked_texts_of_one_id(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    text = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (1, text("d")), (5, text("d")), (5, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, text("a")), (0, text("b")), (0, text("c")), (1, text("d")), (5, text("e"))])
