@@ -259,3 +259,23 @@ def test_reports(spark, tmp_path):
     assert page["p"]["ladder"]["columns"]["ci_lo"] == [None, None] and page["p"]["ladder"]["complete"]
     with pytest.raises(ValueError, match="pair"):
         report.payload({})
+
+
+def test_leading_screen_asks_the_holdout(spark):
+    from tidelark.operators import models as md
+
+    rng = np.random.default_rng(5)
+    n, rows = 1500, []
+    for pair, late in (("p", -1.0), ("q", 1.0)):
+        x = np.zeros(n)
+        for i in range(1, n):
+            x[i] = 0.9 * x[i - 1] + rng.normal()
+        for i, d in enumerate(days(n)):
+            y = (x[i] if i < 0.8 * n else late * x[i]) + rng.normal()
+            rows.append((pair, d, "stressed" if x[max(0, i - 4)] + rng.normal() > 0.5 else "carry", float(rng.normal()), float(y), float(x[i]), float(rng.normal())))
+    t = spark.createDataFrame(rows, "pair string, date date, regime string, score double, y double, lead double, noise double")
+    got = {(r["pair"], r["feature"]): r for r in md.leading_screen(t, ["lead", "noise"], permutations=19).collect()}
+    assert got["p", "lead"]["for_holdout"] and not got["p", "lead"]["retain"] and got["p", "lead"]["fail_reason"] == "holdout_delta_r2"
+    assert got["q", "lead"]["retain"] and got["q", "lead"]["fail_reason"] == ""
+    for pair in "pq":
+        assert not got[pair, "noise"]["for_holdout"] and not got[pair, "noise"]["retain"] and got[pair, "noise"]["delta_r2_holdout"] is None

@@ -212,26 +212,26 @@ def oos_r2(x: np.ndarray, y: np.ndarray, folds: int = 4, first: float = 0.4) ->
     return (1 - sse / sst if sst > 0 else np.nan), each
 
 
-def incremental_value(feature: np.ndarray, score: np.ndarray, states: np.ndarray, y: np.ndarray, rank: np.ndarray, permutations: int = 100, seed: int = 0, key: str = "") -> dict[str, float]:
-    """What a feature adds to state and score for an outcome and for transitions, with a permutation test by circular shifts."""
+def incremental_value(feature: np.ndarray, score: np.ndarray, states: np.ndarray, y: np.ndarray, rank: np.ndarray, permutations: int = 100, seed: int = 0, key: str = "", k: int = 1, folds: int = 4, first: float = 0.4) -> dict[str, float]:
+    """What a feature adds to state and score for an outcome and for transitions k rows on, with a permutation test by circular shifts."""
     ok = np.isfinite(feature) & np.isfinite(score) & np.isfinite(y)
     f, s, z, t = feature[ok], states[ok], score[ok], y[ok]
     if ok.sum() < 100:
         return {"n": int(ok.sum()), "delta_r2": np.nan, "folds_up": 0, "gain": np.nan, "gain_folds_up": 0, "p_perm": np.nan}
     zs = (z - z.mean()) / (z.std() or 1)
     most = np.bincount(s).argmax()
-    dummies = [(s == k).astype(float) for k in np.unique(s) if k != most]
+    dummies = [(s == i).astype(float) for i in np.unique(s) if i != most]
     base = np.column_stack([np.ones(len(t)), *dummies, zs, zs**2])
-    r0, e0 = oos_r2(base, t)
+    r0, e0 = oos_r2(base, t, folds, first)
 
     def delta(v: np.ndarray) -> tuple[float, int]:
-        r, e = oos_r2(np.column_stack([base, (v - v.mean()) / (v.std() or 1)]), t)
+        r, e = oos_r2(np.column_stack([base, (v - v.mean()) / (v.std() or 1)]), t, folds, first)
         return r - r0, int(np.nansum(e > e0))
 
     d, up = delta(f)
     shifts = _draws(seed, (key, "shift"), max(1, len(f) - 2 * 21), (1, permutations))[0] + 21
-    beats = sum(delta(np.roll(f, int(k)))[0] >= d for k in shifts)
-    g = tilt_gain(states, feature, rank)
+    beats = sum(delta(np.roll(f, int(i)))[0] >= d for i in shifts)
+    g = tilt_gain(states, feature, rank, folds, k, first)
     return {"n": int(ok.sum()), "delta_r2": d, "folds_up": up, "gain": g["gain"], "gain_folds_up": g["folds_up"], "p_perm": (1 + beats) / (1 + permutations)}
 
 

@@ -112,25 +112,39 @@ def tilt_fits(t: DataFrame, features: list[str], k: int = 1) -> DataFrame:
     return long.groupBy("pair", "feature").applyInPandas(run, "pair string, feature string, n int, beta double, gain double, folds_up int")
 
 
-def leading_screen(t: DataFrame, features: list[str], permutations: int = 100, least_r2: float = 0.005, least_gain: float = 0.002, folds: int = 3, p_max: float = 0.05, top: int = 3) -> DataFrame:
+def leading_screen(t: DataFrame, features: list[str], permutations: int = 100, least_r2: float = 0.005, least_gain: float = 0.002, folds: int = 3, p_max: float = 0.05, top: int = 3, k: int = 5, holdout: float = 0.2) -> DataFrame:
     """What each feature adds, and whether it is retained; t: pair, date, regime, score, y and the features.
 
-    Pairs and features are groups. Retained are features that help both outcome and
-    transitions, in enough folds, beyond chance; the ``top`` by R2 are marked for the hold-out.
+    Pairs and features are groups. Features are developed on the dates before the last
+    ``holdout`` of the span: there they must help both outcome and transitions (k rows on), in
+    enough folds, beyond chance. The ``top`` of those by R2 are tested on the rest, trained on
+    all before it, and stay retained unless it contradicts them; all others are not retained.
     """
-    long, stress = t.unpivot(["pair", "date", "regime", "score", "y"], features, "feature", "x"), dict(RANK)
+    span = t.agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    cut = F.expr("a + cast(floor(datediff(b, a) * cast(%r as double)) as int)" % (1 - holdout)).alias("cut")
+    long, stress = t.unpivot(["pair", "date", "regime", "score", "y"], features, "feature", "x").crossJoin(F.broadcast(span.select(cut))), dict(RANK)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date")
         s, rank = kn.ranked_states(g["regime"].tolist(), stress)
-        got = kn.incremental_value(g["x"].to_numpy(float), g["score"].to_numpy(float), s, g["y"].to_numpy(float), rank, permutations, key="/".join(map(str, key)))
-        return pd.DataFrame([[*key, *got.values()]])
-
-    out = long.groupBy("pair", "feature").applyInPandas(run, "pair string, feature string, n int, delta_r2 double, folds_up int, gain double, gain_folds_up int, p_perm double")
-    keep = (F.col("delta_r2") >= least_r2) & (F.col("gain") >= least_gain) & (F.col("folds_up") >= folds) & (F.col("gain_folds_up") >= folds) & (F.col("p_perm") <= p_max)
-    reason = F.concat_ws(",", *(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in (("delta_r2", F.col("delta_r2") >= least_r2), ("gain", F.col("gain") >= least_gain), ("folds", F.col("folds_up") >= folds), ("gain_folds", F.col("gain_folds_up") >= folds), ("p_perm", F.col("p_perm") <= p_max))))
-    place = F.row_number().over(Window.partitionBy("pair").orderBy(F.col("delta_r2").desc_nulls_last(), "feature"))
-    return out.withColumns({"retain": F.coalesce(keep, F.lit(False)), "fail_reason": reason, "place": place}).withColumn("for_holdout", F.col("place") <= top)
+        x, score, y = (g[c].to_numpy(float) for c in ("x", "score", "y"))
+        dev = (g["date"] <= g["cut"]).to_numpy()
+        got = kn.incremental_value(x[dev], score[dev], s[dev], y[dev], rank, permutations, key="/".join(map(str, key)), k=k)
+        held = kn.incremental_value(x, score, s, y, rank, 0, k=k, folds=1, first=1 - holdout)
+        return pd.DataFrame([[*key, *got.values(), held["delta_r2"], held["gain"]]])
+
+    out = long.groupBy("pair", "feature").applyInPandas(run, "pair string, feature string, n int, delta_r2 double, folds_up int, gain double, gain_folds_up int, p_perm double, delta_r2_holdout double, gain_holdout double")
+    known = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(float("-inf")))
+    rules = (("delta_r2", known("delta_r2") >= least_r2), ("gain", known("gain") >= least_gain), ("folds", F.col("folds_up") >= folds), ("gain_folds", F.col("gain_folds_up") >= folds), ("p_perm", F.coalesce(F.col("p_perm") <= p_max, F.lit(False))))
+    failed = F.concat_ws(",", *(F.when(~ok, F.lit(n)) for n, ok in rules))
+    place = F.row_number().over(Window.partitionBy("pair").orderBy((failed == "").desc(), known("delta_r2").desc(), "feature"))
+    out = out.withColumns({"_failed": failed, "place": place}).withColumn("for_holdout", (F.col("_failed") == "") & (F.col("place") <= top))
+    reason = (
+        F.when(F.col("_failed") != "", F.col("_failed")).when(~F.col("for_holdout"), "not_in_holdout_top")
+        .when(known("delta_r2_holdout") <= -least_r2, "holdout_delta_r2").when(known("gain_holdout") <= -least_gain, "holdout_gain").otherwise("")
+    )
+    only = {c: F.when(F.col("for_holdout"), F.col(c)) for c in ("delta_r2_holdout", "gain_holdout")}
+    return out.withColumn("fail_reason", reason).withColumn("retain", F.col("fail_reason") == "").withColumns(only).drop("_failed")
 
 
 def gate_leading(screen: DataFrame, least_gain: float = 0.002, folds: int = 3) -> DataFrame:

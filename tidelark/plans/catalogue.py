@@ -308,7 +308,7 @@ add("shock_score", "pair date:d cusum:f p_young:f run:i score:f", None)(lambda w
 add("finder_report", "pair candidate:i partition r2:f switches:i min_episodes:i lower:f upper:f feasible:b chosen:b winner:b", None)(lambda w: md.finder(_scored(w)))
 add("auto_labels", "pair date:d regime warm:b", None)(lambda w: md.make_labels(_scored(w), md.finder(_scored(w))))
 add("tilt_fit", "pair feature n:i beta:f gain:f folds_up:i", None)(lambda w: md.tilt_fits(_screened(w), ["rr25_1m", "fly25_1m"]))
-add("leading_screen", "pair feature n:i delta_r2:f folds_up:i gain:f gain_folds_up:i p_perm:f retain:b fail_reason for_holdout:b", None)(lambda w: md.leading_screen(_screened(w), ["rr25_1m", "fly25_1m"], permutations=20))
+add("leading_screen", "pair feature n:i delta_r2:f folds_up:i gain:f gain_folds_up:i p_perm:f retain:b fail_reason for_holdout:b delta_r2_holdout:f gain_holdout:f", None)(lambda w: md.leading_screen(_screened(w).join(ft.build(w.market, None, ft.LEADING), ["pair", "date"]), list(ft.LEADING)))
 add("discover_substates", "pair regime k:i bic:f min_runs:i stability:f accepted:b", None)(lambda w: md.discover(st.characteristics(w.market), w.labels))
 add("factor_share", "pair date:d share:f", None)(lambda w: md.factor_share(w.market, ["spot", "g10_1", "g10_2", "g10_3"]))
 add("sweep_table", "variant pair candidate:i partition r2:f switches:i min_episodes:i", None)(lambda w: md.sweep(_scored(w), {"base": {}, "tight": {"budget": 15.0}}))
