@@ -279,3 +279,14 @@ def test_leading_screen_asks_the_holdout(spark):
     assert got["q", "lead"]["retain"] and got["q", "lead"]["fail_reason"] == ""
     for pair in "pq":
         assert not got[pair, "noise"]["for_holdout"] and not got[pair, "noise"]["retain"] and got[pair, "noise"]["delta_r2_holdout"] is None
+
+
+def test_payload_is_whole_and_by_date(spark):
+    import json
+
+    from tidelark.operators import report
+
+    t = spark.range(2499, numPartitions=3).selectExpr("date_sub(date '2020-01-01', cast(id as int)) as date", "id as x")
+    got = json.loads(report.payload({"p": {"daily": t}}))["p"]["daily"]
+    assert got["columns"]["x"] == list(range(2498, -1, -1)) and got["complete"]
+    assert got["columns"]["date"] == sorted(got["columns"]["date"])

@@ -1,6 +1,6 @@
 """Result tables as text and files: Markdown, cards, folders of artefacts, a JSON payload.
 
-Only results go through the driver; each has a stated limit of rows and says so when it is met.
+Only results go through the driver. Markdown has a stated limit of rows and says so when it is met; a page's payload is whole.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from tidelark.sources import tables as tb
 
-MOST_ROWS = 2000
-
 
 def _rows(df: DataFrame, most: int) -> tuple[list, bool]:
     rows = df.limit(most + 1).collect()
@@ -68,14 +66,17 @@ def _clean(v: object) -> object:
     return v.isoformat() if isinstance(v, dt.date) else v
 
 
-def payload(pairs: dict[str, dict[str, DataFrame]], most: int = MOST_ROWS) -> str:
-    """Tables of each pair as JSON, column by column; what is missing is null. No pair, or one without a table, is refused."""
+def payload(pairs: dict[str, dict[str, DataFrame]]) -> str:
+    """Whole tables of each pair as JSON, column by column, by date where they have one; what is missing is null.
+
+    No pair, or one without a table, is refused.
+    """
     if not pairs or not all(pairs.values()):
         raise ValueError("a page needs a pair, and each pair a table")
     out: dict[str, dict] = {}
     for pair, tables in pairs.items():
         out[pair] = {}
         for name, df in tables.items():
-            rows, more = _rows(df, most)
-            out[pair][name] = {"columns": {c: [_clean(r[c]) for r in rows] for c in df.columns}, "complete": not more}
+            rows = (df.orderBy("date", *(c for c in df.columns if c != "date")) if "date" in df.columns else df).collect()
+            out[pair][name] = {"columns": {c: [_clean(r[c]) for r in rows] for c in df.columns}, "complete": True}
     return json.dumps(out, sort_keys=True)
