@@ -196,7 +196,7 @@ def factor_share(m: DataFrame, cols: list[str], window: int = 20) -> DataFrame:
 
 
 def sweep(t: DataFrame, variants: dict[str, dict], confirm: float = 0.3) -> DataFrame:
-    """The finder's choice under variants of its settings, fitted on the first part of the dates."""
+    """The finder's choice under variants of its settings, fitted on the first part of the dates; the rest is not used (see the README)."""
     n = F.count(F.lit(1)).over(Window.partitionBy("pair"))
     fit = t.withColumn("_i", F.row_number().over(series())).withColumn("_n", n).where(F.col("_i") <= F.floor((1 - confirm) * F.col("_n"))).drop("_i", "_n")
     out = None
