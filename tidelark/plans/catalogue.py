@@ -114,6 +114,7 @@ add("unlabelled_entries", "rows:i entries:i", "SELECT count(*) AS rows, count(DI
 
 # combinations
 add("vega_units", f"{GS} trade_id age:i pnl:f pnl_vol:f", f"SELECT {G}, trade_id, age, pnl / v AS pnl, pnl_vol / v AS pnl_vol FROM (SELECT *, max(CASE WHEN age = 1 THEN abs(vega) END) OVER (PARTITION BY {G}, trade_id) AS v FROM td WHERE archetype = 'put_25d') WHERE v <> 0")(lambda w: cmb.to_vega_units(w.td.where("archetype = 'put_25d'")))
+add("vega_units_all", f"{GS} trade_id age:i pnl:f pnl_vol:f", f"SELECT {G}, trade_id, age, pnl / v AS pnl, pnl_vol / v AS pnl_vol FROM (SELECT *, max(CASE WHEN age = 1 THEN abs(vega) END) OVER (PARTITION BY {G}, trade_id) AS v FROM td) WHERE v <> 0")(lambda w: cmb.to_vega_units(w.td))
 add("combine_rr", "trade_id pair archetype tenor_days:i entry_date:d date:d age:i remaining:i pnl:f", "SELECT *, concat_ws('-', pair, 'rr_25d', strftime(entry_date, '%Y-%m-%d'), tenor_days) AS trade_id, 'rr_25d' AS archetype, tenor_days - age AS remaining FROM cmb")(lambda w: cmb.combine(w.td, cmb.COMBINATIONS["rr_25d"], "rr_25d"))
 _FLY = "CASE archetype WHEN 'straddle_atm' THEN -1.0 ELSE 0.5 END"
 add("combine_fly", "trade_id age:i pnl:f pnl_fly:f", f"SELECT concat_ws('-', pair, 'fly_25d', strftime(entry_date, '%Y-%m-%d'), tenor_days) AS trade_id, age, sum({_FLY} * pnl) AS pnl, sum({_FLY} * pnl_fly) AS pnl_fly FROM td GROUP BY pair, tenor_days, entry_date, age, date HAVING count(DISTINCT archetype) = 3")(lambda w: cmb.combine(w.td, cmb.COMBINATIONS["fly_25d"], "fly_25d"))
