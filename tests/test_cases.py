@@ -290,3 +290,17 @@ def test_payload_is_whole_and_by_date(spark):
     got = json.loads(report.payload({"p": {"daily": t}}))["p"]["daily"]
     assert got["columns"]["x"] == list(range(2498, -1, -1)) and got["complete"]
     assert got["columns"]["date"] == sorted(got["columns"]["date"])
+
+
+def test_ladder_boot_draws_as_often_as_the_operator(monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from tidelark.plans import catalogue
+
+    seen = []
+    want = inspect.signature(catalogue.ld.boot_se).parameters["n_boot"].default
+    monkeypatch.setattr(catalogue.ld, "boot_se", lambda cum_lab, labels, n_boot=want: seen.append(n_boot))
+    monkeypatch.setattr(catalogue.ld, "ladder", lambda *a: None)
+    catalogue.CATALOGUE["ladder_boot"][0](SimpleNamespace(cum_lab=None, labels=None))
+    assert seen == [want] == [1000]

@@ -109,7 +109,7 @@ add("shrink", f"{CS} w_shrink:f mean_shrunk:f", f"""SELECT *, w_shrink * mean +
 add("persistence_split", f"{CS} n:i q_broke:f ev_stayed:f ev_broke:f ev:f", f"""SELECT {CELL}, count(*) AS n, avg(b) AS q_broke, avg(CASE WHEN b = 0 THEN c END) AS ev_stayed, avg(CASE WHEN b = 1 THEN c END) AS ev_broke, avg(c) AS ev
     FROM (SELECT t.pair, archetype, tenor_days, e.regime, age AS h, sum(pnl) OVER q AS c, max(CASE WHEN l.regime = e.regime THEN 0 ELSE 1 END) OVER q AS b FROM td t LEFT JOIN lab l ON l.pair = t.pair AND l.date = t.date JOIN lab e ON e.pair = t.pair AND e.date = t.entry_date
     WINDOW q AS (PARTITION BY t.pair, archetype, tenor_days, trade_id ORDER BY age)) WHERE h IN (1, 3, 5, 10, 20) OR h = tenor_days GROUP BY ALL""")(lambda w: ld.persistence_split(w.td, w.labels))
-add("ladder_boot", f"{CS} n:i mean:f se:f ci_lo:f ci_hi:f", None)(lambda w: ld.ladder(w.cum_lab, w.labels, ld.boot_se(w.cum_lab, w.labels, n_boot=400)))
+add("ladder_boot", f"{CS} n:i mean:f se:f ci_lo:f ci_hi:f", None)(lambda w: ld.ladder(w.cum_lab, w.labels, ld.boot_se(w.cum_lab, w.labels)))
 add("unlabelled_entries", "rows:i entries:i", "SELECT count(*) AS rows, count(DISTINCT pair || entry_date) AS entries FROM cum c WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.pair = c.pair AND l.date = c.entry_date AND l.regime <> 'carry')")(lambda w: ld.unlabelled_counts(ld.cumulative(w.td), w.labels.where("regime <> 'carry'")))
 
 # combinations
