@@ -3,7 +3,9 @@
 A byte-level or word-end pre-tokenizer never joins what stands on both sides of one space
 between two non-space characters, nor a letter and the punctuation after it. Such pieces
 (with the space in front) therefore encode alone to the same ids as within the text; a text
-that may hold a special token is encoded whole. Each different piece is encoded once in a
+that may hold a special token is encoded whole. Before punctuation a text is cut only after
+digits and Latin letters that normalisation leaves one letter: some letters, as the dotted
+capital I, become a letter and a mark, which joins the punctuation. Each different piece is encoded once in a
 worker; when the memory has ``KEPT`` of them, those that came most often stay. Pieces that are one word of
 Latin letters go straight to the tokenizer's model, as its pre-tokenizer leaves them whole.
 """
@@ -20,9 +22,9 @@ import numpy as np
 import pyarrow as pa
 
 KEPT, AT_ONCE = 300_000, 4_096
-_MARK = r"[!-/:-@\[-^`{-~]"
+_MARK = r"(?<=[0-9A-Za-zÀ-ÖØ-öø-ÿĀ-įı-ſ])[!-/:-@\[-^`{-~]"
 #: Pieces of a text: one word with the space before it, or all up to the next place to cut.
-_PIECES = re.compile(rf" ?[^\W_]+(?={_MARK}| \S|\Z)|(?s:.)+?(?=(?<=\S) \S|(?<=[^\W_]){_MARK}|\Z)").findall
+_PIECES = re.compile(rf" ?[^\W_]+(?={_MARK}| \S|\Z)|(?s:.)+?(?=(?<=\S) \S|{_MARK}|\Z)").findall
 _PLAIN = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 _HELD: dict[str, Encoder] = {}
 
