@@ -2,7 +2,7 @@
 
 The reader takes both byte orders, one row for each image directory, 8-bit samples stored
 chunky, uncompressed or as PackBits, LZW or deflate, in strips or tiles, with horizontal
-differencing or without. The writer makes such files; it serves the query and the tests.
+differencing or without. All else (other predictors too) is an error, never a guess. The writer makes such files; it serves the query and the tests.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ _TYPES = {1: "B", 3: "H", 4: "I"}
 _CLEAR, _END, _FIRST = 256, 257, 258
 
 
-def unpack_bits(data: bytes) -> bytes:
-    out, i, n = [], 0, len(data)
-    while i < n:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
+    """The bytes of PackBits runs; no run is read beyond ``most`` bytes."""
+    out, i, n, size = [], 0, len(data), 0
+    while i < n and (most is None or size < most):
         h = data[i]
         if h < 128:
             out.append(data[i + 1 : i + 2 + h])
@@ -36,6 +37,8 @@ def unpack_bits(data: bytes) -> bytes:
             i += 2
         else:
             i += 1
+            continue
+        size += len(out[-1])
     return b"".join(out)
 
 
@@ -94,7 +97,9 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out + (acc << pad).to_bytes((held + pad) >> 3, "big"))
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """The bytes of LZW codes; no code is read beyond ``most`` bytes."""
+    size = 0
     first = [bytes([i]) for i in range(256)] + [b"", b""]
     table, width, prev = list(first), 9, b""
     out = []
@@ -117,6 +122,9 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("a code that is not in the table")
         out.append(word)
+        size += len(word)
+        if most is not None and size >= most:
+            break
         if prev:
             table.append(prev + word[:1])
             if len(table) >= (1 << width) - 1 and width < 12:
@@ -125,7 +133,13 @@ def lzw_decode(data: bytes) -> bytes:
     return b"".join(out)
 
 
-_DECODE = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    return zlib.decompressobj().decompress(data, most)
+
+
+_DECODE = {NONE: lambda data, most: data[:most], LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
+# How many bytes one stored byte can stand for at most.
+_GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 _ENCODE = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda d: zlib.compress(d, 6), PACKBITS: pack_bits}
 
 
@@ -185,37 +199,55 @@ def read_tiff(data: bytes) -> Iterator[tuple[np.ndarray, dict[int, list[int]]]]:
     if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("not a TIFF file")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
-    while at and at not in seen:
+    while at:
+        if at in seen:
+            raise ValueError("the directories go in a circle")
         seen.add(at)
         t, at = _tags(data, order, at)
-        w, h, s = t[WIDTH][0], t[HEIGHT][0], t.get(SAMPLES, [1])[0]
-        if set(t.get(BITS, [1])) != {8} or t.get(PLANAR, [1])[0] != 1:
-            raise ValueError("only 8-bit samples stored chunky are read")
-        decode, predictor = _DECODE[t.get(COMPRESSION, [1])[0]], t.get(PREDICTOR, [1])[0]
-        if TILES in t:
-            th, tw = t[TILE_HEIGHT][0], t[TILE_WIDTH][0]
-            places, sizes = t[TILES], t[TILE_BYTES]
-        else:
-            th, tw = t.get(ROWS, [h])[0], w
-            places, sizes = t[STRIPS], t[STRIP_BYTES]
-        image = np.zeros((h, w, s), np.uint8)
-        across = -(-w // tw)
-        for k, (place, size) in enumerate(zip(places, sizes, strict=True)):
-            y, x = k // across * th, k % across * tw
-            rows = th if TILES in t else min(th, h - y)
-            part = np.frombuffer(decode(data[place : place + size]), np.uint8)[: rows * tw * s].reshape(rows, tw, s)
-            if predictor == 2:
-                part = np.cumsum(part, axis=1, dtype=np.uint8)
-            image[y : y + rows, x : x + tw] = part[: h - y, : w - x]
-        yield image, t
+        yield _page(data, t), t
+
+
+def _page(data: bytes, t: dict[int, list[int]]) -> np.ndarray:
+    """The samples of one directory. What the tags claim is held against the file before anything is made."""
+    one = lambda tag, default=None: t[tag][0] if t.get(tag) or default is None else default
+    w, h, s, scheme, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, 1), one(PREDICTOR, 1)
+    if t.get(BITS, [1]) != [8] * s or one(PLANAR, 1) != 1:
+        raise ValueError("only 8-bit samples stored chunky are read")
+    if scheme not in _DECODE or predictor not in (1, 2):
+        raise ValueError(f"compression {scheme} with predictor {predictor} is not read")
+    tiled = TILES in t
+    th, tw = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS, h), h), w)
+    places, sizes = (t[TILES], t[TILE_BYTES]) if tiled else (t[STRIPS], t[STRIP_BYTES])
+    if min(w, h, s, th, tw) < 1:
+        raise ValueError("an image without extent")
+    across = -(-w // tw)
+    if len(places) != across * -(-h // th) or len(sizes) != len(places):
+        raise ValueError("strips or tiles do not cover the image")
+    needs = [(th if tiled else min(th, h - k // across * th)) * tw * s for k in range(len(places))]
+    if any(a + n > len(data) or n * _GROWTH[scheme] < need for a, n, need in zip(places, sizes, needs, strict=True)):
+        raise ValueError("the file is too short for its image")
+    parts = []
+    for a, n, need in zip(places, sizes, needs, strict=True):
+        raw = _DECODE[scheme](data[a : a + n], need)[:need]
+        if len(raw) < need:
+            raise ValueError("a strip or tile is too short")
+        part = np.frombuffer(raw, np.uint8).reshape(-1, tw, s)
+        parts.append(np.cumsum(part, axis=1, dtype=np.uint8) if predictor == 2 else part)
+    if not tiled:
+        return np.concatenate(parts)
+    image = np.empty((h, w, s), np.uint8)
+    for k, part in enumerate(parts):
+        y, x = k // across * th, k % across * tw
+        image[y : y + th, x : x + tw] = part[: h - y, : w - x]
+    return image
 
 
 def tiff_pages(media: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row for each page of each TIFF in the column ``media``.
 
     media: media (binary) and the columns to ``keep``; other columns are left aside. A null
-    or empty file has no page; one that is broken has a single row, with page -1 and its
-    error. Pages of a file follow each other in order, in one task; repeated rows are read
+    or empty file has no page; one that is broken, or claims more than its bytes can hold,
+    has a single row, with page -1 and its error, and none of its pages. Pages of a file follow each other in order, in one task; repeated rows are read
     one by one, and an empty table gives an empty result. All of a file is held at once.
 
     Returns the kept columns, page, n_pages (on the last page, else null), width, height,
@@ -246,8 +278,8 @@ def tiff_pages(media: DataFrame, keep: list[str] | None = None) -> DataFrame:
                 try:
                     pages = list(read_tiff(data))
                     found = [[k, len(pages) if k == len(pages) - 1 else None, im.shape[1], im.shape[0], im.shape[2], t.get(COMPRESSION, [1])[0], im.tobytes(), None] for k, (im, t) in enumerate(pages)]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-                    found = [[-1, None, None, None, None, None, None, str(e)]]
+                except (ValueError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
+                    found = [[-1, None, None, None, None, None, None, f"{type(e).__name__}: {e}"]]
                 rows += found
                 source += [i] * len(found)
                 size += sum(len(r[6] or b"") for r in found)
