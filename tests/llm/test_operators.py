@@ -322,8 +322,37 @@ def test_cube_keeps_both_totals():
     s, p = rng.integers(1, 500, 3000), rng.random(3000)
     q = mixing.cube_flight(s, p, rng)
     assert ((q > 0) & (q < 1)).sum() <= 2 and q.sum() == pytest.approx(p.sum()) and (q * s).sum() == pytest.approx((p * s).sum())
-    draws = np.mean([mixing.cube_flight(np.array([1, 2, 3, 4, 5]), np.full(5, 0.4), np.random.default_rng(i), land=True) for i in range(4000)], axis=0)
-    assert np.abs(draws - 0.4).max() < 0.25
+    for p in (0.4, 0.85):  # small and large documents alike keep their probability, and words miss by less than one document
+        s = np.array([5000, 900, 400, 30, 20, 9, 4, 3, 2, 1])
+        draws = np.array([mixing.cube_flight(s, np.full(10, p), np.random.default_rng(i), land=True) for i in range(4000)])
+        assert np.abs(draws.mean(axis=0) - p).max() < 0.03 and np.abs(draws @ s - p * s.sum()).max() < s.max()
+
+
+def test_op6_copies_of_large_documents(spark):
+    rows = [(i, " ".join(["w"] * n), s) for i, (n, s) in enumerate([(900, "a"), (300, "a"), (100, "a"), (40, "a"), (5, "a"), (2, "a"), (1000, "b"), (60, "b"), (3, "b"), (800, "c"), (50, None)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    for seed in range(3):
+        for r in mixing.mix_sources(df, seed=seed).collect():
+            rate = r["target"] / r["source_size"]
+            assert math.floor(rate) <= r["copies"] <= math.ceil(rate)
+
+
+def test_op6_targets_with_many_sources(spark):
+    rng = np.random.default_rng(2)
+    size = {f"s{i}": int(n) for i, n in enumerate(rng.integers(0, 4000, 40))} | {None: 17}
+    got = {r["source"]: r["target"] for r in mixing.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size long")).collect()}
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    left, open_, want = float(sum(size.values())), {s: 1 + i % 3 for i, s in enumerate(order)}, {}
+    while open_:
+        tau = left / sum(open_.values())
+        full = [s for s, w in open_.items() if w * tau > 3 * size[s]]
+        for s in full:
+            want[s] = 3.0 * size[s]
+            left -= want[s]
+            del open_[s]
+        if not full:
+            break
+    assert got == pytest.approx(want | {s: w * tau for s, w in open_.items()})
 
 
 def test_op6_awkward(awkward, empty):

@@ -4,12 +4,12 @@ A document of a source whose target is r times its size is taken floor(r) times
 once more with probability r - floor(r). Which documents get the extra copy is drawn by the
 cube method: the vector of probabilities walks in the null space of the balancing equations
 (words and documents of the source), so both totals stay as they are, until all but a few
-documents are decided. Blocks of documents walk independently; what each leaves open (two
-documents at most) walks again in blocks of the next level, until one block of each source
-is left, whose last documents land as near to the target words as they can. A document of more
-than a hundredth of its source cannot be balanced by others; these (fewer than 100 of a
-source) land first, largest first, each taken if that brings the running total nearer, and
-the words that they leave over or short move the probabilities of all others alike.
+documents are decided. Blocks of documents walk independently, largest documents first; what
+each leaves open (two documents at most) walks again in blocks of the next level, until one
+block of each source is left. Only its last two documents land: first the number of documents
+is given up while the words stay, then the last one is drawn by its probability. So every
+document, however large, keeps its inclusion probability, and a source's words miss the target
+by less than one document.
 """
 
 from __future__ import annotations
@@ -21,11 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from tidelark.llm._common import stored, word_count
+from tidelark.llm._common import prefix_sums, stored, word_count
 
-BLOCK, FEW_SOURCES, LARGE = 4096, 10_000, 100
+BLOCK, FEW_SOURCES = 4096, 10_000
 _EPS = 1e-9
 
 
@@ -40,7 +39,7 @@ def _step(p: list[float], u: list[float], draw: float) -> list[float]:
 def cube_flight(sizes: np.ndarray, probs: np.ndarray, rng: np.random.Generator, land: bool = False) -> np.ndarray:
     """Probabilities after the flight: all but two are 0 or 1, and the sums of p and p * size are kept.
 
-    land: the last two give up the number of documents, then the last one is rounded.
+    land: the last two give up the number of documents, then the last one is drawn by its probability.
     """
     p = probs.astype(float).tolist()
     s = sizes.astype(float).tolist()
@@ -68,20 +67,10 @@ def cube_flight(sizes: np.ndarray, probs: np.ndarray, rng: np.random.Generator,
         open_ = [j for j in open_ if not decided(p[j])]
     if land:
         for j in open_:
-            p[j] = float(p[j] >= 0.5)
+            p[j] = float(next(draws) < p[j])
     return np.array(p)
 
 
-def _land_large(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable")
-    due, taken = 0.0, []
-    for s, p in zip(rows["size"], rows["p"], strict=True):
-        due += p * s
-        taken.append(float(due >= s / 2))
-        due -= taken[-1] * s
-    return rows.assign(p=taken, due=due)
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """Targets of sources; sizes: source, source_size. Adds _rank (by code point, null last) and target.
 
@@ -89,23 +78,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     ``most`` times its source it stops there, and the others share the rest by weight. The
     share per weight is the one at which all is given out: with sources in order of
     most * size / weight, the first sources stop and the rest take tau = left / weight left.
+    Both orders are distributed running sums, so that there may be many sources.
     """
-    ranked = sizes.select("source", "source_size", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1).alias("_rank"))
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
-    cap = F.col("source_size") * F.lit(float(most))
-    t = ranked.withColumns({"_w": weight, "_cap": cap}).withColumn("_r", F.col("_cap") / F.col("_w"))
-    order = Window.orderBy("_r", "_rank")
-    whole = Window.partitionBy()
-    t = t.withColumns(
-        {
-            "_capped": F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cap"),
-            "_left": F.sum("_w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-            "_all": F.sum(F.col("source_size").cast("double")).over(whole),
-        }
-    )
-    t = t.withColumn("_tau", (F.col("_all") - F.col("_capped")) / F.col("_left"))
-    t = t.withColumn("_tau", F.max(F.when(F.col("_tau") <= F.col("_r"), F.col("_tau"))).over(whole))
-    return t.select("source", "source_size", "_rank", F.least(F.col("_cap"), F.col("_w") * F.col("_tau")).alias("target"))
+    own = sizes.select("source", "source_size", F.col("source").isNull().alias("_null"))
+    ranked = prefix_sums(own, ["_null", "source"], [], "mix-ranks").select("source", "source_size", F.col("_n").alias("_rank"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int")).cast("long")
+    t = ranked.withColumns({"w": weight, "cap": F.col("source_size") * most}).withColumn("_r", F.col("cap") / F.col("w"))
+    t = stored(prefix_sums(t, ["_r", "_rank"], ["w", "cap"], "mix-caps"), "mix-capped")
+    total = t.agg(F.sum("w").alias("w"), F.sum(F.col("source_size").cast("double")).alias("size")).first()
+    tau = (F.lit(total["size"]) - F.col("_cap")) / (F.lit(total["w"]) - F.col("_w"))
+    share = t.select(tau.alias("tau"), "_r").where("tau <= _r").agg(F.max("tau")).first()[0]
+    return t.select("source", "source_size", "_rank", F.least(F.col("cap").cast("double"), F.col("w") * F.lit(share).cast("double")).alias("target"))
 
 
 def _flight(seed: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -136,21 +119,13 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     rows = base.join(totals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     keep = ["doc_id", "source", "size", "source_size", "target", "_rank", "sure", "p"]
 
-    def rated(df: DataFrame, shift: F.Column) -> DataFrame:
-        rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate + shift))
-        rate = F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate)
-        r = F.when(F.col("size") > 0, rate).otherwise(0.0)
-        return df.withColumns({"sure": F.floor(r).cast("int"), "p": r - F.floor(r)})
-
-    large = F.col("size") * LARGE > F.col("source_size")
-    first = rated(rows.where(large), F.lit(0.0)).select(*keep)
-    landed = stored(first.groupBy("_rank").applyInPandas(_land_large, T.StructType([*first.schema.fields, T.StructField("due", T.DoubleType())])), "mix-large")
-    due = landed.groupBy("_rank").agg((F.max("due") / F.greatest(F.max("source_size") - F.sum("size"), F.lit(1))).alias("_shift"))
-    small = rows.where(~large).join(F.broadcast(due) if few else due, "_rank", "left")
-    rows = rated(small, F.coalesce("_shift", F.lit(0.0))).select(*keep)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), rate))
+    rate = F.when(F.abs(rate - F.round(rate)) < 1e-12, F.round(rate)).otherwise(rate)
+    r = F.when(F.col("size") > 0, rate).otherwise(0.0)
+    rows = rows.withColumns({"sure": F.floor(r).cast("int"), "p": r - F.floor(r)}).select(*keep)
     schema = T.StructType([*rows.schema.fields, T.StructField("blocks", T.LongType()), T.StructField("_block", T.LongType())])
-    done, level, open_ = [landed.select(*keep), rows.where("p <= 0")], 0, rows.where("p > 0")
+    done, level, open_ = [rows.where("p <= 0")], 0, rows.where("p > 0")
     while True:
         counts = open_.groupBy("_rank").agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
         most_blocks = counts.agg(F.max("blocks")).first()[0]
