@@ -50,16 +50,18 @@ def _shares(counts: str) -> Column:
     return F.transform(counts, lambda x: F.try_divide(x, total))
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, lang, the counts of the rules and the two histograms (arrays of shares) of every text."""
-    text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", F.coalesce("text", F.lit("")).alias("text"))
-    t = text.select("doc_id", "text_hash", "lang", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
+def text_counts(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """doc_id, text_hash, lang, the counts of the rules and the two histograms (arrays of shares) of every text; with ``whole`` the row as well."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)) if whole else F.lit(None)
+    text = docs.select(row.alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), "lang", F.coalesce("text", F.lit("")).alias("text"))
+    t = text.select("row", "doc_id", "text_hash", "lang", "text", F.array_remove(F.split("text", SPACE), "").alias("words"))
     t = t.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     n = F.size("words")
     windows = F.when(n >= 8, F.transform(F.sequence(F.lit(0), n - 8), lambda i: F.xxhash64(*(F.get("h", i + k) for k in range(8))))).otherwise(F.array().cast("array<bigint>"))
     known = [*WORDS, *(w.capitalize() for w in WORDS)]
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     t = t.select(
+        "row",
         "doc_id",
         "text_hash",
         "lang",
@@ -80,6 +82,7 @@ def text_counts(docs: DataFrame) -> DataFrame:
     rest = F.col("word_chars") - F.col("n_symbols") - F.col("c_upper") - F.col("c_digit") - F.col("c_punct") - F.col("c_wide")
     counted = F.transform(F.array(*(F.lit(f" {w} ") for w in WORDS)), lambda w: ((F.length("common") - F.length(F.replace("common", w, F.lit("")))) / F.length(w)).cast("double"))
     t = t.select(
+        "row",
         "doc_id",
         "text_hash",
         "lang",
@@ -96,7 +99,8 @@ def text_counts(docs: DataFrame) -> DataFrame:
     t = t.withColumn("n_repeat_words", F.coalesce(_covered("again", 8), F.lit(0)).cast("long")).drop("ranked", "again")
     others = F.greatest(F.col("n_words") - F.aggregate("common", F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
     t = t.withColumn("common", F.array_append("common", others))
-    return t.withColumns({"chars": _shares("chars"), "common": _shares("common")})
+    t = t.withColumns({"chars": _shares("chars"), "common": _shares("common")})
+    return t if whole else t.drop("row")
 
 
 def references(counts: DataFrame) -> DataFrame:
@@ -126,7 +130,16 @@ def judge(docs: DataFrame, far_chars: float = FAR_CHARS, far_words: float = FAR_
     Returns doc_id, text_hash (to find the row again), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     chars_distance and words_distance (null where not measured), kept.
     """
-    counts = stored(text_counts(docs), "quality-counts")
+    t = _judged(stored(text_counts(docs), "quality-counts"), far_chars, far_words)
+    return t.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", "kept")
+
+
+def kept_rows(docs: DataFrame, far_chars: float = FAR_CHARS, far_words: float = FAR_WORDS) -> DataFrame:
+    """The rows of docs that ``judge`` keeps, with all their columns, whatever their names; rows travel with their counts, not by a join."""
+    return _judged(stored(text_counts(docs, whole=True), "quality-rows"), far_chars, far_words).where("kept").select("row.*")
+
+
+def _judged(counts: DataFrame, far_chars: float, far_words: float) -> DataFrame:
     refs = [r for r in references(counts).collect() if r["chars"][0] is not None]  # one row a supported language at most
     lit = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     t, measured = counts, (F.col("n_words") >= MIN_WORDS) & (F.col("n_chars") >= MIN_CHARS)
@@ -138,4 +151,4 @@ def judge(docs: DataFrame, far_chars: float = FAR_CHARS, far_words: float = FAR_
         t = t.withColumns({"chars_distance": F.lit(None).cast("double"), "words_distance": F.lit(None).cast("double")})
     t = t.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     far = F.coalesce((F.col("chars_distance") > far_chars) | (F.col("words_distance") > far_words), F.lit(False))
-    return t.select("doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_distance", "words_distance", (~F.col("base_failed") & ~far).alias("kept"))
+    return t.withColumn("kept", ~F.col("base_failed") & ~far)

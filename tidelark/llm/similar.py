@@ -14,11 +14,14 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidelark.llm._common import release
+from tidelark.llm._common import release, stored
 
 WORDS, LEAST = 5, Fraction(4, 5)
+MOST, ASK = 2048, 512
 
 
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
@@ -29,9 +32,11 @@ def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, cut, repeat(0)), np.uint64, len(cut)))
 
 
-def similar_groups(sets: list[np.ndarray], least: Fraction = LEAST) -> np.ndarray:
-    """The smallest index that each set reaches by pairs of Jaccard similarity ``least`` or more; empty sets are alike."""
+def similar_groups(sets: list[np.ndarray], least: Fraction = LEAST, joined: list[int] | None = None) -> np.ndarray:
+    """The smallest index that each set reaches by pairs of Jaccard similarity ``least`` or more; empty sets are alike. joined: sets known to be of one group."""
     parent = list(range(len(sets)))
+    for i in joined or []:
+        parent[i] = min(joined)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -71,31 +76,95 @@ def similar_groups(sets: list[np.ndarray], least: Fraction = LEAST) -> np.ndarra
     return np.fromiter((root(i) for i in range(len(own))), np.int64, len(own))
 
 
-def verified(texts: DataFrame) -> DataFrame:
-    """Splits groups of candidates into texts that really chain by similar pairs.
-
-    texts: root (the group), node (one row each), text. Returns node, label (a node of the
-    part it belongs to) and place, its rank by text there. A group is worked on in one task.
-    """
-
-    def part(nodes: list[int], held: list[str]) -> pa.RecordBatch:
-        order = sorted(range(len(held)), key=lambda i: (held[i], nodes[i]))
-        label = similar_groups([shingle_set(held[i]) for i in order])
-        ids = np.array(nodes, np.int64)[order]
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label]), pa.array(np.arange(len(ids)))], names=["node", "label", "place"])
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """root, node, size and set (sorted hashes of the word shingles) of each row; texts: root, node, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, held = None, [], []
         for b in batches:
-            for r, n, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                if r != now and nodes:
-                    yield part(nodes, held)
-                    nodes, held = [], []
-                now = r
-                nodes.append(n)
-                held.append(t)
-        if nodes:
-            yield part(nodes, held)
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                sets = [shingle_set(t.as_py()).view(np.int64) for t in part.column(2)]
+                size = np.fromiter(map(len, sets), np.int64, len(sets))
+                flat = pa.array(np.concatenate(sets))
+                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), own], names=["root", "node", "size", "set"])
         release()
 
-    return texts.select("root", "node", "text").repartition("root").sortWithinPartitions("root").mapInArrow(run, "node long, label long, place long")
+    return texts.select("root", "node", "text").mapInArrow(run, "root long, node long, size long, set array<long>")
+
+
+def _alike(a: Column, b: Column) -> Column:
+    both = F.size(F.array_intersect(a, b))
+    return LEAST.denominator * both >= LEAST.numerator * (F.size(a) + F.size(b) - both)
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [np.sort(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _edges(nodes: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    hung = np.flatnonzero(label != np.arange(len(label)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[hung], pa.int64()), pa.array(nodes[label[hung]], pa.int64())], names=["a", "b"])
+
+
+def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of whole groups, which follow each other."""
+    now, nodes, sets = None, [], []
+    for b in batches:
+        for r, n, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _sets(b.column(2)), strict=True):
+            if r != now and nodes:
+                yield _edges(np.array(nodes, np.int64), similar_groups(sets))
+                nodes, sets = [], []
+            now = r
+            nodes.append(n)
+            sets.append(s)
+    if nodes:
+        yield _edges(np.array(nodes, np.int64), similar_groups(sets))
+    release()
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges between a block of asking texts and a block of a group; each row holds both. Texts marked like are one part."""
+    for b in batches:
+        for r in b.to_pylist():
+            own = {x["node"]: x for x in [*r["asks"], *r["block"]]}
+            sets = [np.sort(np.array(x["set"], np.int64).view(np.uint64)) for x in own.values()]
+            yield _edges(np.array(list(own), np.int64), similar_groups(sets, joined=[i for i, x in enumerate(own.values()) if x["like"]]))
+    release()
+
+
+def similar_edges(sets: DataFrame, most: int = MOST, ask: int = ASK) -> DataFrame:
+    """Edges a, b that join, within each group of candidates, all texts that chain by similar pairs.
+
+    sets: root (the group), node (one row each), size, set. A group of at most ``most`` texts
+    (and 1,000 shingles to a text) is worked on in one task. In a larger one every text is held
+    against one text first, then against seven that are like it; all texts so joined are one
+    part, so only what is left has to be asked for in the whole group: blocks of ``ask``
+    such texts meet blocks of ``most`` texts, each pair of blocks by itself.
+    """
+    total = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).withColumn("_blocks", F.ceil(F.greatest(F.col("n") / most, F.col("shingles") / (1000 * most))).cast("long"))
+    large = stored(total.where("_blocks > 1"), "large-groups")
+    if large.isEmpty():
+        return sets.select("root", "node", "set").repartition("root").sortWithinPartitions("root").mapInArrow(_within, "a long, b long")
+    told = stored(sets.join(large.select("root", "_blocks"), "root", "left"), "group-sizes")
+    few = told.where("_blocks is null").select("root", "node", "set").repartition("root").sortWithinPartitions("root").mapInArrow(_within, "a long, b long")
+    many = told.where("_blocks is not null")
+
+    first = many.groupBy("root").agg(F.min(F.struct("node", "set")).alias("r")).select("root", F.col("r.node").alias("rep"), F.col("r.set").alias("rep_set"))
+    held = stored(many.join(first, "root").withColumn("like", _alike(F.col("set"), F.col("rep_set"))).drop("rep_set"), "group-first")
+    nearest = held.where("like and node <> rep").select("root", "node", "set", F.xxhash64("node").alias("h"))
+    rank = F.row_number().over(Window.partitionBy("root").orderBy("h", "node"))
+    seven = nearest.withColumn("k", rank).where("k <= 7").groupBy("root").agg(F.collect_list("set").alias("sets"))
+    again = held.where("not like").join(seven, "root", "left").withColumn("like", F.coalesce(F.exists("sets", lambda x: _alike(F.col("set"), x)), F.lit(False))).drop("sets")
+    again = stored(again, "group-again")
+    joined = held.where("like and node <> rep").unionByName(again.where("like")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
+
+    left = again.where("not like")
+    asks = left.join(left.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / ask).cast("long").alias("_asks")), "root")
+    asks = asks.groupBy("root", F.expr("pmod(xxhash64(node), _asks)").alias("q")).agg(F.first("_asks").alias("_asks"), F.collect_list(F.struct("node", "set", "like")).alias("asks"))
+    marked = held.where("like").select(*again.columns).unionByName(again)
+    blocks = marked.groupBy("root", F.expr("pmod(xxhash64(node), _blocks)").alias("d")).agg(F.collect_list(F.struct("node", "set", "like")).alias("block"))
+    each = blocks.join(asks.groupBy("root").agg(F.max("_asks").alias("_asks")), "root").withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_asks") - 1))).drop("_asks")
+    met = each.join(asks.select("root", "q", "asks"), ["root", "q"]).select("asks", "block").mapInArrow(_across, "a long, b long")
+    return few.unionByName(joined).unionByName(met)
