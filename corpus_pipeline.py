@@ -11,68 +11,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelark.llm._common import scratch, stored
+from tidelark.llm._common import WORD, scratch
 from tidelark.llm.llm_queries import tokenizer_path
 from tidelark.llm.mixing import mix_sources
 from tidelark.llm.packing import pack_documents
 from tidelark.llm.pii import mask_personal_data
-from tidelark.llm.quality import judge
-from tidelark.llm.simhash import near_duplicates
-from tidelark.llm.similar import verified
+from tidelark.llm.quality import kept_rows
+from tidelark.llm.simhash import near_copies
 
-#: Bits of 64 in which fingerprints of two-word shingles may differ for texts to be compared: in sf0.1 that
-#: brings together 47 of the 48 pairs that share 0.8 of their five-word shingles.
-NEAR_BITS = 10
+
+def _free(docs: DataFrame, wanted: str) -> str:
+    """A column name that docs has not."""
+    while wanted in docs.columns:
+        wanted = "_" + wanted
+    return wanted
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep; equal rows share one verdict."""
-    verdicts = stored(judge(docs).select("doc_id", "text_hash", "kept"), "verdicts")  # else the filter would measure anew
-    kept = verdicts.where("kept").select("doc_id", "text_hash").distinct()
-    same = docs["doc_id"].eqNullSafe(kept["doc_id"]) & (F.xxhash64(docs["text"]) == kept["text_hash"])
-    return docs.join(kept, same, "left_semi")
+    """Rows that the quality rules keep, with all their columns.
+
+    A null text has no words and goes; each repeated row has its own verdict, the same one; a
+    null language is judged by the nearest reference; an empty table stays empty.
+    """
+    return kept_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of texts that chain by pairs sharing 0.8 of their five-word shingles.
 
-    Fingerprints only propose the pairs. It is the row of the smallest doc_id (a null one comes
-    last), of several the one whose text sorts first. Rows are grouped by their texts alone:
-    different texts under one doc_id, or under null ones, all stay unless they are linked.
+    It is the row of the smallest doc_id (a null one comes last); of several texts under that id
+    the one of the least hash, of several rows of that text the one that sorts first. Rows are
+    grouped by their texts alone: different texts under one doc_id, or under null ones, all stay
+    unless they are linked. Null, empty and wordless texts are one group. All columns stay as
+    they are, whatever their names; an empty table stays empty.
     """
-    hashed = docs.withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-    near = near_duplicates(hashed.select(F.col("_text").alias("doc_id"), "text"), shingle=2, radius=NEAR_BITS)
-    nodes = stored(near.select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct(), "near-nodes")
-    several = nodes.join(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root"), "root")
-    proposed = hashed.select(F.col("_text").alias("node"), F.coalesce("text", F.lit("")).alias("text")).join(several, "node").groupBy("root", "node").agg(F.first("text").alias("text"))
-    checked = stored(verified(proposed), "near-checked")
+    text, key, place = (_free(docs, c) for c in ("_text", "_key", "_place"))
+    hashed = docs.withColumn(text, F.xxhash64(F.coalesce("text", F.lit(""))))
+    groups = near_copies(hashed.select(F.col(text).alias("node"), F.coalesce("text", F.lit("")).alias("text")))
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
-    first = hashed.groupBy(F.col("_text").alias("node")).agg(F.min(order).alias("first"))
-    told = first.join(checked, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.struct("first.none", "first.id", F.coalesce("place", F.lit(0)).alias("place"), "node").alias("top"))
-    pick = told.groupBy("label").agg(F.min("top").alias("top")).select("top.node", "top.id")
-    key = lambda c, t: F.xxhash64(c, c.isNull(), t)
-    winners = pick.select(key(F.col("id"), F.col("node")).alias("_key"), "node", "id")
-    rows = hashed.withColumn("_key", key(F.col("doc_id"), F.col("_text"))).join(winners, "_key").where((F.col("_text") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    first = hashed.select(F.col(text).alias("node"), order.alias("o")).groupBy("node").agg(F.min("o").alias("first"))
+    told = first.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.struct("first.none", "first.id", "node").alias("top"))
+    mark = lambda i, t: F.xxhash64(i, i.isNull(), t)
+    winners = told.groupBy("root").agg(F.min("top").alias("top")).select(mark(F.col("top.id"), F.col("top.node")).alias(key))
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = Window.partitionBy("_key", "_text").orderBy(*(F.col(c).asc_nulls_last() for c in ["text", *rest]))
-    return rows.withColumn("_first", F.row_number().over(once)).where("_first = 1").select(*docs.columns)
+    once = Window.partitionBy(key).orderBy(*(F.col(f"`{c}`").asc_nulls_last() for c in ["text", *rest]))
+    rows = hashed.withColumn(key, mark(F.col("doc_id"), F.col(text))).withColumn(place, F.row_number().over(once)).where(F.col(place) == 1)
+    return rows.join(winners, key, "left_semi").select(*(f"`{c}`" for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with personal data masked and n_chars counted anew."""
-    return mask_personal_data(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """All rows, with personal data masked and, where there is such a column, n_chars counted anew.
+
+    Null texts stay null (n_chars too), empty ones empty; all other columns stay as they are.
+    """
+    out = mask_personal_data(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them; rows with the same doc_id share the first one's draw."""
-    taken = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "_id")
-    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"]))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    """Rows as often as the mix takes them; rows with the same doc_id (null ones too) share the greatest draw among them.
+
+    Rows without words are never taken. All columns stay as they are, whatever their names.
+    """
+    name, copies, copy = (_free(docs, c) for c in ("_id", "_copies", "_copy"))
+    taken = mix_sources(docs).groupBy("doc_id").agg(F.max("copies").alias(copies)).where(F.col(copies) > 0).withColumnRenamed("doc_id", name)
+    rows = docs.join(taken, docs["doc_id"].eqNullSafe(taken[name]))
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(WORD)
+    return rows.where(worded).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(f"`{c}`" for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all rows in sequences of 4096 tokens."""
+    """Pieces of all rows in sequences of 4096 tokens; a null or empty text is its end token alone."""
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), end_id=2, capacity=4096)
 
 
