@@ -37,9 +37,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many scratch paths were given out, to drop later ones."""
+    return len(_MADE)
+
+
+def last_made() -> str:
+    return _MADE[-1]
+
+
+def drop_since(spark: SparkSession, mark: int, keep: str | None = None) -> None:
+    """Delete what lies under the scratch paths given out since ``mark``, but for ``keep``: once no later plan reads it."""
+    for path in _MADE[mark:]:
+        if path != keep:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _MADE[mark:] = [keep] if keep else []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -50,15 +72,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete the files of a stored table that no later plan reads."""
-    spark = df.sparkSession
-    path = df.inputFiles()
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path[0]).getParent()
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def texts(docs: DataFrame, *extra: str) -> DataFrame:
     """doc_id, text (null: empty) and what else is asked for."""
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *extra)
@@ -83,7 +96,7 @@ def task_id() -> int:
     return TaskContext.get().partitionId()
 
 
-def _numbered(schema: pa.Schema, groups: list[str], sums: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _numbered(groups: list[str], sums: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, seen = task_id(), {}
         for b in batches:
@@ -117,7 +130,7 @@ def prefix_sums(df: DataFrame, order: list[str], sums: list[str], name: str, gro
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     extra = ["_pid", "_n", *(f"_{c}" for c in sums)]
     schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in extra)])
-    local = stored(ranged.mapInArrow(_numbered(None, [group] if group else [], sums), schema), name)
+    local = stored(ranged.mapInArrow(_numbered([group] if group else [], sums), schema), name)
     keys = ["_pid", *([group] if group else [])]
     totals = local.groupBy(*keys).agg(F.count(F.lit(1)).alias("_tn"), *(F.sum(c).alias(f"_t{c}") for c in sums))
     w = Window.partitionBy(*([F.col(group)] if group else [])).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.llm._common import release, stored, texts
+from tidelark.llm._common import release, texts
 
 KINDS = ["email", "ip", "card", "phone", "secret", "name"]
 SECRET, NAME, LABELS = 4, 5, 7
-TRAINING_DOCS, TRAINING_NODES, STEPS, ROUNDS = 2000, 20_000, 300, 20
+TRAINING_DOCS, TRAINING_NODES, TRAINING_CHARS, STEPS, ROUNDS = 2000, 20_000, 50_000, 300, 20
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -37,7 +37,8 @@ _MARKS = re.compile(r"[0-9@]")
 # Words that announce a name, in the supported languages, and words that announce a secret.
 NAME_CUES = frozenset("contact dear mr mrs ms dr sincerely monsieur madame mme contactez herr frau kontakt señor señora contacto attn".split())
 SECRET_CUES = frozenset("token secret password passwd pwd api_key apikey api-key access_key".split())
-_CUE = re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, NAME_CUES | SECRET_CUES), key=lambda w: (-len(w), w))) + r")(?![^\W_])")
+#: A cue as evidence: a short one begins a word.
+_QUICK = sorted(c if len(c) > 4 else " " + c for c in NAME_CUES | SECRET_CUES)
 _ASSIGNED = re.compile(r"(?i)(?<![^\W_])(?:" + "|".join(sorted(map(re.escape, SECRET_CUES), key=lambda w: (-len(w), w))) + r")[\x20]*[=:][\x20]*[\"']?([A-Za-z0-9+/_-]{12,})")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -84,7 +85,19 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def evident(text: str) -> bool:
-    return bool(_MARKS.search(text) or _CUE.search(text))
+    """A digit, an at sign or a cue; a cue of up to four letters counts at the beginning of a word."""
+    if _MARKS.search(text):
+        return True
+    low = " " + text.lower().replace("\n", " ").replace("\t", " ")
+    return any(c in low for c in _QUICK)
+
+
+def _evident(text: str) -> F.Column:
+    low = F.concat(F.lit(" "), F.lower(F.translate(text, "\n\t", "  ")))
+    found = F.col(text).rlike(_MARKS.pattern)
+    for c in _QUICK:
+        found = found | F.contains(low, F.lit(c))
+    return found
 
 
 def _tests(w: str) -> int:
@@ -334,35 +347,32 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.list_(pa.int32())) for x in (base, nodes, edges))], names=["doc_id", "base", "nodes", "edges"])
 
 
-def find_personal_data(docs: DataFrame, training_docs: int = TRAINING_DOCS, training_nodes: int = TRAINING_NODES) -> DataFrame:
+def find_personal_data(docs: DataFrame, training_docs: int = TRAINING_DOCS, training_nodes: int = TRAINING_NODES, training_chars: int = TRAINING_CHARS) -> DataFrame:
     """Base spans and all spans of every whole text.
 
     docs: doc_id, text; other columns are left aside. A null or empty text has no spans,
     repeated rows are searched one by one, and an empty table gives an empty result. The
-    weights are learned from ``training_docs`` documents with evidence at most, chosen by a
-    hash of their ids and texts' nodes: whole ones, of not more than an eighth of ``training_nodes``
-    nodes each and of ``training_nodes`` altogether. Everything is searched and labelled.
-    Without any such document nothing is added.
+    weights are learned from ``training_docs`` texts with evidence at most, chosen by a hash:
+    whole ones, of not more than ``training_chars`` characters each and ``training_nodes`` nodes
+    altogether. Everything is searched and labelled. Without any such text nothing is added.
 
     Returns doc_id, base and spans (arrays of struct<start, kind, end>, code points, end
     exclusive; base kinds are the first four of KINDS).
     """
-    found = stored(texts(docs).mapInArrow(_find, _FOUND), "pii-found")
-    model = _learn(found, training_docs, training_nodes)
+    model = _learn(docs, training_docs, training_nodes, training_chars)
     item = "array<struct<start:int,kind:int,end:int>>"
-    return found.mapInArrow(_labelled(model), f"doc_id long, base {item}, spans {item}")
+    return texts(docs).mapInArrow(_labelled(model), f"doc_id long, base {item}, spans {item}")
 
 
-def _learn(found: DataFrame, training_docs: int, training_nodes: int) -> dict[str, np.ndarray] | None:
-    some = found.where((F.size("nodes") > 0) & (F.size("nodes") <= WIDTH * training_nodes // 8))
-    chosen = some.select("nodes", F.xxhash64("doc_id", "nodes").alias("h")).orderBy("h", "nodes").limit(training_docs)
+def _learn(docs: DataFrame, training_docs: int, training_nodes: int, training_chars: int) -> dict[str, np.ndarray] | None:
+    some = texts(docs).where((F.char_length("text") <= training_chars) & _evident("text"))
+    chosen = some.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "doc_id", "text").limit(training_docs).repartition(16, "h")
+    found = chosen.drop("h").mapInArrow(_find, _FOUND).select("nodes").where(F.size("nodes") > 0)
     sample, held = [], 0
-    for r in chosen.toLocalIterator():
-        nodes = np.array(r["nodes"], np.int64).reshape(-1, WIDTH)
-        if held + len(nodes) > training_nodes:
-            break
-        sample.append(nodes)
-        held += len(nodes)
+    for nodes in sorted(r["nodes"] for r in found.collect()):  # bounded: training_docs texts of training_chars
+        if held + len(nodes) // WIDTH <= training_nodes:
+            sample.append(np.array(nodes, np.int64).reshape(-1, WIDTH))
+            held += len(sample[-1])
     return train(sample) if sample else None
 
 
@@ -389,7 +399,7 @@ def _all_spans(base: list[list[int]], nodes: list[list[int]], edges: list[list[i
 
 def _labelled(model: dict[str, np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _find(batches):
             base, spans = [], []
             for fixed, every in _all_spans(*(b.column(i).to_pylist() for i in (1, 2, 3)), model):
                 base.append([dict(zip(("start", "kind", "end"), s, strict=True)) for s in fixed])
@@ -401,13 +411,13 @@ def _labelled(model: dict[str, np.ndarray] | None) -> Callable[[Iterator[pa.Reco
     return label
 
 
-def mask_personal_data(docs: DataFrame, training_docs: int = TRAINING_DOCS, training_nodes: int = TRAINING_NODES) -> DataFrame:
+def mask_personal_data(docs: DataFrame, training_docs: int = TRAINING_DOCS, training_nodes: int = TRAINING_NODES, training_chars: int = TRAINING_CHARS) -> DataFrame:
     """docs, all columns and rows, with each span of ``text`` replaced by its kind in brackets; null stays null.
 
-    Weights and cases as in find_personal_data. Texts are searched again where they stand,
-    so no text is shuffled.
+    Weights and cases as in find_personal_data. Texts are searched where they stand, so no text
+    is shuffled.
     """
-    model = _learn(stored(texts(docs).mapInArrow(_find, _FOUND), "pii-found"), training_docs, training_nodes)
+    model = _learn(docs, training_docs, training_nodes, training_chars)
     at = docs.columns.index("text")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.llm._common import release, stored, texts
+from tidelark.llm._common import drop_since, last_made, made, release, stored, texts
 from tidelark.llm.similar import shingle_set, shingle_sets, similar_edges
 
 BITS, RADIUS, SHINGLE, SEED, HOT = 64, 3, 3, 42, 20_000
@@ -229,7 +229,9 @@ def _links(keyed: DataFrame, radius: int, most: int = 1 << 18) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) of every node of an edge, by alternating large and small stars."""
     now, seen = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"), None
+    spark = edges.sparkSession
     while True:
+        before = made() - 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -237,6 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
         now = stored(small, "edges")
         told = tuple(now.agg(F.count(F.lit(1)), F.expr("sum(cast(xxhash64(a, b) as decimal(20)))")).first())
+        drop_since(spark, before, keep=last_made())
         if told == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = told
