@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidelark.llm._common import WORD, scratch
+from tidelark.llm._common import WORD, drop_since, made, scratch
 from tidelark.llm.llm_queries import tokenizer_path
 from tidelark.llm.mixing import mix_sources
 from tidelark.llm.packing import pack_documents
@@ -100,10 +100,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the table documents; each result is written to the shared folder and read again."""
+    """All stages on the table documents; each result is written to the shared folder and read again.
+
+    When a stage is written, what it had stored and what it read are deleted.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mark = made()
     for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
         path = scratch(spark, f"stage-{name.replace(' ', '-')}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        out.write.parquet(path)
         docs = spark.read.parquet(path)
+        drop_since(spark, mark, keep=path)
     return STAGES[-1][1](spark, docs, sf_dir)
