@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 
@@ -153,12 +155,20 @@ def tilt_loglik(p0: np.ndarray, rank: np.ndarray, states: np.ndarray, psi: np.nd
     return float(np.log(np.maximum(m[np.arange(len(states) - k), states[:-k], states[k:]], 1e-300)).sum())
 
 
-def tilt_fit(p0: np.ndarray, rank: np.ndarray, states: np.ndarray, psi: np.ndarray, k: int = 1) -> float:
-    """Sensitivity of greatest likelihood: a grid from -3 to 3, then golden-section steps around its best point."""
-    f = lambda b: tilt_loglik(p0, rank, states, b * psi, k)
+def standard(x: np.ndarray, ref: np.ndarray | None = None) -> np.ndarray:
+    """x in deviations of ``ref`` (itself by default); what is missing is 0."""
+    ref = x if ref is None else ref
+    if not np.isfinite(ref).any():
+        return np.zeros(len(x))
+    sd = np.nanstd(ref)
+    return np.where(np.isfinite(x), (x - np.nanmean(ref)) / (sd if sd > 0 else 1.0), 0.0)
+
+
+def _best(f: Callable[[float], float]) -> float:
+    """Where f is greatest: a grid from -3 to 3, then golden-section steps around its best point."""
     grid = np.linspace(-3, 3, 31)
     best = grid[int(np.argmax([f(b) for b in grid]))]
-    a, b, g = best - 0.2, best + 0.2, (5**0.5 - 1) / 2
+    a, b, g = max(best - 0.2, -3.0), min(best + 0.2, 3.0), (5**0.5 - 1) / 2
     c, d = b - g * (b - a), a + g * (b - a)
     fc, fd = f(c), f(d)
     for _ in range(20):
@@ -173,6 +183,26 @@ def tilt_fit(p0: np.ndarray, rank: np.ndarray, states: np.ndarray, psi: np.ndarr
     return float((a + b) / 2)
 
 
+def effective_pressure(psi: np.ndarray, beta: float, base: np.ndarray | None = None, gamma: float = 0.0) -> np.ndarray:
+    """gamma * base + beta * psi; what is missing in either counts as 0."""
+    own = beta * np.nan_to_num(psi)
+    return own if base is None else own + gamma * np.nan_to_num(base)
+
+
+def tilt_fits(seqs: list[tuple[np.ndarray, np.ndarray, np.ndarray | None]], rank: np.ndarray, k: int = 1, matrices: list[np.ndarray] | None = None) -> dict[str, float]:
+    """One gamma, then one beta, for several series (states, psi, base): their log-likelihoods add. Beta is what psi adds beyond the base."""
+    mats = matrices or [count_matrix(s, len(rank)) for s, _, _ in seqs]
+    like = lambda b, g: sum(tilt_loglik(m, rank, s, effective_pressure(x, b, z, g), k) for (s, x, z), m in zip(seqs, mats, strict=True))
+    gamma = _best(lambda g: like(0.0, g)) if any(z is not None for _, _, z in seqs) else 0.0
+    beta = _best(lambda b: like(b, gamma))
+    return {"gamma": gamma, "beta": beta, "loglik": like(beta, gamma), "loglik0": like(0.0, gamma)}
+
+
+def tilt_fit(p0: np.ndarray, rank: np.ndarray, states: np.ndarray, psi: np.ndarray, k: int = 1) -> float:
+    """Sensitivity of greatest likelihood of one series."""
+    return tilt_fits([(states, psi, None)], rank, k, [p0])["beta"]
+
+
 def count_matrix(states: np.ndarray, k: int, strength: float = 10.0, stickiness: float = 0.95) -> np.ndarray:
     c = np.zeros((k, k))
     np.add.at(c, (states[:-1], states[1:]), 1)
@@ -180,21 +210,34 @@ def count_matrix(states: np.ndarray, k: int, strength: float = 10.0, stickiness:
     return c / c.sum(axis=1, keepdims=True)
 
 
-def tilt_gain(states: np.ndarray, psi: np.ndarray, rank: np.ndarray, folds: int = 4, k: int = 1, first: float = 0.4) -> dict[str, float]:
-    """Out-of-sample gain in log-likelihood per transition of the tilted over the plain matrix; both are fitted on earlier rows."""
+def tilt_gain(states: np.ndarray, psi: np.ndarray, rank: np.ndarray, folds: int = 4, k: int = 1, first: float = 0.4, base: np.ndarray | None = None) -> dict[str, float]:
+    """Out-of-sample gain in log-likelihood per transition of the tilt by psi, over the plain matrix or that tilted by the base; all is fitted on earlier rows."""
     n = len(states)
     cuts = np.linspace(int(first * n), n, folds + 1).astype(int)
     gain, total, up = 0.0, 0, 0
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        mu, sd = np.nanmean(psi[:a]), np.nanstd(psi[:a])
-        x = np.where(np.isfinite(psi), (psi - mu) / (sd if sd > 0 else 1), 0.0)
+        x, z = standard(psi, psi[:a]), None if base is None else standard(base, base[:a])
         p0 = count_matrix(states[:a], len(rank))
-        beta = tilt_fit(p0, rank, states[:a], x[:a], k)
-        g = tilt_loglik(p0, rank, states[a:b], beta * x[a:b], k) - tilt_loglik(p0, rank, states[a:b], 0 * x[a:b], k)
+        fit = tilt_fits([(states[:a], x[:a], None if z is None else z[:a])], rank, k, [p0])
+        test = None if z is None else z[a:b]
+        like = lambda beta: tilt_loglik(p0, rank, states[a:b], effective_pressure(x[a:b], beta, test, fit["gamma"]), k)  # noqa: B023, E731
+        g = like(fit["beta"]) - like(0.0)
         gain, total, up = gain + g, total + max(0, b - a - k), up + (g > 0)
     return {"gain": gain / total if total else np.nan, "folds_up": up}
 
 
+def tilted_chain(p0: np.ndarray, rank: np.ndarray, psi: np.ndarray, beta: float, seed: int = 0, start: int = 0) -> np.ndarray:
+    """A path of states whose matrix on each day is p0 tilted by that day's pressure."""
+    rng = np.random.default_rng(seed)
+    run = np.cumsum(tilted(p0, rank, beta * psi), axis=2)
+    out, s = np.empty(len(psi), np.int64), start
+    for t, u in enumerate(rng.random(len(psi)).tolist()):
+        if t:
+            s = int(min(np.searchsorted(run[t - 1, s], u, side="right"), len(p0) - 1))
+        out[t] = s
+    return out
+
+
 # regressions of the screen
 
 
@@ -278,31 +321,62 @@ def directions(x: np.ndarray, down: float, up: float, delta: float) -> np.ndarra
     return out
 
 
-def next_state(level: int, direction: int, before: str) -> str:
-    high = before in ("stressed", "normalising", "extreme")
-    if level == 3:
-        return "extreme"
-    if level == 2:
-        return "normalising" if direction < 0 else "stressed"
-    if level == 1:
-        if direction == 0:
-            return "agitated"
-        if direction > 0:
-            return "stressed" if high else "rising"
-        return "normalising" if high else "carry" if before == "carry" else "settling"
-    return "rising" if direction > 0 else "carry" if direction == 0 or before == "carry" else "settling"
-
-
-def walk(level: np.ndarray, direction: np.ndarray) -> np.ndarray:
-    out, s = [], "carry"
+# The state that a level and a direction mean. Where it depends on the state of the day
+# before, a row for each of those ("*": any other); "keep" leaves the state as it was.
+NEXT_STATE = [
+    ("low", "flat", "*", "carry"),
+    ("low", "up", "*", "rising"),
+    ("low", "down", "carry", "carry"),
+    ("low", "down", "*", "settling"),
+    ("mid", "flat", "*", "agitated"),
+    ("mid", "up", "stressed", "stressed"),
+    ("mid", "up", "normalising", "stressed"),
+    ("mid", "up", "extreme", "stressed"),
+    ("mid", "up", "*", "rising"),
+    ("mid", "down", "stressed", "normalising"),
+    ("mid", "down", "normalising", "normalising"),
+    ("mid", "down", "extreme", "normalising"),
+    ("mid", "down", "carry", "keep"),
+    ("mid", "down", "*", "settling"),
+    ("high", "up", "*", "stressed"),
+    ("high", "flat", "*", "stressed"),
+    ("high", "down", "*", "normalising"),
+    ("extreme", "up", "*", "extreme"),
+    ("extreme", "flat", "*", "extreme"),
+    ("extreme", "down", "*", "extreme"),
+]
+LEVELS, DIRECTIONS = ("low", "mid", "high", "extreme"), ("down", "flat", "up")
+THREE_STATES = ("carry", "transition", "crisis", "crisis")
+_NEXT = {row[:3]: row[3] for row in NEXT_STATE}
+
+
+def next_state(level: str, direction: str, before: str) -> str:
+    found = _NEXT.get((level, direction, before)) or _NEXT.get((level, direction, "*"), "keep")
+    return before if found == "keep" else found
+
+
+def walk(level: np.ndarray, direction: np.ndarray, before: str = "carry") -> np.ndarray:
+    """States of levels (0 to 3) and directions (-1 to 1) in order."""
+    out = []
     for a, b in zip(level.tolist(), direction.tolist(), strict=True):
-        s = next_state(a, b, s)
-        out.append(s)
+        before = next_state(LEVELS[a], DIRECTIONS[b + 1], before)
+        out.append(before)
     return np.array(out)
 
 
-def step_bounds(score: np.ndarray, target: np.ndarray, min_share: float = 0.08, grid_n: int = 40) -> tuple[float, float] | None:
-    """Two boundaries whose bands' means explain the target best, by running sums over a grid of quantiles."""
+def cusum_between(x2: np.ndarray, mu: np.ndarray, k: float, h: float) -> np.ndarray:
+    """S = max(0, S + x2 - mu - k), told before it restarts beyond h; what is missing repeats what S was."""
+    s, out = 0.0, np.zeros(len(x2))
+    for t, (x, m) in enumerate(zip(x2.tolist(), mu.tolist(), strict=True)):
+        if x == x and m == m:
+            s = max(0.0, s + x - m - k)
+        out[t] = s
+        s = 0.0 if s > h else s
+    return out
+
+
+def step_bounds(score: np.ndarray, target: np.ndarray, min_share: float = 0.08, grid_n: int = 40, n_breaks: int = 2) -> tuple[float, ...] | None:
+    """The boundaries whose bands' means explain the target best, by running sums over a grid of quantiles; None below 50 rows."""
     ok = np.isfinite(score) & np.isfinite(target)
     if ok.sum() < 50:
         return None
@@ -312,12 +386,13 @@ def step_bounds(score: np.ndarray, target: np.ndarray, min_share: float = 0.08,
     grid = np.quantile(s, np.linspace(min_share, 1 - min_share, grid_n))
     cut = np.searchsorted(s, grid)
     run = np.concatenate([[0.0], np.cumsum(y)])[cut]
-    i, j = np.triu_indices(grid_n, 1)
-    sizes = np.stack([cut[i], cut[j] - cut[i], n - cut[j]])
-    sums = np.stack([run[i], run[j] - run[i], y.sum() - run[j]])
+    pick = np.array(list(combinations(range(grid_n), n_breaks))).T
+    edges = np.concatenate([np.zeros((1, pick.shape[1])), cut[pick], np.full((1, pick.shape[1]), n)])
+    upto = np.concatenate([np.zeros((1, pick.shape[1])), run[pick], np.full((1, pick.shape[1]), y.sum())])
+    sizes, sums = np.diff(edges, axis=0), np.diff(upto, axis=0)
     fit = np.where((sizes >= max(1, least)).all(axis=0), (sums**2 / np.maximum(sizes, 1)).sum(axis=0), -np.inf)
     b = int(fit.argmax())
-    return (float(grid[i[b]]), float(grid[j[b]])) if np.isfinite(fit[b]) else None
+    return tuple(float(grid[i]) for i in pick[:, b]) if np.isfinite(fit[b]) else None
 
 
 def state_r2(states: np.ndarray, y: np.ndarray, folds: int = 4) -> float:
@@ -333,25 +408,58 @@ def state_r2(states: np.ndarray, y: np.ndarray, folds: int = 4) -> float:
     return 1 - sse / sst if sst > 0 else np.nan
 
 
-def label_candidate(score: np.ndarray, target: np.ndarray, level_target: np.ndarray, halflife: float, delta: float, k: float | None, extreme: bool) -> tuple[np.ndarray, dict] | None:
-    """Labels of one candidate: levels alone (k None) or levels with directions, with or without the extreme band."""
+def _changes(states: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], states[1:] != states[:-1]]) if len(states) else np.zeros(0, bool)
+
+
+def episodes(states: np.ndarray) -> dict[str, int]:
+    """Runs of each state."""
+    new = _changes(states)
+    return {str(u): int((new & (states == u)).sum()) for u in np.unique(states)}
+
+
+def merged_rare(states: np.ndarray, least: int, rare: str = "extreme", parent: str = "stressed") -> np.ndarray:
+    """The states with a rare one, of fewer than ``least`` runs, given to its parent."""
+    return np.where(states == rare, parent, states) if 0 < episodes(states).get(rare, 0) < least else states
+
+
+def slope(smooth: np.ndarray, window: int = 5) -> np.ndarray:
+    return (smooth - np.concatenate([np.full(window, np.nan), smooth[:-window]])[: len(smooth)]) / window
+
+
+def spec_labels(score: np.ndarray, spec: dict) -> np.ndarray:
+    """Labels of a raw score under a spec: halflife, bounds, delta, partition ("3", "6", "6x"), dir_window, d_up, delta_d, extreme_merged."""
+    smooth = ewma(score, spec["halflife"])
+    level = levels(smooth, tuple(spec["bounds"]), spec["delta"])
+    if spec["partition"] == "3":
+        return np.array(THREE_STATES)[level]
+    turn = directions(slope(smooth, spec.get("dir_window", 5)), -spec["d_up"], spec["d_up"], spec["delta_d"])
+    states = walk(level, turn)
+    return np.where(states == "extreme", "stressed", states) if spec.get("extreme_merged") else states
+
+
+def label_candidate(score: np.ndarray, target: np.ndarray, level_target: np.ndarray, halflife: float, delta: float, k: float | None, extreme: bool, least_episodes: int = 5) -> tuple[np.ndarray, dict] | None:
+    """Labels of one candidate: levels alone (k None) or levels with directions, with or without the extreme band.
+
+    Of the extreme band, from the 0.975 quantile on, too few runs are merged into stressed, and
+    the candidate stays.
+    """
     smooth = ewma(score, halflife)
     bounds = step_bounds(smooth, level_target)
     if bounds is None:
         return None
-    top = float(np.nanquantile(smooth, 0.975))
-    if extreme and top > bounds[1]:
-        bounds = (*bounds, top)
-    lv = levels(smooth, bounds, delta)
-    if k is None:
-        states = np.array(["carry", "transition", "crisis", "crisis"])[lv]
-    else:
-        slope = (smooth - np.concatenate([np.full(5, np.nan), smooth[:-5]])) / 5
-        d = k * float(np.nanstd(slope, ddof=1))
-        states = walk(lv, directions(slope, -d, d, 0.2 * d))
-    change = np.concatenate([[True], states[1:] != states[:-1]])
-    episodes = min(int((change & (states == u)).sum()) for u in np.unique(states))
-    return states, {"r2": state_r2(states, target), "switches": int(change.sum()) - 1, "min_episodes": episodes, "lower": bounds[0], "upper": bounds[1]}
+    turn = 0.0 if k is None else k * float(np.nanstd(slope(smooth), ddof=1))
+    spec = {"halflife": halflife, "bounds": bounds, "delta": delta, "partition": "3" if k is None else "6x" if extreme else "6", "d_up": turn, "delta_d": 0.2 * turn}
+    if extreme:
+        spec["bounds"] = (*bounds, float(np.nanquantile(smooth, 0.975)))
+    states = spec_labels(score, spec)
+    rare = episodes(states).get("extreme", 0)
+    spec["extreme_merged"] = bool(extreme and 0 < rare < least_episodes)
+    kept = merged_rare(states, least_episodes) if extreme else states
+    told = {"r2": state_r2(kept, target), "switches": int(_changes(kept).sum()) - 1, "min_episodes": min(episodes(kept).values())}
+    top = spec["bounds"][2] if extreme else None
+    told |= {"lower": bounds[0], "upper": bounds[1], "top": top, "d_up": turn, "delta_d": 0.2 * turn, "extreme_merged": spec["extreme_merged"], "extreme_episodes": rare, "extreme_days": int((states == "extreme").sum())}
+    return kept, told
 
 
 # sub-states

@@ -1,105 +1,67 @@
-"""Finite-state scans along a series, each a fold over its ordered values.
+"""Finite-state scans along a series: a kernel walks over its ordered values once.
 
-A fold runs over one collected series, some thousand rows; series are independent, so they spread
-over the cluster by their keys.
+Series are independent groups, so they spread over the cluster by their keys; a worker holds
+the values of one series at a time, some bytes a row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEVELS = ["low", "mid", "high", "extreme"]
+from tidelark.functions import kernels as kn
 
+LEVELS = list(kn.LEVELS)
 
-def scan(df: DataFrame, values: list[str], start: Column, step: Callable[[Column, Column], Column], emit: str, out: str, keys: list[str] | None = None, order: str = "date") -> DataFrame:
-    """Fold ``step(state, row)`` over each series; the field ``emit`` of each state becomes the column ``out``.
 
-    start and step give a struct; the state carries the list of what was emitted.
-    """
+def scan(df: DataFrame, values: list[str], kernel: Callable[..., np.ndarray], out: str, kind: str = "string", keys: list[str] | None = None, order: str = "date") -> DataFrame:
+    """keys, order and ``out``: what the kernel makes of the arrays of ``values``, of each series in order. Missing numbers are NaN."""
     keys = keys or ["pair"]
-    held = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("_rows"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*keys, order]), f"{out} {kind}"])
+    numbers = {c for c in values if kinds[c] != "string"}
 
-    def fold(acc: Column, row: Column) -> Column:
-        s = step(acc["s"], row)
-        return F.struct(s.alias("s"), F.array_append(acc["out"], s[emit]).alias("out"))
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(order, kind="stable")
+        got = kernel(*(g[c].to_numpy(float) if c in numbers else g[c].to_numpy(object) for c in values))
+        return g[[*keys, order]].assign(**{out: got})
 
-    kind = {"class": "int", "s": "double", "emit": "double"}.get(emit, "string")
-    run = F.aggregate("_rows", F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("out")), fold)["out"]
-    return held.select(*keys, F.explode(F.arrays_zip("_rows", run.alias("_out"))).alias("z")).select(*keys, F.col(f"z._rows.{order}").alias(order), F.col("z._out").alias(out))
+    found = df.select(*keys, order, *values).groupBy(*keys).applyInPandas(run, schema)
+    return found.withColumn(out, F.nanvl(out, F.lit(None))) if kind == "double" else found
 
 
 def level_scan(df: DataFrame, x: str, bounds: list[float], delta: float, names: list[str] | None = None, out: str = "level") -> DataFrame:
     """Bands with hysteresis: up while x exceeds the bound above by delta, then down while it is below the one under by delta."""
-    names = names or LEVELS
-    n = len(bounds)
-
-    def step(s: Column, row: Column) -> Column:
-        v, k = row[x], s["class"]
-        for b in range(n):
-            k = F.when((k == b) & (v > bounds[b] + delta), b + 1).otherwise(k)
-        for b in reversed(range(n)):
-            k = F.when((k == b + 1) & (v < bounds[b] - delta), b).otherwise(k)
-        return F.struct(k.cast("int").alias("class"))
-
-    got = scan(df, [x], F.struct(F.lit(0).alias("class")), step, "class", "_k")
-    return got.select("pair", "date", F.element_at(F.array(*map(F.lit, names)), F.col("_k") + 1).alias(out))
+    named = np.array(names or LEVELS, object)
+    return scan(df, [x], lambda v: named[kn.levels(v, tuple(bounds), delta)], out)
 
 
 def direction_scan(df: DataFrame, x: str, down: float, up: float, delta: float, out: str = "direction") -> DataFrame:
     """down, flat, up with hysteresis; from down to flat and on to up may be one day, from up only to flat."""
-
-    def step(s: Column, row: Column) -> Column:
-        v, k = row[x], s["class"]
-        rose = F.when((k == -1) & (v > down + delta), 0).otherwise(k)
-        new = F.when((rose == 0) & (v > up + delta), 1).when((rose == 0) & (v < down - delta), -1).when((k == 1) & (v < up - delta), 0).otherwise(rose)
-        return F.struct(new.cast("int").alias("class"))
-
-    got = scan(df, [x], F.struct(F.lit(0).alias("class")), step, "class", "_k")
-    return got.select("pair", "date", F.element_at(F.array(F.lit("down"), F.lit("flat"), F.lit("up")), F.col("_k") + 2).alias(out))
+    named = np.array(kn.DIRECTIONS, object)
+    return scan(df, [x], lambda v: named[kn.directions(v, down, up, delta) + 1], out)
 
 
-def next_state(level: Column, direction: Column, before: Column) -> Column:
-    """The state that a level and a direction mean, given the one before."""
-    was_high = before.isin("stressed", "normalising", "extreme")
-    return (
-        F.when(level == "extreme", "extreme")
-        .when((level == "high") & (direction == "down"), "normalising")
-        .when(level == "high", "stressed")
-        .when((level == "mid") & (direction == "flat"), "agitated")
-        .when((level == "mid") & (direction == "up"), F.when(was_high, "stressed").otherwise("rising"))
-        .when(level == "mid", F.when(was_high, "normalising").when(before == "carry", "carry").otherwise("settling"))
-        .when(direction == "flat", "carry")
-        .when(direction == "up", "rising")
-        .otherwise(F.when(before == "carry", "carry").otherwise("settling"))
-    )
+def threshold_labels(df: DataFrame, x: str, lower: float, upper: float, delta: float = 0.0, out: str = "regime") -> DataFrame:
+    """The three states of levels alone: carry, transition, crisis."""
+    return level_scan(df, x, [lower, upper], delta, list(kn.THREE_STATES[:3]), out)
 
 
 def state_scan(df: DataFrame, level: str = "level", direction: str = "direction", out: str = "regime") -> DataFrame:
-    return scan(df, [level, direction], F.struct(F.lit("carry").alias("state")), lambda s, r: F.struct(next_state(r[level], r[direction], s["state"]).alias("state")), "state", out)
+    """The states of named levels and directions, from carry on."""
+    place = lambda names, x, least: np.array([names.index(v) + least for v in x], np.int64)
+    return scan(df, [level, direction], lambda a, b: kn.walk(place(kn.LEVELS, a, 0), place(kn.DIRECTIONS, b, -1)), out)
 
 
 def ewma_scan(df: DataFrame, x: str, halflife: float, out: str = "ewma") -> DataFrame:
     """Exponential mean; a gap of g rows gives the old mean the weight it would have faded to, and gaps repeat the mean."""
-    a = 1 - 0.5 ** (1 / halflife)
-    start = F.struct(F.lit(None).cast("double").alias("emit"), F.lit(1.0).alias("w"))
-
-    def step(s: Column, row: Column) -> Column:
-        w = s["w"] * (1 - a)
-        y = F.when(row[x].isNull(), s["emit"]).when(s["emit"].isNull(), row[x]).otherwise((w * s["emit"] + a * row[x]) / (w + a))
-        return F.struct(y.alias("emit"), F.when(row[x].isNull() & s["emit"].isNotNull(), w).otherwise(1.0).alias("w"))
-
-    return scan(df, [x], start, step, "emit", out)
+    return scan(df, [x], lambda v: kn.ewma(v, halflife), out, "double")
 
 
 def cusum_scan(df: DataFrame, x2: str, mu: str, k: float, h: float, out: str = "cusum") -> DataFrame:
     """S = max(0, S + x2 - mu - k), told before it restarts beyond h; a null repeats what S was."""
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("emit"))
-
-    def step(s: Column, row: Column) -> Column:
-        new = F.when(row[x2].isNull() | row[mu].isNull(), s["s"]).otherwise(F.greatest(F.lit(0.0), s["s"] + row[x2] - row[mu] - k))
-        return F.struct(F.when(new > h, 0.0).otherwise(new).alias("s"), new.alias("emit"))
-
-    return scan(df, [x2, mu], start, step, "emit", out)
+    return scan(df, [x2, mu], lambda a, b: kn.cusum_between(a, b, k, h), out, "double")

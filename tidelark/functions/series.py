@@ -70,5 +70,8 @@ def average_rank(x: C, keys: list[str]) -> Column:
     return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count(F.lit(1)).over(Window.partitionBy(*keys, x)) - 1) / 2.0
 
 
-def half_even(x: Column, digits: int) -> Column:
-    return F.bround(x, digits)
+
+def runs_of_days(df: DataFrame, mask: str, out: str = "run", least_gap: int = 1) -> DataFrame:
+    """The days of a mask, numbered by run: a new one starts where more than ``least_gap`` rows of the series have passed since the last."""
+    at = df.withColumn("_i", F.row_number().over(series())).where(mask)
+    return at.withColumn("_new", (F.coalesce(F.col("_i") - F.lag("_i").over(series()), F.lit(1 << 30)) > least_gap).cast("int")).withColumn(out, F.sum("_new").over(series())).drop("_i", "_new")

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -62,36 +62,43 @@ def with_all(df: DataFrame) -> DataFrame:
     return df.withColumn("regime", F.explode(F.array(F.lit("ALL"), "regime")))
 
 
-def _newey_west(most: int) -> tuple[dict[str, Column], Column]:
-    """Columns of residual products by lag, and the standard error that their sums give, with bandwidth h."""
-    w = Window.partitionBy(*CELL).orderBy("entry_date", "trade_id")
-    products = {f"_p{k}": F.col("_e") * F.lag("_e", k).over(w) for k in range(1, most + 1)}
-    n, band = F.count(F.lit(1)), F.least(F.first("h"), F.count(F.lit(1)) - 1)
-    var = F.sum(F.col("_e") * F.col("_e"))
-    for k in range(1, most + 1):
-        var = var + F.when(band >= k, 2.0 * (1 - k / (band + 1.0)) * F.coalesce(F.sum(f"_p{k}"), F.lit(0.0))).otherwise(0.0)
-    return products, F.when(n >= 2, F.sqrt(F.greatest(var / n, F.lit(0.0)) / n))
+def newey_west(cum_lab: DataFrame) -> DataFrame:
+    """Newey-West standard errors of the cells' means: Bartlett weights up to lag L = min(h, n - 1), whatever h is.
+
+    The weighted autocovariances add up to the sum of squares of all sums of L + 1 neighbouring
+    residuals (none beyond the ends), over L + 1. The sum that ends at place t is S(t) - S(t - L - 1),
+    S the running sum; so each row goes to place t and to place t + L + 1, and no lag is enumerated.
+    """
+    order = Window.partitionBy(*CELL).orderBy("entry_date", "trade_id")
+    whole, upto = Window.partitionBy(*CELL), order.rowsBetween(Window.unboundedPreceding, 0)
+    e = with_all(cum_lab).select(*CELL, "entry_date", "trade_id", F.count(F.lit(1)).over(whole).alias("_n"), (F.col("cum_pnl") - F.avg("cum_pnl").over(whole)).alias("_e"))
+    s = e.select(*CELL, "_n", F.row_number().over(order).alias("_k"), F.sum("_e").over(upto).alias("_s"), F.least(F.col("h").cast("long"), F.col("_n") - 1).alias("_l"))
+    here, there = F.struct(F.col("_k").cast("long").alias("k"), F.col("_s").alias("s")), F.struct((F.col("_k") + F.col("_l") + 1).alias("k"), (-F.col("_s")).alias("s"))
+    sums = s.withColumn("t", F.explode(F.array(here, there))).groupBy(*CELL, "t.k").agg(F.sum("t.s").alias("_w"), F.max("_n").alias("_n"), F.max("_l").alias("_l"))
+    n, lags = F.max("_n"), F.max("_l")
+    return sums.groupBy(*CELL).agg(F.when(n >= 2, F.sqrt(F.sum(F.col("_w") * F.col("_w")) / (lags + 1) / n / n)).alias("se"))
 
 
-def ladder(cum_lab: DataFrame, labels: DataFrame, se: DataFrame | None = None, z: float = Z90, horizons: Iterable[int] = HORIZONS, longest: int = 21) -> DataFrame:
+def ladder(cum_lab: DataFrame, labels: DataFrame, se: DataFrame | None = None, z: float = Z90) -> DataFrame:
     """A row for each group, regime (and ALL) and horizon. se: standard errors of cells, by default Newey-West with bandwidth h.
 
-    Lags go up to the largest horizon or ``longest`` (the longest tenor). Mean, tail and
-    autocovariances come from windows over the cells and one aggregation, all on one exchange.
+    Means and quantiles are aggregations, which combine before they are exchanged; the tail is
+    read against the quantile of its cell. cum_lab is read more than once: give a stored table.
     """
-    x, whole = F.col("cum_pnl"), Window.partitionBy(*CELL)
-    cells = with_all(cum_lab).withColumns({"_e": x - F.avg(x).over(whole), "_q": F.percentile(x, F.lit(0.05)).over(whole)})
-    products, error = ({}, None) if se is not None else _newey_west(max([longest, *horizons]))
-    stats = cells.withColumns(products).groupBy(*CELL).agg(
+    x = F.col("cum_pnl")
+    cells = with_all(cum_lab)
+    stats = cells.groupBy(*CELL).agg(
         F.first("to_expiry").alias("to_expiry"), F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.avg((x > 0).cast("double")).alias("p_profit"),
-        F.first("_q").alias("q05"), *(F.percentile(x, F.lit(q)).alias(a) for q, a in ((0.5, "q50"), (0.95, "q95"))),
-        F.avg(F.when(F.round(x, 9) <= F.round("_q", 9), x)).alias("es05"), *([error.alias("se")] if error is not None else []),
+        F.percentile(x, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("_q"),
     )
-    out = stats if se is None else stats.join(se, CELL, "left")
+    stats = stats.select("*", *(F.col("_q")[i].alias(a) for i, a in enumerate(("q05", "q50", "q95")))).drop("_q")
+    tail = cells.join(stats.select(*CELL, "q05"), CELL).where(F.round(x, 9) <= F.round("q05", 9)).groupBy(*CELL).agg(F.avg(x).alias("es05"))
+    out = stats.join(newey_west(cum_lab) if se is None else se, CELL, "left").join(tail, CELL, "left")
     out = out.join(entry_spacing(cum_lab), GROUP).join(count_episodes(labels), ["pair", "regime"], "left")
+    n_eff = F.rint(10 * (F.col("n") * F.least(F.lit(1.0), F.col("spacing") / F.col("h")))) / 10
     return out.select(
-        *CELL, "to_expiry", "n", (F.rint(10 * (F.col("n") * F.least(F.lit(1.0), F.col("spacing") / F.col("h")))) / 10).alias("n_eff"), "mean", "se",
-        (F.col("mean") - z * F.col("se")).alias("ci_lo"), (F.col("mean") + z * F.col("se")).alias("ci_hi"), "p_profit", "q05", "q50", "q95", "es05", F.coalesce("episodes", F.lit(0)).alias("episodes"),
+        *CELL, "to_expiry", "n", n_eff.alias("n_eff"), "mean", "se", (F.col("mean") - z * F.col("se")).alias("ci_lo"), (F.col("mean") + z * F.col("se")).alias("ci_hi"),
+        "p_profit", "q05", "q50", "q95", "es05", F.coalesce("episodes", F.lit(0)).alias("episodes"),
     )
 
 

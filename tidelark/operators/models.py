@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +13,9 @@ from pyspark.sql.window import Window
 from tidelark.functions import kernels as kn
 from tidelark.functions.series import series, with_runs
 from tidelark.operators.features import surprise
+from tidelark.operators.ladder import attach_entry_labels, ladder
 from tidelark.operators.states import RANK, unpivoted
+from tidelark.sources.tables import GROUP
 
 
 def har_forecast(m: DataFrame, ridge: float = 0.5) -> DataFrame:
@@ -44,31 +48,45 @@ def shock_score(m: DataFrame, k: float = 0.3, arl: float = 1000.0, hazard: float
     return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("cusum", "p_young", "run", "score")})
 
 
-GRID = [(h, d, k, x) for h in (2.0, 3.0, 5.0) for d in (0.0, 2.0, 3.0, 5.0) for k, x in ((None, False), *((k, x) for k in (0.5, 0.75, 1.0) for x in (False, True)))]
+HALFLIVES, DELTAS, TURNS = (2.0, 3.0, 5.0), (0.0, 2.0, 3.0, 5.0), (0.5, 0.75, 1.0)
+SPEC = "halflife double, delta double, dir_k double, lower double, upper double, top double, d_up double, delta_d double, extreme_merged boolean, extreme_episodes int, extreme_days int"
+_SPEC_NAMES = [c.split()[0] for c in SPEC.split(", ")]
+
 
+def _candidates(halflives: tuple, deltas: tuple, turns: tuple) -> list[list[tuple]]:
+    """Settings (number, halflife, delta, k, extreme) in blocks of one halflife and delta, which a worker tries together."""
+    kinds = [(None, False), *((k, x) for k in turns for x in (False, True))]
+    blocks = [(h, d) for h in halflives for d in deltas]
+    return [[(i * len(kinds) + j, h, d, k, x) for j, (k, x) in enumerate(kinds)] for i, (h, d) in enumerate(blocks)]
 
-def finder(t: DataFrame, budget: float = 30.0, least_episodes: int = 5, tolerance: float = 0.015) -> DataFrame:
-    """All candidates of the labeller with their figures and the choice; t: pair, date, score, target, level_target.
 
-    Candidates are rows, so they spread over the cluster. Within a partition the fewest
-    switches within ``tolerance`` of the best R2 win, overall the best R2.
+def finder(
+    t: DataFrame, budget: float = 30.0, least_episodes: int = 5, tolerance: float = 0.015, halflives: tuple = HALFLIVES, deltas: tuple = DELTAS, turns: tuple = TURNS
+) -> DataFrame:
+    """All candidates of the labeller with their figures, their spec and the choice; t: pair, date, score, target, level_target.
+
+    Blocks of candidates are rows, so they spread over the cluster; a series goes once to each
+    block. Within a partition the fewest switches within ``tolerance`` of the best R2 win,
+    overall the best R2.
     """
-    spark = t.sparkSession
-    grid = spark.createDataFrame([(i, h, d, k, x) for i, (h, d, k, x) in enumerate(GRID)], "candidate int, halflife double, delta double, k double, extreme boolean")
+    blocks = _candidates(halflives, deltas, turns)
     arr = t.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("date", "score", "target", "level_target"))).alias("s"))
-    cand = arr.crossJoin(F.broadcast(grid)).repartition("pair", "candidate")
+    cand = arr.withColumn("block", F.explode(F.array(*map(F.lit, range(len(blocks)))))).repartition("pair", "block")
+    names = ["pair", "candidate", "partition", "days", "r2", "switches", "min_episodes", *_SPEC_NAMES]
 
     def run(batches):  # noqa: ANN001, ANN202
         for b in batches:
             rows = []
             for r in b.itertuples():
                 cols = [np.array([np.nan if x[c] is None else x[c] for x in r.s], float) for c in ("score", "target", "level_target")]
-                got = kn.label_candidate(*cols, r.halflife, r.delta, None if r.k is None or np.isnan(r.k) else r.k, r.extreme)
-                if got:
-                    rows.append({"pair": r.pair, "candidate": r.candidate, "partition": "3" if r.k is None or np.isnan(r.k) else "6x" if r.extreme else "6", "days": len(cols[0]), **got[1]})
-            yield pd.DataFrame(rows, columns=["pair", "candidate", "partition", "days", "r2", "switches", "min_episodes", "lower", "upper"])
-
-    found = cand.mapInPandas(run, "pair string, candidate int, partition string, days int, r2 double, switches int, min_episodes int, lower double, upper double")
+                for i, h, d, k, x in blocks[r.block]:
+                    got = kn.label_candidate(*cols, h, d, k, x, least_episodes)
+                    if got:
+                        part = "3" if k is None else "6x" if x else "6"
+                        rows.append({"pair": r.pair, "candidate": i, "partition": part, "days": len(cols[0]), "halflife": h, "delta": d, "dir_k": k or 0.0, **got[1]})
+            yield pd.DataFrame(rows, columns=names)
+
+    found = cand.mapInPandas(run, f"pair string, candidate int, partition string, days int, r2 double, switches int, min_episodes int, {SPEC}")
     enough = F.col("min_episodes") >= least_episodes
     within = F.col("switches") <= budget * F.col("days") / 252
     any_within = F.max((enough & within).cast("int")).over(Window.partitionBy("pair")) == 1
@@ -82,34 +100,109 @@ def finder(t: DataFrame, budget: float = 30.0, least_episodes: int = 5, toleranc
     return t3.withColumn("winner", F.col("chosen") & (F.row_number().over(top) == 1)).drop("_best")
 
 
-def make_labels(t: DataFrame, chosen: DataFrame, partition: str = "auto") -> DataFrame:
-    """Labels of the chosen candidate of each pair: of one partition, or the winner where it has none."""
+def top_candidates(report: DataFrame, top: int = 5) -> DataFrame:
+    """The best candidates of each partition by R2."""
+    w = Window.partitionBy("pair", "partition").orderBy(F.col("r2").desc_nulls_last(), "candidate")
+    return report.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top)
+
+
+def specs(report: DataFrame, partition: str = "auto") -> DataFrame:
+    """A spec for each pair, to be kept and applied to later days: of the partition asked for, else the winner's (fell_back)."""
     own = F.col("chosen") & (F.col("partition") == partition)
-    rank = F.row_number().over(Window.partitionBy("pair").orderBy(F.when(own, 0).when(F.col("winner"), 1).otherwise(2), "candidate"))
-    pick = chosen.withColumn("_k", rank).where("_k = 1").select("pair", "candidate")
+    rank = F.row_number().over(Window.partitionBy("pair").orderBy(F.when(own, 0).when(F.col("winner"), 1).otherwise(2), F.col("r2").desc_nulls_last(), "candidate"))
+    pick = report.where("chosen or winner").withColumn("_k", rank).where("_k = 1")
+    fell = F.lit(False) if partition == "auto" else F.col("partition") != partition
+    return pick.select("pair", "partition", "r2", "switches", "days", "min_episodes", *_SPEC_NAMES, fell.alias("fell_back"))
+
+
+def fixed_specs(t: DataFrame, halflife: float, bounds: tuple[float, ...], delta: float, dir_k: float = 0.75, partition: str = "6") -> DataFrame:
+    """Specs of given parameters, without a search; the direction threshold is dir_k deviations of the score's slope. t: pair, date, score."""
+    top = float(bounds[2]) if len(bounds) > 2 else None
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        turn = dir_k * float(np.nanstd(kn.slope(kn.ewma(g.sort_values("date")["score"].to_numpy(float), halflife)), ddof=1))
+        return pd.DataFrame([[g["pair"].iloc[0], partition, halflife, delta, dir_k, bounds[0], bounds[1], top, turn, 0.2 * turn, False]])
+
+    return t.select("pair", "date", "score").groupBy("pair").applyInPandas(run, "pair string, partition string, " + ", ".join(SPEC.split(", ")[:9]))
+
+
+def apply_spec(t: DataFrame, spec: DataFrame) -> DataFrame:
+    """Labels of each day under the spec of its pair, without a new fit; warm marks days before the score is known. t: pair, date, score."""
+    names = ["partition", "halflife", "delta", "lower", "upper", "top", "d_up", "delta_d", "extreme_merged"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date")
-        h, d, k, x = GRID[int(g["candidate"].iloc[0])]
-        got = kn.label_candidate(*(g[c].to_numpy(float) for c in ("score", "target", "level_target")), h, d, k, x)
-        return pd.DataFrame({"pair": g["pair"], "date": g["date"], "regime": got[0] if got else "carry", "warm": ~np.isfinite(g["score"].to_numpy(float))})
+        r, score = g.iloc[0], g["score"].to_numpy(float)
+        bounds = (r["lower"], r["upper"]) if pd.isna(r["top"]) else (r["lower"], r["upper"], r["top"])
+        lab = kn.spec_labels(score, {**{n: r[n] for n in names}, "bounds": bounds})
+        known = np.maximum.accumulate(np.isfinite(score)) if len(score) else np.zeros(0, bool)
+        return pd.DataFrame({"pair": g["pair"], "date": g["date"], "regime": lab, "warm": ~known})
+
+    return t.select("pair", "date", "score").join(spec.select("pair", *names), "pair").groupBy("pair").applyInPandas(run, "pair string, date date, regime string, warm boolean")
+
 
-    return t.join(pick, "pair").groupBy("pair").applyInPandas(run, "pair string, date date, regime string, warm boolean")
+def make_labels(t: DataFrame, report: DataFrame, partition: str = "auto") -> DataFrame:
+    """Labels by the chosen candidate of each pair: of one partition, or the winner where it has none."""
+    return apply_spec(t, specs(report, partition))
 
 
-def tilt_fits(t: DataFrame, features: list[str], k: int = 1) -> DataFrame:
-    """Sensitivity of transitions to each feature, and the out-of-sample gain of the tilt."""
-    long, stress = t.unpivot(["pair", "date", "regime"], features, "feature", "x"), dict(RANK)
+def tilt_fits(t: DataFrame, features: list[str], k: int = 1, base: str | None = None) -> DataFrame:
+    """Sensitivity of transitions to each feature, beyond a base if one is named, and the out-of-sample gain of the tilt; features are groups."""
+    own = [base] if base else []
+    long, stress = t.select("pair", "date", "regime", *own, *(c for c in features if c != base)).unpivot(["pair", "date", "regime", *own], [c for c in features if c != base], "feature", "x"), dict(RANK)
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date")
         s, rank = kn.ranked_states(g["regime"].tolist(), stress)
-        x = g["x"].to_numpy(float)
-        z = np.nan_to_num((x - np.nanmean(x)) / (np.nanstd(x) or 1))
-        beta = kn.tilt_fit(kn.count_matrix(s, len(rank)), rank, s, z, k)
-        return pd.DataFrame([[*key, len(s), beta, *kn.tilt_gain(s, x, rank, k=k).values()]])
+        x = kn.standard(g["x"].to_numpy(float))
+        z = kn.standard(g[base].to_numpy(float)) if base else None
+        fit = kn.tilt_fits([(s, x, z)], rank, k)
+        gain = kn.tilt_gain(s, g["x"].to_numpy(float), rank, k=k, base=g[base].to_numpy(float) if base else None)
+        return pd.DataFrame([[*key, len(s), fit["gamma"], fit["beta"], *gain.values()]])
 
-    return long.groupBy("pair", "feature").applyInPandas(run, "pair string, feature string, n int, beta double, gain double, folds_up int")
+    return long.groupBy("pair", "feature").applyInPandas(run, "pair string, feature string, n int, gamma double, beta double, gain double, folds_up int")
+
+
+def pooled_tilt(t: DataFrame, features: list[str], k: int = 1, base: str | None = None) -> DataFrame:
+    """One gamma and one beta for all pairs together: log-likelihoods add, each pair has its own matrix. Features are groups."""
+    own, stress = [base] if base else [], dict(RANK)
+    long = t.select("pair", "date", "regime", *own, *features).unpivot(["pair", "date", "regime", *own], features, "feature", "x")
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(g["regime"]))
+        rank = np.array([stress.get(n, 0.0) for n in names])
+        seqs = []
+        for _, p in g.sort_values(["pair", "date"]).groupby("pair"):
+            s = np.array([names.index(x) for x in p["regime"]])
+            seqs.append((s, kn.standard(p["x"].to_numpy(float)), kn.standard(p[base].to_numpy(float)) if base else None))
+        fit = kn.tilt_fits(seqs, rank, k)
+        return pd.DataFrame([[*key, len(seqs), sum(len(s) for s, _, _ in seqs), fit["gamma"], fit["beta"], fit["loglik"], fit["loglik0"]]])
+
+    return long.groupBy("feature").applyInPandas(run, "feature string, pairs int, n int, gamma double, beta double, loglik double, loglik0 double")
+
+
+def pressure_gain(t: DataFrame, pressure: str = "pressure", base: str = "score", k: int = 5) -> DataFrame:
+    """Out-of-sample gain of a pressure index over the state score, for transitions k days on; t: pair, date, regime and both columns."""
+    return tilt_fits(t, [pressure], k, base).select("pair", "n", "gain", "folds_up")
+
+
+def fold_dates(t: DataFrame, folds: int = 4, first: float = 0.4) -> DataFrame:
+    """Bounds of folds as dates of the union of all series: fold i tests from its date up to, not including, the next one."""
+    dates = t.select("date").distinct()
+    n = dates.agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last")).first()
+    a = int(first * n["n"])
+    at = [int(a + (n["n"] - a) * i / folds) for i in range(folds + 1)]
+    found = {r["k"]: r["date"] for r in _numbered_dates(dates, [k for k in at if k < n["n"]]).collect()}  # folds + 1 rows
+    rows = [(i, found[k] if k < n["n"] else n["last"] + dt.timedelta(days=1)) for i, k in enumerate(at)] if n["n"] else []
+    return t.sparkSession.createDataFrame(rows, "cut int, date date")
+
+
+def _numbered_dates(dates: DataFrame, places: list[int]) -> DataFrame:
+    """The dates at some places of their order: years number themselves, so that no task sorts them all."""
+    y = F.year("date")
+    before = dates.groupBy(y.alias("_y")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_y").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    k = F.row_number().over(Window.partitionBy("_y").orderBy("date")) - 1
+    return dates.withColumn("_y", y).withColumn("_k", k).join(before, "_y").select("date", (F.col("_k") + F.col("_b")).alias("k")).where(F.col("k").isin(places))
 
 
 def leading_screen(t: DataFrame, features: list[str], permutations: int = 100, least_r2: float = 0.005, least_gain: float = 0.002, folds: int = 3, p_max: float = 0.05, top: int = 3, k: int = 5, holdout: float = 0.2) -> DataFrame:
@@ -147,9 +240,13 @@ def leading_screen(t: DataFrame, features: list[str], permutations: int = 100, l
     return out.withColumn("fail_reason", reason).withColumn("retain", F.col("fail_reason") == "").withColumns(only).drop("_failed")
 
 
-def gate_leading(screen: DataFrame, least_gain: float = 0.002, folds: int = 3) -> DataFrame:
-    r = screen.agg(F.sum(F.col("retain").cast("int")).alias("retained"), F.max(F.when(F.col("retain"), F.col("gain"))).alias("gain"), F.max(F.when(F.col("retain"), F.col("gain_folds_up"))).alias("folds_up"))
-    return r.withColumn("pass", F.coalesce((F.col("retained") > 0) & (F.col("gain") >= least_gain) & (F.col("folds_up") >= folds), F.lit(False)))
+def gate_leading(screen: DataFrame, gain: DataFrame, least_gain: float = 0.002, folds: int = 3) -> DataFrame:
+    """Whether a feature is retained and the pressure index improves the transitions out of sample; gain: of pressure_gain."""
+    r = screen.agg(F.sum(F.col("retain").cast("long")).alias("retained"))
+    g = gain.agg((F.sum(F.col("gain") * F.col("n")) / F.sum("n")).alias("pressure_gain"), F.min("folds_up").alias("folds_up"))
+    both = r.join(g)  # one row each
+    ok = (F.col("retained") > 0) & (F.col("pressure_gain") >= least_gain) & (F.col("folds_up") >= folds)
+    return both.select(F.coalesce("retained", F.lit(0)).alias("retained"), "pressure_gain", "folds_up", F.coalesce(ok, F.lit(False)).alias("pass"))
 
 
 def discover(chars: DataFrame, labels: DataFrame, k_max: int = 4) -> DataFrame:
@@ -195,12 +292,60 @@ def factor_share(m: DataFrame, cols: list[str], window: int = 20) -> DataFrame:
     return t.mapInPandas(run, "pair string, date date, share double")
 
 
-def sweep(t: DataFrame, variants: dict[str, dict], confirm: float = 0.3) -> DataFrame:
-    """The finder's choice under variants of its settings, fitted on the first part of the dates; the rest is not used (see the README)."""
+#: Variants of the labeller that a sweep compares: settings of the finder, the partition asked for, and the column of the score.
+VARIANTS: dict[str, dict] = {
+    "base": {},
+    "six": {"partition": "6"},
+    "six_extreme": {"partition": "6x"},
+    "three": {"partition": "3"},
+    "few_switches": {"budget": 15.0},
+    "slow": {"halflives": (5.0, 8.0, 12.0)},
+    "fast": {"halflives": (1.0, 2.0, 3.0)},
+    "wide_bands": {"deltas": (3.0, 5.0, 8.0)},
+    "other_score": {"score": "score2"},
+}
+
+
+def sweep(t: DataFrame, cum: DataFrame, variants: dict[str, dict] | None = None, confirm: float = 0.3, archetype: str = "straddle_atm") -> DataFrame:
+    """Variants of the labeller, each fitted on the first part of the dates and judged on both parts.
+
+    t: pair, date, score (and others that a variant names), target, level_target; cum: cumulative
+    P&L of entries. A row for each variant and pair: the spec, whether the partition asked for
+    was there (fell_back), whether the spec lies at the edge of its grid, the share of cells
+    that Gate 2 separates on entries up to the cut and after it (which the finder never saw), how
+    far the high band out-earns carry at five days, and the share of days that agree with the
+    first variant's labels.
+    """
+    variants = VARIANTS if variants is None else variants
     n = F.count(F.lit(1)).over(Window.partitionBy("pair"))
-    fit = t.withColumn("_i", F.row_number().over(series())).withColumn("_n", n).where(F.col("_i") <= F.floor((1 - confirm) * F.col("_n"))).drop("_i", "_n")
-    out = None
+    dated = t.withColumns({"_i": F.row_number().over(series()), "_n": n})
+    cuts = dated.where(F.col("_i") == F.floor((1 - confirm) * F.col("_n"))).select("pair", F.col("date").alias("cut"))
+    out = first = None
     for name, kw in variants.items():
-        one = finder(fit, **kw).where("winner").withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+        kw = dict(kw)
+        own = t.withColumn("score", F.col(kw.pop("score", "score")))
+        part = kw.pop("partition", "auto")
+        fit = own.join(cuts, "pair").where("date <= cut").drop("cut")
+        spec = specs(finder(fit, **kw), part)
+        lab = apply_spec(own, spec).select("pair", "date", "regime")
+        first = lab if first is None else first
+        cl = attach_entry_labels(cum, lab).join(cuts, "pair")
+        h, d = kw.get("halflives", HALFLIVES), kw.get("deltas", DELTAS)
+        edge = F.col("halflife").isin(min(h), max(h)) | (F.col("delta") == max(d))
+        gates = [_separated(cl.where(c).drop("cut"), lab).withColumnRenamed("fraction", f"gate2_{p}") for p, c in (("fit", "entry_date <= cut"), ("confirm", "entry_date > cut"))]
+        five = cl.where((F.col("archetype") == archetype) & (F.col("h") == 5)).groupBy("pair").agg(
+            (F.avg(F.when(F.col("regime").isin("stressed", "crisis"), F.col("cum_pnl"))) - F.avg(F.when(F.col("regime") == "carry", F.col("cum_pnl")))).alias("high_minus_carry")
+        )
+        agree = lab.join(first.withColumnRenamed("regime", "_first"), ["pair", "date"]).groupBy("pair").agg(F.avg((F.col("regime") == F.col("_first")).cast("double")).alias("agreement"))
+        row = spec.withColumns({"variant": F.lit(name), "on_grid_edge": edge})
+        for more in (*gates, five, agree):
+            row = row.join(more, "pair", "left")
+        out = row if out is None else out.unionByName(row)
     return out
+
+
+def _separated(cum_lab: DataFrame, labels: DataFrame, max_h: int = 10, spread_se: float = 2.0) -> DataFrame:
+    """Of each pair the share of cells in which the best and the worst state lie apart by more than their errors."""
+    lad = ladder(cum_lab, labels).where((F.col("regime") != "ALL") & (F.col("h") <= max_h) & F.col("se").isNotNull())
+    c = lad.groupBy(*GROUP, "h").agg(F.count(F.lit(1)).alias("k"), (F.max("mean") - F.min("mean")).alias("spread"), F.greatest(F.max_by("se", "mean"), F.min_by("se", "mean")).alias("worst")).where("k >= 2")
+    return c.groupBy("pair").agg(F.avg((F.col("spread") > spread_se * F.col("worst")).cast("double")).alias("fraction"))

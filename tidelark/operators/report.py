@@ -1,6 +1,6 @@
 """Result tables as text and files: Markdown, cards, folders of artefacts, a JSON payload.
 
-Only results go through the driver. Markdown has a stated limit of rows and says so when it is met; a page's payload is whole.
+Only results go through the driver, whole; a limit of rows or characters is a choice of the caller, and a text that meets it says so.
 """
 
 from __future__ import annotations
@@ -16,16 +16,16 @@ from pyspark.sql import functions as F
 from tidelark.sources import tables as tb
 
 
-def _rows(df: DataFrame, most: int) -> tuple[list, bool]:
-    rows = df.limit(most + 1).collect()
-    return rows[:most], len(rows) > most
+def _rows(df: DataFrame, most: int | None) -> tuple[list, bool]:
+    rows = (df if most is None else df.limit(most + 1)).collect()
+    return rows[:most], most is not None and len(rows) > most
 
 
 def _text(v: object) -> str:
     return "" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.4g}" if isinstance(v, float) else str(v)
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
+def markdown(df: DataFrame, most: int | None = None) -> str:
     """A table in Markdown, with a note where rows are left out."""
     rows, more = _rows(df, most)
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *("| " + " | ".join(map(_text, r)) + " |" for r in rows)]
@@ -43,11 +43,17 @@ def card(lad: DataFrame, inc: DataFrame, pair: str, archetype: str, regime: str)
     return f"## {pair} {archetype}, entered in {regime}\n\n{note}{stretch}\n{markdown(table)}"
 
 
-def packet(title: str, parts: dict[str, DataFrame], config: dict | None = None, most_characters: int = 60_000) -> str:
-    """A packet of tables for review, headed by a hash of the configuration and cut at a stated size."""
+def packet(title: str, parts: dict[str, DataFrame], config: dict | None = None, most_characters: int | None = None) -> str:
+    """A packet of tables for review, headed by a hash of the configuration. With a limit whole tables are left out, and named."""
     mark = hashlib.sha256(json.dumps(config or {}, sort_keys=True, default=str).encode()).hexdigest()[:10]
-    text = f"# {title}\n\nconfiguration {mark}\n\n" + "\n".join(f"## {n}\n\n{markdown(df)}" for n, df in parts.items())
-    return text if len(text) <= most_characters else text[: most_characters - 40] + "\n(cut at the packet's size)\n"
+    text, left = f"# {title}\n\nconfiguration {mark}\n\n", []
+    for n, df in parts.items():
+        part = f"## {n}\n\n{markdown(df)}\n"
+        if most_characters is not None and len(text) + len(part) > most_characters - 200:
+            left.append(n)
+        else:
+            text += part
+    return text + (f"\nLeft out for the packet's size: {', '.join(left)}\n" if left else "")
 
 
 def dump(parts: dict[str, tuple[DataFrame, str]], folder: str, kind: str = "csv") -> DataFrame:

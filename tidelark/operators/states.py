@@ -54,11 +54,15 @@ def duration_check(labels: DataFrame) -> DataFrame:
     return stay.join(durations(labels).select("pair", "regime", F.col("mean_days").alias("observed_mean_days"), "episodes"), ["pair", "regime"], "left")
 
 
-def duration_hazard(labels: DataFrame, most: int = 10) -> DataFrame:
-    """Share of runs that end at each age, among those that reached it; the last run of a pair has not ended."""
+def duration_hazard(labels: DataFrame, most: int | None = None, least_at_risk: int = 1) -> DataFrame:
+    """Share of runs that end at each age (up to ``most``, if given), among those that reached it; the last run of a pair has not ended.
+
+    Ages that fewer than ``least_at_risk`` runs reached are left out.
+    """
     r = runs(labels).withColumn("open", F.col("run") == F.max("run").over(Window.partitionBy("pair")))
-    aged = r.withColumn("age", F.explode(F.sequence(F.lit(1), F.least(F.col("days"), F.lit(most)).cast("int"))))
-    return aged.groupBy("pair", "regime", "age").agg(F.count(F.lit(1)).alias("at_risk"), F.sum(((F.col("days") == F.col("age")) & ~F.col("open")).cast("long")).alias("ended")).withColumn("hazard", F.col("ended") / F.col("at_risk"))
+    aged = r.withColumn("age", F.explode(F.sequence(F.lit(1), (F.col("days") if most is None else F.least(F.col("days"), F.lit(most))).cast("int"))))
+    aged = aged.groupBy("pair", "regime", "age").agg(F.count(F.lit(1)).alias("at_risk"), F.sum(((F.col("days") == F.col("age")) & ~F.col("open")).cast("long")).alias("ended")).withColumn("hazard", F.col("ended") / F.col("at_risk"))
+    return aged.where(F.col("at_risk") >= least_at_risk)
 
 
 def oos_separation(df: DataFrame, target: str = "y", folds: int = 4, first: float = 0.4) -> DataFrame:
@@ -112,9 +116,17 @@ def corr_sign_tag(m: DataFrame, window: int = 21, band: float = 0.2, delta: floa
 
 
 def event_positions(m: DataFrame, events: DataFrame) -> DataFrame:
-    """Row number of the first day of each series at or after each event; events past the end vanish."""
+    """Row number of the first day of each series at or after each event; events past the end vanish.
+
+    Days and events of a series stand in one order of dates, and each event looks up the next
+    day's number: one sort, whatever the number of events.
+    """
     days = m.select("pair", "date", F.row_number().over(series()).alias("i"))
-    return days.join(F.broadcast(events.select(F.col("date").alias("event"))), F.col("date") >= F.col("event")).groupBy("pair", "event").agg(F.min("i").alias("at"))
+    calendar = events.select(F.col("date").alias("event")).distinct()
+    asked = days.select("pair").distinct().join(calendar).select("pair", F.col("event").alias("date"), F.lit(None).cast("int").alias("i"))  # as many rows as the result
+    ahead = Window.partitionBy("pair").orderBy("date", F.col("i").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
+    found = days.unionByName(asked).withColumn("at", F.min("i").over(ahead))
+    return found.where("i is null and at is not null").select("pair", F.col("date").alias("event"), "at")
 
 
 def event_window_tag(m: DataFrame, events: DataFrame, before: int = 3, after: int = 1) -> DataFrame:

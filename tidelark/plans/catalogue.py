@@ -11,10 +11,12 @@ import datetime as dt
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelark.functions import kernels as kn
 from tidelark.functions import scans
 from tidelark.functions.series import series, rolling_percentile
 from tidelark.operators import combine as cmb
@@ -27,6 +29,7 @@ from tidelark.operators import states as st
 from tidelark.plans.oracles import CELL, G, W, bday, roll, win, with_parts, z
 from tidelark.sources import tables as tb
 
+TENORS = (5, 21, 63)
 EVENTS = ["1996-03-09", "1997-06-18", "1999-11-03", "2001-11-01", "2030-01-01"]
 
 
@@ -34,15 +37,28 @@ class World:
     """What the queries start from, each made at most once for a query."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._held = spark, sf_dir, []
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        self._held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self._held[-1]
+
+    def release(self) -> None:
+        for df in self._held:
+            df.unpersist()
 
     @cached_property
     def market(self) -> DataFrame:
-        return tb.market(self.spark, self.sf_dir)
+        return self._kept(tb.market(self.spark, self.sf_dir))
 
     @cached_property
     def td(self) -> DataFrame:
-        return tb.trade_days(self.spark, self.sf_dir)
+        return self._kept(tb.trade_days(self.spark, self.sf_dir, m=self.market))
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        """Trade days of several tenors."""
+        return self._kept(tb.trade_days(self.spark, self.sf_dir, tenors=TENORS, m=self.market))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -50,7 +66,11 @@ class World:
 
     @cached_property
     def cum_lab(self) -> DataFrame:
-        return ld.attach_entry_labels(ld.cumulative(self.td), self.labels)
+        return self._kept(ld.attach_entry_labels(ld.cumulative(self.td), self.labels))
+
+    @cached_property
+    def cum_terms(self) -> DataFrame:
+        return self._kept(ld.attach_entry_labels(ld.cumulative(self.terms), self.labels))
 
     @cached_property
     def ladder(self) -> DataFrame:
@@ -75,6 +95,23 @@ _SPARK = {"i": "long", "d": "date", "b": "boolean", "s": "string"}
 _DUCK = {"i": "BIGINT", "d": "DATE", "b": "BOOLEAN", "s": "VARCHAR"}
 
 
+_WORLD: dict[str, object] = {}
+
+
+def world(spark: SparkSession, sf_dir: str) -> World:
+    """The tables that the queries start from; the market, the trade days and the labelled entries are kept by the session that made them.
+
+    They stand for tables that a user has on disk. Partitions that are lost with an executor are
+    made again.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if _WORLD.get("key") != key:
+        if isinstance(old := _WORLD.get("world"), World) and _WORLD["key"][0] == key[0]:
+            old.release()
+        _WORLD.update(key=key, world=World(spark, sf_dir))
+    return _WORLD["world"]
+
+
 def _columns(spec: str) -> list[tuple[str, str]]:
     return [(c.partition(":")[0], c.partition(":")[2] or "s") for c in spec.split()]
 
@@ -93,7 +130,7 @@ def add(name: str, spec: str, sql: str | None, recursive: bool = False, more: di
 
 def answer(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     f, spec, _ = CATALOGUE[name]
-    return f(World(spark, sf_dir)).select(*((tb.six(F.col(c).cast("double")) + F.lit(0.0)).alias(c) if k == "f" else F.col(c).cast(_SPARK[k]).alias(c) for c, k in _columns(spec)))
+    return f(world(spark, sf_dir)).select(*((tb.six(F.col(c).cast("double")) + F.lit(0.0)).alias(c) if k == "f" else F.col(c).cast(_SPARK[k]).alias(c) for c, k in _columns(spec)))
 
 
 GS = "pair archetype tenor_days:i"
@@ -113,8 +150,7 @@ add("ladder_boot", f"{CS} n:i mean:f se:f ci_lo:f ci_hi:f", None)(lambda w: ld.l
 add("unlabelled_entries", "rows:i entries:i", "SELECT count(*) AS rows, count(DISTINCT pair || entry_date) AS entries FROM cum c WHERE NOT EXISTS (SELECT 1 FROM lab l WHERE l.pair = c.pair AND l.date = c.entry_date AND l.regime <> 'carry')")(lambda w: ld.unlabelled_counts(ld.cumulative(w.td), w.labels.where("regime <> 'carry'")))
 
 # combinations
-add("vega_units", f"{GS} trade_id age:i pnl:f pnl_vol:f", f"SELECT {G}, trade_id, age, pnl / v AS pnl, pnl_vol / v AS pnl_vol FROM (SELECT *, max(CASE WHEN age = 1 THEN abs(vega) END) OVER (PARTITION BY {G}, trade_id) AS v FROM td WHERE archetype = 'put_25d') WHERE v <> 0")(lambda w: cmb.to_vega_units(w.td.where("archetype = 'put_25d'")))
-add("vega_units_all", f"{GS} trade_id age:i pnl:f pnl_vol:f", f"SELECT {G}, trade_id, age, pnl / v AS pnl, pnl_vol / v AS pnl_vol FROM (SELECT *, max(CASE WHEN age = 1 THEN abs(vega) END) OVER (PARTITION BY {G}, trade_id) AS v FROM td) WHERE v <> 0")(lambda w: cmb.to_vega_units(w.td))
+add("vega_units", f"{GS} trade_id age:i pnl:f pnl_vol:f", f"SELECT {G}, trade_id, age, pnl / v AS pnl, pnl_vol / v AS pnl_vol FROM (SELECT *, max(CASE WHEN age = 1 THEN abs(vega) END) OVER (PARTITION BY {G}, trade_id) AS v FROM td) WHERE v <> 0")(lambda w: cmb.to_vega_units(w.td))
 add("combine_rr", "trade_id pair archetype tenor_days:i entry_date:d date:d age:i remaining:i pnl:f", "SELECT *, concat_ws('-', pair, 'rr_25d', strftime(entry_date, '%Y-%m-%d'), tenor_days) AS trade_id, 'rr_25d' AS archetype, tenor_days - age AS remaining FROM cmb")(lambda w: cmb.combine(w.td, cmb.COMBINATIONS["rr_25d"], "rr_25d"))
 _FLY = "CASE archetype WHEN 'straddle_atm' THEN -1.0 ELSE 0.5 END"
 add("combine_fly", "trade_id age:i pnl:f pnl_fly:f", f"SELECT concat_ws('-', pair, 'fly_25d', strftime(entry_date, '%Y-%m-%d'), tenor_days) AS trade_id, age, sum({_FLY} * pnl) AS pnl, sum({_FLY} * pnl_fly) AS pnl_fly FROM td GROUP BY pair, tenor_days, entry_date, age, date HAVING count(DISTINCT archetype) = 3")(lambda w: cmb.combine(w.td, cmb.COMBINATIONS["fly_25d"], "fly_25d"))
@@ -180,8 +216,7 @@ def _directions(w: World) -> DataFrame:
 
 add("level_hysteresis", "pair date:d level", "SELECT pair, date, ['low', 'mid', 'high'][c + 1] AS level FROM lv", True, _LEVEL)(_levels)
 add("direction_hysteresis", "pair date:d direction", "SELECT pair, date, ['down', 'flat', 'up'][c + 2] AS direction FROM dr", True, _LEVEL)(_directions)
-_NEXT = """CASE WHEN l = 'high' AND d = 'down' THEN 'normalising' WHEN l = 'high' THEN 'stressed' WHEN l = 'mid' AND d = 'flat' THEN 'agitated' WHEN l = 'mid' AND d = 'up' THEN CASE WHEN s IN ('stressed', 'normalising', 'extreme') THEN 'stressed' ELSE 'rising' END
-    WHEN l = 'mid' THEN CASE WHEN s IN ('stressed', 'normalising', 'extreme') THEN 'normalising' WHEN s = 'carry' THEN 'carry' ELSE 'settling' END WHEN d = 'flat' THEN 'carry' WHEN d = 'up' THEN 'rising' WHEN s = 'carry' THEN 'carry' ELSE 'settling' END"""
+_NEXT = "CASE " + " ".join(f"WHEN l = '{a}' AND d = '{b}'" + (f" AND s = '{c}'" if c != "*" else "") + f" THEN {'s' if x == 'keep' else repr(x)}" for a, b, c, x in kn.NEXT_STATE) + " ELSE s END"
 add("two_axis_states", "pair date:d regime", "SELECT pair, date, s AS regime FROM au", True, _LEVEL | {
     "ld": "SELECT a.pair, a.k, a.date, ['low', 'mid', 'high'][a.c + 1] AS l, ['down', 'flat', 'up'][b.c + 2] AS d FROM lv a JOIN dr b USING (pair, k)",
     "au": f"SELECT pair, k, date, {_NEXT} AS s FROM (SELECT *, 'carry' AS s FROM ld WHERE k = 1) UNION ALL SELECT pair, k, date, {_NEXT} FROM (SELECT n.*, a.s FROM au a JOIN ld n ON n.pair = a.pair AND n.k = a.k + 1)"})(lambda w: scans.state_scan(_levels(w).join(_directions(w), ["pair", "date"])))
@@ -199,7 +234,7 @@ add("transition_matrix", "pair from_state to_state moves:i p:f", "SELECT * FROM
 add("duration_check", "pair regime implied_days:f observed_mean_days:f episodes:i", """SELECT pair, regime, 1 / greatest(1e-9, 1 - CASE WHEN t = 0 THEN 0 ELSE m / t END) AS implied_days, observed_mean_days, episodes FROM
     (SELECT pair, from_state AS regime, sum(CASE WHEN from_state = to_state THEN moves END) AS m, CAST(sum(moves) AS DOUBLE) AS t FROM tm GROUP BY ALL) JOIN (SELECT pair, regime, avg(days) AS observed_mean_days, count(*) AS episodes FROM runs GROUP BY ALL) USING (pair, regime)""")(lambda w: st.duration_check(w.labels))
 add("duration_hazard", "pair regime age:i at_risk:i ended:i hazard:f", """SELECT pair, regime, age, count(*) AS at_risk, sum(CASE WHEN days = age AND NOT open THEN 1 ELSE 0 END) AS ended, sum(CASE WHEN days = age AND NOT open THEN 1.0 ELSE 0.0 END) / count(*) AS hazard
-    FROM (SELECT *, run = max(run) OVER (PARTITION BY pair) AS open, unnest(range(1, least(days, 10) + 1)) AS age FROM runs) GROUP BY ALL""")(lambda w: st.duration_hazard(w.labels))
+    FROM (SELECT *, run = max(run) OVER (PARTITION BY pair) AS open, unnest(range(1, days + 1)) AS age FROM runs) GROUP BY ALL""")(lambda w: st.duration_hazard(w.labels))
 add("label_runs", "pair run:i regime start:d end:d days:i", "SELECT * FROM runs")(lambda w: st.runs(w.labels))
 add("escalations", "pair date:d from_state to_state", f"SELECT pair, date, was AS from_state, regime AS to_state FROM (SELECT *, lag(regime) OVER {W} AS was FROM lab) WHERE regime IN ('stressed', 'extreme') AND was NOT IN ('stressed', 'extreme')")(lambda w: st.escalations(w.labels))
 _Y = f"SELECT pair, date, regime, lead(atm_1m, 5) OVER {W} - atm_1m AS y FROM lab JOIN market USING (pair, date)"

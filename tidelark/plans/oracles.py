@@ -65,14 +65,15 @@ PARTS: dict[str, str] = {
     "market": f"""SELECT *, {', '.join(f"round(100 * sqrt(252.0) * ({roll('stddev_samp', 'r', n)}) + 2.3e-9, 6) AS {c}" for c, n in (('rv_1w', 5), ('rv_1m', 21), ('rv_3m', 63)))},
         ln(spot) AS ls, atm_1m - lag(atm_1m) OVER {W} AS dv FROM m1""",
     "days": f"SELECT pair, date, i, {_D} FROM market",
-    "td0": f"""SELECT d.pair, a.archetype, 21 AS tenor_days, e.date AS entry_date, d.date, k.age,
+    "ages": "SELECT tenor_days, unnest(range(1, tenor_days + 1)) AS age FROM (SELECT 21 AS tenor_days)",
+    "td0": f"""SELECT d.pair, a.archetype, k.tenor_days, e.date AS entry_date, d.date, k.age,
         round(a.vol * d.d_vol + 2.3e-9, 6) AS pnl_vol, round(a.spot * d.d_spot + 2.3e-9, 6) AS pnl_spot, round(a.rr * d.d_rr + 2.3e-9, 6) AS pnl_rr, round(a.fly * d.d_fly + 2.3e-9, 6) AS pnl_fly, a.theta AS pnl_theta
-        FROM days d CROSS JOIN (SELECT unnest(range(1, 22)) AS age) k JOIN market e ON e.pair = d.pair AND e.i = d.i - k.age
+        FROM days d CROSS JOIN ages k JOIN market e ON e.pair = d.pair AND e.i = d.i - k.age
         CROSS JOIN (VALUES {_A}) a(archetype, vol, spot, rr, fly, theta) WHERE d.i > 1""",
     "td1": "SELECT *, round(pnl_vol + pnl_spot + pnl_rr + pnl_fly + pnl_theta + 2.3e-9, 6) AS pnl FROM td0",
     "td2": "SELECT *, round(1.4 * pnl + 2.3e-9, 6) AS pnl_trade, round(-0.3 * pnl + 2.3e-9, 6) AS pnl_delta_hedge FROM td1",
     "td": """SELECT *, concat_ws('-', pair, archetype, strftime(entry_date, '%Y-%m-%d')) AS trade_id, round(pnl - pnl_trade - pnl_delta_hedge + 2.3e-9, 6) AS pnl_vega_hedge,
-        round(0.4 * sqrt((22 - age) / 21.0) + 2.3e-9, 6) AS vega FROM td2""",
+        round(0.4 * sqrt((tenor_days + 1 - age) / CAST(tenor_days AS DOUBLE)) + 2.3e-9, 6) AS vega FROM td2""",
     "lab": "SELECT pair, date, CASE WHEN atm_1m < 9.5 THEN 'carry' WHEN atm_1m < 10.5 THEN 'agitated' ELSE 'stressed' END AS regime FROM market",
     "cum": f"""SELECT {G}, trade_id, entry_date, age AS h, cum_pnl, age = tenor_days AS to_expiry
         FROM (SELECT *, round(sum(pnl) {_P}, 9) AS cum_pnl FROM td) WHERE age IN (1, 3, 5, 10, 20) OR age = tenor_days""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+# The columns of a trade-day table and the attribution columns of its component sets.
 GROUP = ["pair", "archetype", "tenor_days"]
 REQUIRED = ["trade_id", "pair", "archetype", "tenor_days", "entry_date", "date", "age", "pnl"]
 LEGS = ["pnl_trade", "pnl_delta_hedge", "pnl_vega_hedge"]
@@ -40,6 +41,21 @@ def write(df: DataFrame, path: str, by: list[str] | None = None) -> None:
         (w.partitionBy(*by) if by else w).parquet(path)
 
 
+def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the last in the given order, which must leave no ties; missing values stand first."""
+    w = Window.partitionBy(*keys).orderBy(*(F.col(c).desc_nulls_last() for c in order))
+    return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
+
+
+def where_group(df: DataFrame, **group: object) -> DataFrame:
+    """Rows of one group, by equality on the columns given; an unknown column is refused."""
+    if unknown := set(group) - set(df.columns):
+        raise ValueError(f"no column {', '.join(sorted(unknown))}")
+    for c, v in group.items():
+        df = df.where(F.col(c) == F.lit(v))
+    return df
+
+
 def component_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("pnl_")]
 
@@ -95,24 +111,25 @@ def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.withColumns({"rv_1w": vol(5), "rv_1m": vol(21), "rv_3m": vol(63)}).drop("r")
 
 
-def trade_days(spark: SparkSession, sf_dir: str, archetypes: list[str] | None = None) -> DataFrame:
-    """A trade of each archetype entered every day of the market, held TENOR days."""
-    m = market(spark, sf_dir)
+def trade_days(spark: SparkSession, sf_dir: str, archetypes: list[str] | None = None, tenors: tuple[int, ...] = (TENOR,), m: DataFrame | None = None) -> DataFrame:
+    """A trade of each archetype and tenor entered every day of the market, held for its tenor."""
+    m = market(spark, sf_dir) if m is None else m
     w = Window.partitionBy("pair").orderBy("date")
     d = lambda c: six(F.col(c) - F.lag(c).over(w))
     days = m.select("pair", "date", "i", d("atm_1m").alias("d_vol"), d("spot").alias("d_spot"), d("rr25_1m").alias("d_rr"), d("fly25_1m").alias("d_fly"))
-    held = days.where("i > 1").withColumn("age", F.explode(F.sequence(F.lit(1), F.lit(TENOR)))).withColumn("e", F.col("i") - F.col("age"))
+    held = days.where("i > 1").withColumn("tenor_days", F.explode(F.array(*map(F.lit, tenors))))
+    held = held.withColumn("age", F.explode(F.sequence(F.lit(1), F.col("tenor_days")))).withColumn("e", F.col("i") - F.col("age"))
     entry = m.select("pair", F.col("i").alias("e"), F.col("date").alias("entry_date"))
     td = held.join(entry, ["pair", "e"])
-    use = archetypes or list(ARCHETYPES)
-    td = td.withColumn("a", F.explode(F.array(*(F.struct(F.lit(a).alias("archetype"), *(F.lit(x).alias(n) for n, x in zip(("vol", "spot", "rr", "fly", "theta"), ARCHETYPES[a], strict=True))) for a in use))))
+    loads = [F.struct(F.lit(a).alias("archetype"), *(F.lit(x).alias(n) for n, x in zip(("vol", "spot", "rr", "fly", "theta"), ARCHETYPES[a], strict=True))) for a in archetypes or ARCHETYPES]
+    td = td.withColumn("a", F.explode(F.array(*loads)))
     parts = {f"pnl_{n}": six(F.col(f"a.{n}") * F.col(f"d_{n}")) for n in ("vol", "spot", "rr", "fly")} | {"pnl_theta": F.col("a.theta")}
     td = td.withColumns(parts).withColumn("pnl", six(sum((F.col(c) for c in FACTORS[1:]), F.col(FACTORS[0]))))
     td = td.withColumns({"pnl_trade": six(1.4 * F.col("pnl")), "pnl_delta_hedge": six(-0.3 * F.col("pnl"))})
     return td.select(
-        F.concat_ws("-", "pair", "a.archetype", F.date_format("entry_date", "yyyy-MM-dd")).alias("trade_id"), "pair", F.col("a.archetype").alias("archetype"), F.lit(TENOR).alias("tenor_days"),
+        F.concat_ws("-", "pair", "a.archetype", F.date_format("entry_date", "yyyy-MM-dd")).alias("trade_id"), "pair", F.col("a.archetype").alias("archetype"), "tenor_days",
         "entry_date", "date", "age", "pnl", *FACTORS, "pnl_trade", "pnl_delta_hedge", six(F.col("pnl") - F.col("pnl_trade") - F.col("pnl_delta_hedge")).alias("pnl_vega_hedge"),
-        six(0.4 * F.sqrt((TENOR - F.col("age") + 1) / F.lit(float(TENOR)))).alias("vega"),
+        six(0.4 * F.sqrt((F.col("tenor_days") - F.col("age") + 1) / F.col("tenor_days").cast("double"))).alias("vega"),
     )
 
 
