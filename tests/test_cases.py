@@ -177,7 +177,9 @@ def test_filters():
 
     with pytest.raises(ValueError, match="unknown"):
         filter_column({"stat": "x", "op": "~", "value": 1})
-    assert filter_text("f", {"op": ">", "stat": "x", "value": 1}) == 'f: {"op": ">", "stat": "x", "value": 1}'
+    yaml = pytest.importorskip("yaml")
+    spec = {"stat": "x", "op": "between", "value": [1, 2], "and": [{"stat": "regime", "op": "in", "value": ["carry"]}]}
+    assert yaml.safe_load("filters:\n" + filter_text("f", spec)) == {"filters": {"f": spec}}
 
 
 def test_tilt_and_fit():
@@ -253,7 +255,8 @@ def test_reports(spark, tmp_path):
     text = report.card(lad, inc, "p", "a", "carry")
     assert "Thin evidence: 3 episodes" in text and "d2-3 at -0.2" in text and text.count("\n| ") >= 3
     assert "(first 1 rows)" in report.markdown(lad, 1)
-    assert len(report.packet("t", {"ladder": lad}, most_characters=200)) <= 200
+    cut = report.packet("t", {"ladder": lad, "inc": inc}, most_characters=300)
+    assert len(cut) <= 300 and "Left out for the packet's size: ladder, inc" in cut and "Left out" not in report.packet("t", {"ladder": lad})
     assert report.dump({"ladder": (lad, "the ladder")}, str(tmp_path)).count() == 1 and (tmp_path / "ladder.csv").exists()
     page = json.loads(report.payload({"p": {"ladder": lad}}))
     assert page["p"]["ladder"]["columns"]["ci_lo"] == [None, None] and page["p"]["ladder"]["complete"]

@@ -42,6 +42,22 @@ def cluster_bootstrap(x: np.ndarray, cluster: np.ndarray, n_boot: int, alpha: fl
     return tuple(np.quantile(total[pick].sum(axis=1) / size[pick].sum(axis=1), [alpha / 2, 1 - alpha / 2]))
 
 
+def ratio_bootstrap(signal: np.ndarray, event: np.ndarray, block: int, n_boot: int, seed: int, cell: tuple) -> tuple[float, float]:
+    """Interval of 90 % of P(event | signal) / P(event), with blocks of neighbouring rows drawn; NaN without signal or event."""
+    n = len(signal)
+    if not signal.any() or not event.any():
+        return np.nan, np.nan
+    starts = _draws(seed, (*cell, "ratio"), n, (n_boot, -(-n // block)))
+    at = (starts[:, :, None] + np.arange(block)).reshape(n_boot, -1)[:, :n]
+    inside = at < n
+    at = np.minimum(at, n - 1)
+    sig, ev = signal[at] & inside, event[at] & inside
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = ((sig & ev).sum(axis=1) / sig.sum(axis=1)) / (ev.sum(axis=1) / inside.sum(axis=1))
+    ratio = ratio[np.isfinite(ratio)]
+    return tuple(np.quantile(ratio, [0.05, 0.95])) if len(ratio) else (np.nan, np.nan)
+
+
 # HAR forecast of realised vol
 
 
@@ -255,27 +271,39 @@ def oos_r2(x: np.ndarray, y: np.ndarray, folds: int = 4, first: float = 0.4) ->
     return (1 - sse / sst if sst > 0 else np.nan), each
 
 
-def incremental_value(feature: np.ndarray, score: np.ndarray, states: np.ndarray, y: np.ndarray, rank: np.ndarray, permutations: int = 100, seed: int = 0, key: str = "", k: int = 1, folds: int = 4, first: float = 0.4) -> dict[str, float]:
-    """What a feature adds to state and score for an outcome and for transitions k rows on, with a permutation test by circular shifts."""
+def incremental_value(
+    feature: np.ndarray, score: np.ndarray, states: np.ndarray, y: np.ndarray, rank: np.ndarray, permutations: int = 100, seed: int = 0, key: str = "",
+    k: int = 5, ks: tuple[int, ...] = (), folds: int = 4, first: float = 0.4, lag: int = 0, low: np.ndarray | None = None, least_shift: int = 63,
+) -> dict[str, float]:
+    """What a feature, ``lag`` rows old, adds to state and score: for an outcome, and for transitions k (and each of ks) rows on.
+
+    delta_r2 has a permutation test by circular shifts; delta_r2_low is that of the feature's
+    part in the states marked ``low``. The score is in the tilt already when the feature comes.
+    """
+    feature = np.concatenate([np.full(lag, np.nan), feature[: len(feature) - lag]])
     ok = np.isfinite(feature) & np.isfinite(score) & np.isfinite(y)
-    f, s, z, t = feature[ok], states[ok], score[ok], y[ok]
+    gains = {f"gain_k{x}": np.nan for x in ks}
+    none = {"n": int(ok.sum()), "delta_r2": np.nan, "folds_up": 0, "gain": np.nan, "gain_folds_up": 0, "p_perm": np.nan, "delta_r2_low": np.nan, **gains}
     if ok.sum() < 100:
-        return {"n": int(ok.sum()), "delta_r2": np.nan, "folds_up": 0, "gain": np.nan, "gain_folds_up": 0, "p_perm": np.nan}
-    zs = (z - z.mean()) / (z.std() or 1)
+        return none
+    f, s, z, t = feature[ok], states[ok], score[ok], y[ok]
+    zs = standard(z)
     most = np.bincount(s).argmax()
     dummies = [(s == i).astype(float) for i in np.unique(s) if i != most]
     base = np.column_stack([np.ones(len(t)), *dummies, zs, zs**2])
     r0, e0 = oos_r2(base, t, folds, first)
 
-    def delta(v: np.ndarray) -> tuple[float, int]:
-        r, e = oos_r2(np.column_stack([base, (v - v.mean()) / (v.std() or 1)]), t, folds, first)
+    def delta(*more: np.ndarray) -> tuple[float, int]:
+        r, e = oos_r2(np.column_stack([base, *more]), t, folds, first)
         return r - r0, int(np.nansum(e > e0))
 
-    d, up = delta(f)
-    shifts = _draws(seed, (key, "shift"), max(1, len(f) - 2 * 21), (1, permutations))[0] + 21
-    beats = sum(delta(np.roll(f, int(i)))[0] >= d for i in shifts)
-    g = tilt_gain(states, feature, rank, folds, k, first)
-    return {"n": int(ok.sum()), "delta_r2": d, "folds_up": up, "gain": g["gain"], "gain_folds_up": g["folds_up"], "p_perm": (1 + beats) / (1 + permutations)}
+    d, up = delta(standard(f))
+    shifts = _draws(seed, (key, "shift"), max(1, len(f) - 2 * least_shift), (1, permutations))[0] + least_shift
+    beats = sum(delta(standard(np.roll(f, int(i))))[0] >= d for i in shifts)
+    part = delta(standard(f), standard(f) * low[s])[0] if low is not None else np.nan
+    g = tilt_gain(states, feature, rank, folds, k, first, score)
+    gains = {f"gain_k{x}": tilt_gain(states, feature, rank, folds, x, first, score)["gain"] for x in ks}
+    return {"n": int(ok.sum()), "delta_r2": d, "folds_up": up, "gain": g["gain"], "gain_folds_up": g["folds_up"], "p_perm": (1 + beats) / (1 + permutations), "delta_r2_low": part, **gains}
 
 
 # the labeller's scans over arrays, for its grid of candidates

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidelark.functions import kernels as kn
 from tidelark.functions.series import series, business_days
 from tidelark.operators.states import HIGH, spearman
 from tidelark.sources.tables import GROUP, REQUIRED, component_columns, component_sets
@@ -97,8 +99,27 @@ def gate_integrity(report: DataFrame, golden: DataFrame | None = None, tolerance
     return out.withColumn("pass", F.col("integrity_all_pass"))
 
 
+def coverage(lad: DataFrame, truth: DataFrame, least_n_eff: float = 20.0) -> DataFrame:
+    """How often the intervals of a ladder hold the true mean, and the median error in standard errors; truth: archetype, regime, h, true_ev."""
+    keys = [c for c in ("pair", "archetype", "regime", "h") if c in truth.columns]
+    x = lad.where((F.col("regime") != "ALL") & (F.col("n_eff") >= least_n_eff)).join(truth, keys)
+    inside = F.col("true_ev").between(F.col("ci_lo"), F.col("ci_hi")).cast("double")
+    off = F.try_divide(F.abs(F.col("mean") - F.col("true_ev")), F.col("se"))
+    by = ["world"] if "world" in lad.columns else []
+    return x.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), F.avg(inside).alias("coverage"), F.percentile(off, F.lit(0.5)).alias("median_error"))
+
+
 def lift(t: DataFrame, feature: str, horizon: int = 20, quantile: float = 0.9, window: int = 504) -> DataFrame:
     """How much likelier a move into the high band is after days of a high feature; t: pair, date, regime and the feature, both known."""
+    d = _signals(t, feature, horizon, quantile, window)
+    d = d.withColumn("first", F.col("sig") & ~F.coalesce(F.lag("sig").over(series()), F.lit(False)))
+    fut = F.col("fut").cast("double")
+    out = d.groupBy("pair").agg(F.avg(F.when(F.col("sig"), fut)).alias("p_event_signal"), F.avg(F.when(F.col("elig"), fut)).alias("p_event_all"), F.count(F.when(F.col("sig"), 1)).alias("n_signal"), F.count(F.when(F.col("first"), 1)).alias("n_signal_runs"))
+    return out.withColumn("lift", F.try_divide("p_event_signal", "p_event_all"))
+
+
+def _signals(t: DataFrame, feature: str, horizon: int, quantile: float, window: int) -> DataFrame:
+    """Days with elig (not in the high band, with all of the horizon ahead), sig (a high feature) and fut (the band is entered)."""
     d = t.where(F.col(feature).isNotNull() & F.col("regime").isNotNull()).select("pair", "date", "regime", F.round(feature, 9).alias("f"))
     before = series().rowsBetween(-window, -1)
     hi = F.col("regime").isin(HIGH)
@@ -109,16 +130,61 @@ def lift(t: DataFrame, feature: str, horizon: int = 20, quantile: float = 0.9, w
             "whole": F.count(F.lit(1)).over(series().rowsBetween(1, horizon)) == horizon,
         }
     )
-    d = d.withColumn("elig", ~hi & F.col("whole")).withColumn("sig", F.coalesce(F.col("f") >= F.round("thr", 9), F.lit(False)) & F.col("elig"))
-    d = d.withColumn("first", F.col("sig") & ~F.coalesce(F.lag("sig").over(series()), F.lit(False)))
-    fut = F.col("fut").cast("double")
-    out = d.groupBy("pair").agg(F.avg(F.when(F.col("sig"), fut)).alias("p_event_signal"), F.avg(F.when(F.col("elig"), fut)).alias("p_event_all"), F.count(F.when(F.col("sig"), 1)).alias("n_signal"), F.count(F.when(F.col("first"), 1)).alias("n_signal_runs"))
-    return out.withColumn("lift", F.try_divide("p_event_signal", "p_event_all"))
+    return d.withColumn("elig", ~hi & F.col("whole")).withColumn("sig", F.coalesce(F.col("f") >= F.round("thr", 9), F.lit(False)) & F.col("elig"))
+
+
+def lift_interval(t: DataFrame, feature: str, horizon: int = 20, quantile: float = 0.9, window: int = 504, block: int = 21, n_boot: int = 300, seed: int = 0) -> DataFrame:
+    """The lift with an interval of 90 % by a bootstrap of blocks of eligible days; a series is a group."""
+    marked = _signals(t, feature, horizon, quantile, window).where("elig").select("pair", "date", "sig", "fut")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("date")
+        lo, hi = kn.ratio_bootstrap(g["sig"].to_numpy(bool), g["fut"].to_numpy(bool), block, n_boot, seed, (g["pair"].iloc[0], feature))
+        return pd.DataFrame([[g["pair"].iloc[0], lo, hi]], columns=["pair", "lift_lo", "lift_hi"])
+
+    spans = marked.groupBy("pair").applyInPandas(run, "pair string, lift_lo double, lift_hi double")
+    return lift(t, feature, horizon, quantile, window).join(spans.select("pair", *(F.nanvl(c, F.lit(None)).alias(c) for c in ("lift_lo", "lift_hi"))), "pair", "left")
 
 
 # tables of the packets
 
 
+def trade_coverage(td: DataFrame) -> DataFrame:
+    """Trades, rows, entry dates and the greatest age of each group."""
+    return td.groupBy(*GROUP).agg(F.count_distinct("trade_id").alias("trades"), F.count(F.lit(1)).alias("rows"), F.min("entry_date").alias("first_entry"), F.max("entry_date").alias("last_entry"), F.max("age").alias("max_age"))
+
+
+def pooled_cumulative(cum: DataFrame) -> DataFrame:
+    """P&L from entry over all entries of an archetype, by tenor and horizon."""
+    x = F.col("cum_pnl")
+    return cum.groupBy("archetype", "tenor_days", "h", "to_expiry").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.min(x).alias("lowest"), F.max(x).alias("highest"))
+
+
+def largest_market_days(td: DataFrame, top: int = 20) -> DataFrame:
+    """The days on which the live trades of a leg moved most on average."""
+    day = td.groupBy("date", "pair", "archetype").agg(F.avg("pnl").alias("mean_pnl"), F.count(F.lit(1)).alias("live_trades"))
+    return day.orderBy(F.round(F.abs("mean_pnl"), 9).desc(), "date", "pair", "archetype").limit(top)
+
+
+def vega_at_entry(td: DataFrame, vega: str = "vega") -> DataFrame:
+    """Vega at age 1: median, range, and how many are not positive."""
+    v = F.col(vega)
+    return td.where("age = 1").groupBy("archetype", "tenor_days").agg(F.percentile(v, F.lit(0.5)).alias("median"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.count(F.when(v <= 0, 1)).alias("not_positive"))
+
+
+def market_summary(m: DataFrame) -> DataFrame:
+    """Count, mean and range of each number of the market."""
+    cols = [f.name for f in m.schema.fields if f.dataType.simpleString() == "double"]
+    long = m.unpivot(["pair", "date"], cols, "series", "value")
+    return long.groupBy("pair", "series").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+
+
+def target_by_state(t: DataFrame, state: str, target: str) -> DataFrame:
+    """The target's mean in each state, with an error for five-day overlap."""
+    x = F.col(target)
+    return t.where(x.isNotNull()).groupBy("pair", F.col(state).alias("state")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.stddev_samp(x) / F.sqrt(F.count(x)) * 5**0.5).alias("se"))
+
+
 def largest_days(td: DataFrame, top: int = 20) -> DataFrame:
     return td.select("trade_id", "date", "age", "pnl").orderBy(F.abs("pnl").desc(), "trade_id", "date", "age").limit(top)
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import importlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +58,79 @@ def raw_statistics(m: DataFrame) -> DataFrame:
     )
 
 
+Statistic = tuple[Callable[[DataFrame], Column], list[str], str, str]
+#: Further statistics by name: an expression, the columns that it needs, what it says and its group. An adapter may add to it.
+STATISTICS: dict[str, Statistic] = {}
+
+
+def statistic(name: str, needs: list[str], what: str, group: str = "surface and spot") -> Callable:
+    """Register a trailing expression of the market as a daily statistic."""
+
+    def add(f: Callable[[DataFrame], Column]) -> Callable[[DataFrame], Column]:
+        STATISTICS[name] = (f, needs, what, group)
+        return f
+
+    return add
+
+
+@statistic("atm_1m_pct252", ["atm_1m"], "one-month implied vol: percentile of its last 252 days, 0 to 100")
+def _atm_percentile(m: DataFrame) -> Column:
+    return rolling_percentile("atm_1m", 252)
+
+
+@statistic("atm_1m_minus_rv_1m", ["atm_1m", "rv_1m"], "implied less realised vol of a month: the carry on offer")
+def _carry(m: DataFrame) -> Column:
+    return F.col("atm_1m") - F.col("rv_1m")
+
+
+@statistic("spot_range20_z", ["spot", "atm_1m"], "the range of spot over 20 days, in the move that implied vol allows")
+def _range(m: DataFrame) -> Column:
+    ls = F.log("spot")
+    return (rolling(F.max, ls, 20) - rolling(F.min, ls, 20)) / (F.col("atm_1m") / 100 * (20 / 252) ** 0.5)
+
+
+def load_adapter(module: str = "adapters.statistics") -> bool:
+    """Import a site's module, if there is one, which registers statistics of its own; an error inside it is an error."""
+    try:
+        importlib.import_module(module)
+    except ModuleNotFoundError as e:
+        if e.name in (module, module.split(".")[0]):
+            return False
+        raise
+    return True
+
+
+def extra_statistics(m: DataFrame, passthrough: dict[str, str] | None = None) -> DataFrame:
+    """All registered statistics whose columns the market has, and columns passed through."""
+    have = {n: f(m) for n, (f, needs, _, _) in STATISTICS.items() if set(needs) <= set(m.columns)}
+    return m.select("pair", "date", *(c.alias(n) for n, c in have.items()), *(c for c in passthrough or {} if c in m.columns and c not in have))
+
+
+def statistics(m: DataFrame, parts: dict[str, DataFrame] | None = None, passthrough: dict[str, str] | None = None) -> DataFrame:
+    """Everything to condition on, one column a statistic, by pair and date; of columns of one name the first wins.
+
+    parts: further daily frames by the name of their group: features, scores, named states, leading
+    candidates, shocks, characteristics, trailing earn.
+    """
+    out = raw_statistics(m)
+    for part in [extra_statistics(m, passthrough), *(parts or {}).values()]:
+        new = [c for c in part.columns if c not in out.columns]
+        out = out.join(part.select("pair", "date", *new), ["pair", "date"], "left") if new else out
+    return out
+
+
+def definitions(m: DataFrame, parts: dict[str, DataFrame] | None = None, passthrough: dict[str, str] | None = None) -> DataFrame:
+    """statistic, definition and group of each column of ``statistics``, in its order."""
+    told: dict[str, tuple[str, str]] = {c: (f"{c}: plain daily statistic, trailing", "surface and spot") for c in raw_statistics(m).columns[2:]}
+    for c in extra_statistics(m, passthrough).columns[2:]:
+        told.setdefault(c, STATISTICS[c][2:] if c in STATISTICS else ((passthrough or {})[c] or f"{c}: market column", "market columns"))
+    for group, part in (parts or {}).items():
+        for c in part.columns:
+            if c not in ("pair", "date"):
+                told.setdefault(c, (f"{c}: of {group}", group))
+    return m.sparkSession.createDataFrame([(i, c, *d) for i, (c, d) in enumerate(told.items())], "place int, statistic string, definition string, group string")
+
+
 OPS = {">": lambda c, v: c > v, ">=": lambda c, v: c >= v, "<": lambda c, v: c < v, "<=": lambda c, v: c <= v, "between": lambda c, v: c.between(*v), "in": lambda c, v: c.isin(list(v))}
 
 
@@ -74,7 +149,12 @@ def filters_to_tags(stats: DataFrame, filters: dict[str, dict]) -> DataFrame:
 
 
 def filter_text(name: str, spec: dict) -> str:
-    return f"{name}: {json.dumps(spec, sort_keys=True)}"
+    """A filter as YAML, to be copied into a configuration; values are written as JSON, which YAML reads."""
+    clause = lambda s: f"stat: {s['stat']}, op: {json.dumps(s['op'])}, value: {json.dumps(s['value'])}"
+    lines = [f"  {name}:", *(f"    {x}" for x in clause(spec).split(", ", 2))]
+    if spec.get("and"):
+        lines += ["    and:", *(f"      - {{{clause(c)}}}" for c in spec["and"])]
+    return "\n".join(lines)
 
 
 def condition_effect(ent: DataFrame, mask: DataFrame, component: str = "earn", by: list[str] | None = None) -> DataFrame:

@@ -155,6 +155,17 @@ def build(m: DataFrame, names: list[str] | None = None, registry: dict[str, Buil
     return t.select("pair", "date", *names)
 
 
+def build_leading(m: DataFrame, events: DataFrame | None = None, names: list[str] | None = None, asof: str | None = None) -> DataFrame:
+    """Leading features, and with a calendar the nearness of its events from 0 to 100."""
+    out = build(m, names, LEADING, asof)
+    if events is None:
+        return out
+    from tidelark.operators.states import event_proximity
+
+    cut = m if asof is None else m.where(F.col("date") <= F.lit(asof).cast("date"))
+    return out.join(event_proximity(cut, events).withColumn("event_proximity", 100 * F.col("event_proximity")), ["pair", "date"])
+
+
 def truncation_gaps(f: Callable[[DataFrame], DataFrame], m: DataFrame, cut: str, digits: int = 9) -> DataFrame:
     """Rows on which f of the market cut at a date differs from f of the whole market; none if f looks at the past alone."""
     early = F.col("date") <= F.lit(cut).cast("date")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql.window import Window
 from tidelark.functions import kernels as kn
 from tidelark.functions.series import series, with_runs
 from tidelark.operators.features import surprise
-from tidelark.operators.ladder import attach_entry_labels, ladder
+from tidelark.operators.ladder import cumulative, newey_west
 from tidelark.operators.states import RANK, unpivoted
 from tidelark.sources.tables import GROUP
 
@@ -205,41 +206,66 @@ def _numbered_dates(dates: DataFrame, places: list[int]) -> DataFrame:
     return dates.withColumn("_y", y).withColumn("_k", k).join(before, "_y").select("date", (F.col("_k") + F.col("_b")).alias("k")).where(F.col("k").isin(places))
 
 
-def leading_screen(t: DataFrame, features: list[str], permutations: int = 100, least_r2: float = 0.005, least_gain: float = 0.002, folds: int = 3, p_max: float = 0.05, top: int = 3, k: int = 5, holdout: float = 0.2) -> DataFrame:
-    """What each feature adds, and whether it is retained; t: pair, date, regime, score, y and the features.
+LOW = ("carry", "settling", "rising")
+_SCREEN = "n int, delta_r2 double, folds_up int, gain double, gain_folds_up int, p_perm double, delta_r2_low double"
 
-    Pairs and features are groups. Features are developed on the dates before the last
-    ``holdout`` of the span: there they must help both outcome and transitions (k rows on), in
-    enough folds, beyond chance. The ``top`` of those by R2 are tested on the rest, trained on
-    all before it, and stay retained unless it contradicts them; all others are not retained.
+
+def leading_screen(
+    t: DataFrame, features: list[str], permutations: int = 100, least_r2: float = 0.005, least_gain: float = 0.002, folds: int = 3, p_max: float = 0.05, top: int = 3,
+    k: int = 5, ks: tuple[int, ...] = (10, 21), lag: int = 0, holdout: float = 0.2, targets: dict[str, str] | None = None, diagnosis: str | None = None,
+) -> DataFrame:
+    """What each feature adds, and whether it is retained; t: pair, date, regime, score, y, the features, and outcomes that ``targets`` names.
+
+    Pairs and features are groups. A feature is judged on the outcome that targets gives it,
+    else on y. Features are developed on the dates before the last ``holdout`` of the span:
+    there they must help both outcome and transitions (k rows on, beyond the score), in enough
+    folds, beyond chance. The ``top`` of those by R2 are tested on the rest, trained on all before
+    it, and stay retained unless it contradicts them; all others are not retained. Reported
+    only: transitions ks rows on, the part in the low band, and a second outcome (diagnosis).
     """
-    span = t.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    cut = F.expr("a + cast(floor(datediff(b, a) * cast(%r as double)) as int)" % (1 - holdout)).alias("cut")
-    long, stress = t.unpivot(["pair", "date", "regime", "score", "y"], features, "feature", "x").crossJoin(F.broadcast(span.select(cut))), dict(RANK)
+    span = t.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    cut = span["a"] + dt.timedelta(days=int((span["b"] - span["a"]).days * (1 - holdout))) if span["a"] else None
+    targets, stress = targets or {}, dict(RANK)
+    outcomes = sorted({"y", *targets.values(), *([diagnosis] if diagnosis else [])})
+    long = t.select("pair", "date", "regime", "score", *outcomes, *features).unpivot(["pair", "date", "regime", "score", *outcomes], features, "feature", "x")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date")
         s, rank = kn.ranked_states(g["regime"].tolist(), stress)
-        x, score, y = (g[c].to_numpy(float) for c in ("x", "score", "y"))
-        dev = (g["date"] <= g["cut"]).to_numpy()
-        got = kn.incremental_value(x[dev], score[dev], s[dev], y[dev], rank, permutations, key="/".join(map(str, key)), k=k)
-        held = kn.incremental_value(x, score, s, y, rank, 0, k=k, folds=1, first=1 - holdout)
-        return pd.DataFrame([[*key, *got.values(), held["delta_r2"], held["gain"]]])
-
-    out = long.groupBy("pair", "feature").applyInPandas(run, "pair string, feature string, n int, delta_r2 double, folds_up int, gain double, gain_folds_up int, p_perm double, delta_r2_holdout double, gain_holdout double")
-    known = lambda c: F.coalesce(F.nanvl(F.col(c), F.lit(None)), F.lit(float("-inf")))
+        low = np.isin(sorted(set(g["regime"])), LOW).astype(float)
+        target = targets.get(key[1], "y")
+        x, score, y = (g[c].to_numpy(float) for c in ("x", "score", target))
+        dev = (g["date"] <= cut).to_numpy()
+        got = kn.incremental_value(x[dev], score[dev], s[dev], y[dev], rank, permutations, key="/".join(map(str, key)), k=k, ks=ks, lag=lag, low=low)
+        held = kn.incremental_value(x, score, s, y, rank, 0, k=k, folds=1, first=1 - holdout, lag=lag)
+        diag = kn.incremental_value(x[dev], score[dev], s[dev], g[diagnosis].to_numpy(float)[dev], rank, 0, k=k, lag=lag)["delta_r2"] if diagnosis else np.nan
+        return pd.DataFrame([[*key, target, *got.values(), diag, held["delta_r2"], held["gain"]]])
+
+    gains = "".join(f", gain_k{x} double" for x in ks)
+    out = long.groupBy("pair", "feature").applyInPandas(run, f"pair string, feature string, target string, {_SCREEN}{gains}, delta_r2_diag double, delta_r2_holdout double, gain_holdout double")
+    doubles = [f.name for f in out.schema.fields if f.dataType.simpleString() == "double"]
+    out = out.withColumns({c: F.nanvl(c, F.lit(None)) for c in doubles})
+    known = lambda c: F.coalesce(F.col(c), F.lit(float("-inf")))
     rules = (("delta_r2", known("delta_r2") >= least_r2), ("gain", known("gain") >= least_gain), ("folds", F.col("folds_up") >= folds), ("gain_folds", F.col("gain_folds_up") >= folds), ("p_perm", F.coalesce(F.col("p_perm") <= p_max, F.lit(False))))
     failed = F.concat_ws(",", *(F.when(~ok, F.lit(n)) for n, ok in rules))
     place = F.row_number().over(Window.partitionBy("pair").orderBy((failed == "").desc(), known("delta_r2").desc(), "feature"))
     out = out.withColumns({"_failed": failed, "place": place}).withColumn("for_holdout", (F.col("_failed") == "") & (F.col("place") <= top))
     reason = (
         F.when(F.col("_failed") != "", F.col("_failed")).when(~F.col("for_holdout"), "not_in_holdout_top")
-        .when(known("delta_r2_holdout") <= -least_r2, "holdout_delta_r2").when(known("gain_holdout") <= -least_gain, "holdout_gain").otherwise("")
+        .when(known("delta_r2_holdout") <= 0, "holdout_delta_r2").when(known("gain_holdout") <= 0, "holdout_gain").otherwise("")
     )
     only = {c: F.when(F.col("for_holdout"), F.col(c)) for c in ("delta_r2_holdout", "gain_holdout")}
     return out.withColumn("fail_reason", reason).withColumn("retain", F.col("fail_reason") == "").withColumns(only).drop("_failed")
 
 
+def outcomes(td: DataFrame, m: DataFrame, archetypes: list[str], h: int = 5) -> DataFrame:
+    """Named forward outcomes of each day: the mean P&L of each archetype's entries over h days, and realised less implied vol a month on."""
+    cum = cumulative(td.where(F.col("archetype").isin(archetypes)), (h,), expiry=False)
+    earn = cum.groupBy("pair", F.col("entry_date").alias("date")).agg(*(F.avg(F.when(F.col("archetype") == a, F.col("cum_pnl"))).alias(a) for a in archetypes))
+    surface = m.select("pair", "date", (F.lead("rv_1m", 21).over(series()) - F.col("atm_1m")).alias("realised_minus_implied"))
+    return surface.join(earn, ["pair", "date"], "left")
+
+
 def gate_leading(screen: DataFrame, gain: DataFrame, least_gain: float = 0.002, folds: int = 3) -> DataFrame:
     """Whether a feature is retained and the pressure index improves the transitions out of sample; gain: of pressure_gain."""
     r = screen.agg(F.sum(F.col("retain").cast("long")).alias("retained"))
@@ -320,32 +346,36 @@ def sweep(t: DataFrame, cum: DataFrame, variants: dict[str, dict] | None = None,
     n = F.count(F.lit(1)).over(Window.partitionBy("pair"))
     dated = t.withColumns({"_i": F.row_number().over(series()), "_n": n})
     cuts = dated.where(F.col("_i") == F.floor((1 - confirm) * F.col("_n"))).select("pair", F.col("date").alias("cut"))
-    out = first = None
+    found, scored = [], []
     for name, kw in variants.items():
         kw = dict(kw)
-        own = t.withColumn("score", F.col(kw.pop("score", "score")))
-        part = kw.pop("partition", "auto")
-        fit = own.join(cuts, "pair").where("date <= cut").drop("cut")
-        spec = specs(finder(fit, **kw), part)
-        lab = apply_spec(own, spec).select("pair", "date", "regime")
-        first = lab if first is None else first
-        cl = attach_entry_labels(cum, lab).join(cuts, "pair")
-        h, d = kw.get("halflives", HALFLIVES), kw.get("deltas", DELTAS)
+        own = t.select("pair", "date", F.col(kw.pop("score", "score")).alias("score"), "target", "level_target")
+        part, h, d = kw.pop("partition", "auto"), kw.get("halflives", HALFLIVES), kw.get("deltas", DELTAS)
         edge = F.col("halflife").isin(min(h), max(h)) | (F.col("delta") == max(d))
-        gates = [_separated(cl.where(c).drop("cut"), lab).withColumnRenamed("fraction", f"gate2_{p}") for p, c in (("fit", "entry_date <= cut"), ("confirm", "entry_date > cut"))]
-        five = cl.where((F.col("archetype") == archetype) & (F.col("h") == 5)).groupBy("pair").agg(
-            (F.avg(F.when(F.col("regime").isin("stressed", "crisis"), F.col("cum_pnl"))) - F.avg(F.when(F.col("regime") == "carry", F.col("cum_pnl")))).alias("high_minus_carry")
-        )
-        agree = lab.join(first.withColumnRenamed("regime", "_first"), ["pair", "date"]).groupBy("pair").agg(F.avg((F.col("regime") == F.col("_first")).cast("double")).alias("agreement"))
-        row = spec.withColumns({"variant": F.lit(name), "on_grid_edge": edge})
-        for more in (*gates, five, agree):
-            row = row.join(more, "pair", "left")
-        out = row if out is None else out.unionByName(row)
+        found.append(specs(finder(own.join(cuts, "pair").where("date <= cut").drop("cut"), **kw), part).withColumns({"variant": F.lit(name), "on_grid_edge": edge}))
+        scored.append(own.select("pair", "date", "score").withColumn("variant", F.lit(name)))
+    both = lambda parts: reduce(DataFrame.unionByName, parts)
+    spec = both(found).persist()  # a row for each variant and pair, read by all that follows
+    key = F.concat_ws("|", "variant", "pair")
+    lab = apply_spec(both(scored).withColumn("pair", key), spec.withColumn("pair", key)).select(F.split("pair", "[|]", 2)[0].alias("variant"), F.split("pair", "[|]", 2)[1].alias("pair"), "date", "regime").persist()
+
+    cl = cum.join(lab.withColumnRenamed("date", "entry_date"), ["pair", "entry_date"]).join(cuts, "pair").withColumn("part", F.when(F.col("entry_date") <= F.col("cut"), "fit").otherwise("confirm"))
+    gates = _separated(cl.withColumn("pair", F.concat_ws("|", "variant", "part", "pair"))).select(*(F.split("pair", "[|]", 3)[i].alias(c) for i, c in enumerate(("variant", "part", "pair"))), "fraction")
+    gates = gates.groupBy("variant", "pair").agg(*(F.max(F.when(F.col("part") == p, F.col("fraction"))).alias(f"gate2_{p}") for p in ("fit", "confirm")))
+    mean = lambda states: F.avg(F.when(F.col("regime").isin(*states), F.col("cum_pnl")))
+    five = cl.where((F.col("archetype") == archetype) & (F.col("h") == 5)).groupBy("variant", "pair").agg((mean(("stressed", "crisis")) - mean(("carry",))).alias("high_minus_carry"))
+    first = lab.where(F.col("variant") == next(iter(variants))).select("pair", "date", F.col("regime").alias("_first"))
+    agree = lab.join(first, ["pair", "date"]).groupBy("variant", "pair").agg(F.avg((F.col("regime") == F.col("_first")).cast("double")).alias("agreement"))
+    out = spec
+    for more in (gates, five, agree):
+        out = out.join(more, ["variant", "pair"], "left")
     return out
 
 
-def _separated(cum_lab: DataFrame, labels: DataFrame, max_h: int = 10, spread_se: float = 2.0) -> DataFrame:
+def _separated(cum_lab: DataFrame, max_h: int = 10, spread_se: float = 2.0) -> DataFrame:
     """Of each pair the share of cells in which the best and the worst state lie apart by more than their errors."""
-    lad = ladder(cum_lab, labels).where((F.col("regime") != "ALL") & (F.col("h") <= max_h) & F.col("se").isNotNull())
-    c = lad.groupBy(*GROUP, "h").agg(F.count(F.lit(1)).alias("k"), (F.max("mean") - F.min("mean")).alias("spread"), F.greatest(F.max_by("se", "mean"), F.min_by("se", "mean")).alias("worst")).where("k >= 2")
+    own = cum_lab.where(F.col("h") <= max_h)
+    means = own.groupBy(*GROUP, "regime", "h").agg(F.avg("cum_pnl").alias("mean"))
+    cells = means.join(newey_west(own), [*GROUP, "regime", "h"]).where("se is not null")
+    c = cells.groupBy(*GROUP, "h").agg(F.count(F.lit(1)).alias("k"), (F.max("mean") - F.min("mean")).alias("spread"), F.greatest(F.max_by("se", "mean"), F.min_by("se", "mean")).alias("worst")).where("k >= 2")
     return c.groupBy("pair").agg(F.avg((F.col("spread") > spread_se * F.col("worst")).cast("double")).alias("fraction"))

@@ -15,12 +15,42 @@ from tidelark.operators.features import change, log_return, surprise
 RANK = {"carry": 0.0, "settling": 0.5, "rising": 1.0, "agitated": 1.5, "normalising": 2.0, "stressed": 3.0, "extreme": 4.0, "transition": 1.0, "crisis": 2.0}
 ESCALATION = {"carry": "rising", "settling": "rising", "rising": "stressed", "agitated": "stressed", "normalising": "stressed", "stressed": "extreme", "transition": "crisis"}
 HIGH = ["stressed", "extreme"]
+ORDER = ["carry", "settling", "rising", "agitated", "normalising", "stressed", "extreme", "transition", "crisis"]
+SEPARATOR = "·"
 
 
 def lookup(table: dict, key: Column, default: object = None) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), F.lit(default))
 
 
+def state_order(labels: DataFrame) -> DataFrame:
+    """The states that occur, with their place: the named ones in their order, then all others by name."""
+    named = lookup({n: i for i, n in enumerate(ORDER)}, F.col("regime"), len(ORDER))
+    found = labels.select("regime").distinct()  # a handful of rows
+    return found.select("regime", F.row_number().over(Window.orderBy(named, "regime")).alias("place"))
+
+
+def parent(regime: Column) -> Column:
+    """The state of a label that a tag has split."""
+    return F.split(regime, SEPARATOR)[0]
+
+
+def modal_state(labels: DataFrame) -> DataFrame:
+    """The commonest state of each pair; of equally common ones the first by name."""
+    n = labels.groupBy("pair", "regime").agg(F.count(F.lit(1)).alias("days"))
+    w = Window.partitionBy("pair").orderBy(F.col("days").desc(), "regime")
+    return n.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+
+
+def state_summary(labels: DataFrame, score: DataFrame) -> DataFrame:
+    """Of each state: implied and observed durations, share of days, and the mean and range of a score; score: pair, date, score."""
+    n = labels.groupBy("pair", "regime").agg(F.count(F.lit(1)).alias("days"))
+    share = n.withColumn("share", F.col("days") / F.sum("days").over(Window.partitionBy("pair")))
+    span = labels.join(score, ["pair", "date"]).groupBy("pair", "regime").agg(F.avg("score").alias("score_mean"), F.min("score").alias("score_min"), F.max("score").alias("score_max"))
+    out = duration_check(labels).join(share, ["pair", "regime"], "left").join(span, ["pair", "regime"], "left")
+    return out.withColumn("ratio", F.try_divide("implied_days", "observed_mean_days"))
+
+
 def runs(labels: DataFrame, value: str = "regime") -> DataFrame:
     """Uninterrupted runs: pair, run, value, start, end, days."""
     return with_runs(labels, value).groupBy("pair", "run", value).agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count(F.lit(1)).alias("days"))
@@ -166,15 +196,55 @@ def intervention_tag(m: DataFrame, move: float = 0.05, window: int = 21, level:
 def tag_split(labels: DataFrame, tag: DataFrame, name: str, least: int = 5) -> DataFrame:
     """Labels split by a tag where the combined label has ``least`` runs; neutral values keep the state."""
     t = labels.join(tag.select("pair", "date", F.col(name).alias("_t")), ["pair", "date"], "left")
-    cell = F.when(F.coalesce("_t", F.lit("none")).isin("none", "flat"), F.col("regime")).otherwise(F.concat_ws("·", "regime", "_t"))
+    cell = F.when(F.coalesce("_t", F.lit("none")).isin("none", "flat"), F.col("regime")).otherwise(F.concat_ws(SEPARATOR, "regime", "_t"))
     t = t.withColumn("cell", cell)
     enough = runs(t.select("pair", "date", "cell"), "cell").groupBy("pair", "cell").agg(F.count(F.lit(1)).alias("_n"))
     return t.join(enough, ["pair", "cell"]).select("pair", "date", F.when((F.col("cell") == F.col("regime")) | (F.col("_n") >= least), F.col("cell")).otherwise(F.col("regime")).alias("regime"))
 
 
+def build_tags(m: DataFrame, config: dict) -> DataFrame:
+    """All tags of a configuration: pair, date and a column for each tag; "none" where a pair has it not.
+
+    config: {tag: {parameter: value}}, optional events (dates) with event_window: {parameter: value}, and
+    pairs: {pair: the same} whose parameters go before the general ones and whose events come on top.
+    """
+    known, own = {"corr_sign": corr_sign_tag, "pinned": pinned_tag, "intervention": intervention_tag}, config.get("pairs") or {}
+    spark, out = m.sparkSession, m.select("pair", "date")
+    if unknown := {t for c in (config, *own.values()) for t in c} - set(known) - {"events", "event_window", "pairs"}:
+        raise ValueError(f"unknown tags: {', '.join(sorted(unknown))}")
+
+    def apply(name: str, rows: DataFrame, pair: str | None) -> DataFrame:
+        mine = own.get(pair, {})
+        if name == "event_window":
+            dates = [*(config.get("events") or []), *(mine.get("events") or [])]
+            events = spark.createDataFrame([(d,) for d in dates], "date string").select(F.to_date("date").alias("date"))
+            return event_window_tag(rows, events, **(config.get(name) or {}) | (mine.get(name) or {})).withColumnRenamed("event", name)
+        return known[name](rows, **(config.get(name) or {}) | (mine.get(name) or {}))
+
+    special = [F.lit(p) for p in own]
+    rest = m.where(~F.col("pair").isin(special)) if own else m
+    for name in [*known, "event_window"]:
+        asks = (lambda c: name in c) if name != "event_window" else (lambda c: bool(c.get("events")))  # noqa: B023
+        parts = [apply(name, m.where(F.col("pair") == p), p) for p, c in own.items() if asks(c) or asks(config)]
+        parts += [apply(name, rest, None)] if asks(config) else []
+        if parts:
+            both = parts[0]
+            for p in parts[1:]:
+                both = both.unionByName(p)
+            out = out.join(both, ["pair", "date"], "left").withColumn(name, F.coalesce(name, F.lit("none")))
+    return out
+
+
 # profiles
 
 
+def asset_correlations(m: DataFrame, assets: dict[str, str], window: int = 20) -> DataFrame:
+    """Trailing correlations of the returns and of the vol changes with each asset's changes; assets: column and "log" or "diff"."""
+    t = m.withColumns({"_r": log_return(), "_dv": change("atm_1m")} | {f"_x_{c}": log_return(c) if how == "log" else change(c) for c, how in assets.items()})
+    own = [(rolling2(F.corr, y, f"_x_{c}", window)).alias(f"corr_{n}_{c}") for c in assets for n, y in (("spot", "_r"), ("vol", "_dv"))]
+    return t.select("pair", "date", *own)
+
+
 def characteristics(m: DataFrame, window: int = 20) -> DataFrame:
     """Daily characteristics of a pair over a trailing window."""
     t = m.withColumns({"_r": log_return(), "_dv": change("atm_1m")})
@@ -208,6 +278,14 @@ def distinguishing(profile: DataFrame, top: int = 3) -> DataFrame:
     return profile.where("d is not null").withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).select("pair", "regime", "place", "characteristic", "d", "state_mean", "all_mean")
 
 
+def describe(profile: DataFrame, top: int = 3) -> DataFrame:
+    """A phrase for each state: what is high or low in it, and by how many standard deviations."""
+    d = F.round("d", 1)
+    part = F.concat(F.col("characteristic"), F.when(F.col("d") > 0, " high (").otherwise(" low ("), F.format_string("%+.1f", d), F.lit("σ)"))
+    held = distinguishing(profile, top).groupBy("pair", "regime").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("t")))).alias("p"))
+    return held.select("pair", "regime", F.concat_ws(" · ", "regime", F.concat_ws(" · ", F.col("p.t"))).alias("phrase"))
+
+
 def today_placement(chars: DataFrame, labels: DataFrame) -> DataFrame:
     """Share of the days of today's state on which each characteristic was lower than today."""
     t = unpivoted(chars).join(labels, ["pair", "date"])
@@ -267,6 +345,18 @@ def fan(matrix: DataFrame, start: str, horizon: int = 21) -> DataFrame:
     return fans(matrix, horizon).where(F.col("start") == start).drop("start")
 
 
+def expected_days(fan_: DataFrame) -> DataFrame:
+    """How many of the fan's days each state is expected to take."""
+    keys = [c for c in ("pair", "start") if c in fan_.columns]
+    return fan_.groupBy(*keys, "state").agg(F.sum("p").alias("days"))
+
+
+def p_state_at(fan_: DataFrame, states: list[str], days: tuple[int, ...] = (5, 10, 21)) -> DataFrame:
+    """The probability of being in any of some states after some days."""
+    keys = [c for c in ("pair", "start") if c in fan_.columns]
+    return fan_.where(F.col("h").isin(list(days))).groupBy(*keys, "h").agg(F.sum(F.when(F.col("state").isin(states), F.col("p")).otherwise(0.0)).alias("p"))
+
+
 def true_ladder(matrix: DataFrame, base: dict[str, float], slope: float, tenor: int = 21, horizons: tuple[int, ...] = (1, 3, 5, 10, 20), decay: float = 4.0) -> DataFrame:
     """What a unit entered in each state earns on average up to h days, if days pay by their state and the theta grows to expiry."""
     day = fans(matrix, tenor).groupBy("pair", "start", "h").agg(F.sum(F.col("p") * lookup(base, F.col("state"), 0.0)).alias("e"))
@@ -281,10 +371,11 @@ def log_likelihood(labels: DataFrame, matrix: DataFrame) -> DataFrame:
     return moves.join(matrix, ["pair", "from_state", "to_state"]).groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.sum(F.log(F.greatest(F.col("p"), F.lit(1e-300)))).alias("loglik"))
 
 
-def covariate_paths(spark: SparkSession, now: float, horizon: int, halflife: float = 10.0) -> DataFrame:
-    """The declared future of a covariate: frozen, fading, or zero."""
+def covariate_paths(spark: SparkSession, now: float, horizon: int, halflife: float = 10.0, calendar: tuple[float, ...] = ()) -> DataFrame:
+    """The declared future of a covariate: frozen, fading, zero, or given by day (and 0 beyond what is given)."""
     h = spark.range(1, horizon + 1).select(F.col("id").alias("h"))
-    return h.select("h", F.lit(now).alias("frozen"), (now * F.pow(F.lit(0.5), F.col("h") / halflife)).alias("decay"), F.lit(0.0).alias("zero"))
+    given = F.coalesce(F.get(F.array(*map(F.lit, map(float, calendar))), F.col("h").cast("int") - 1), F.lit(0.0)) if calendar else F.lit(0.0)
+    return h.select("h", F.lit(now).alias("frozen"), (now * F.pow(F.lit(0.5), F.col("h") / halflife)).alias("decay"), F.lit(0.0).alias("zero"), given.alias("calendar"))
 
 
 def escalations(labels: DataFrame) -> DataFrame:
@@ -293,6 +384,25 @@ def escalations(labels: DataFrame) -> DataFrame:
     return labels.withColumn("from_state", was).where(F.col("regime").isin(HIGH) & ~F.col("from_state").isin(HIGH)).select("pair", "date", "from_state", F.col("regime").alias("to_state"))
 
 
+def before_escalations(features: DataFrame, labels: DataFrame, days: tuple[int, ...] = (1, 5, 20)) -> DataFrame:
+    """The values of features some days before each move into the high band: pair, date, days_before, feature, value."""
+    names = [c for c in features.columns if c not in ("pair", "date")]
+    lagged = features.select("pair", "date", *(F.lag(c, k).over(series()).alias(f"{c}_{k}") for c in names for k in days))
+    at = F.array(*(F.struct(F.lit(k).alias("days_before"), *(F.col(f"{c}_{k}").alias(c) for c in names)) for k in days))
+    hit = lagged.join(escalations(labels).select("pair", "date"), ["pair", "date"], "left_semi").select("pair", "date", F.explode(at).alias("e")).select("pair", "date", "e.*")
+    return hit.unpivot(["pair", "date", "days_before"], names, "feature", "value")
+
+
+def correlation_matrix(features: DataFrame) -> DataFrame:
+    """Correlations of each two features, over the days on which both are known: pair, a, b, n, corr."""
+    names = sorted(c for c in features.columns if c not in ("pair", "date"))
+    both = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    known = [F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1) for a, b in both]
+    one = features.groupBy("pair").agg(*(F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(both)), *(F.count(k).alias(f"n{i}") for i, k in enumerate(known)))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(both)))
+    return one.select("pair", F.explode(rows).alias("r")).select("pair", "r.*")
+
+
 def alignment(t: DataFrame, feature: str, target: str, shifts: tuple[int, ...]) -> DataFrame:
     """Rank correlation of a feature with the target stamped k days later, for each k."""
     long = t.select("pair", F.round(feature, 9).alias("x"), *((F.lead(target, k) if k >= 0 else F.lag(target, -k)).over(series()).alias(f"k{k}") for k in shifts))

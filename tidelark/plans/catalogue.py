@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 
 from tidelark.functions import kernels as kn
 from tidelark.functions import scans
-from tidelark.functions.series import series, rolling_percentile
+from tidelark.functions.series import rolling_percentile, runs_of_days, series
 from tidelark.operators import combine as cmb
 from tidelark.operators import evaluate as ev
 from tidelark.operators import explore as ex
@@ -26,7 +26,8 @@ from tidelark.operators import features as ft
 from tidelark.operators import ladder as ld
 from tidelark.operators import models as md
 from tidelark.operators import states as st
-from tidelark.plans.oracles import CELL, G, W, bday, roll, win, with_parts, z
+from tidelark.plans.oracles import CELL, G, W, bday, ranked, roll, roll2, win, with_parts, z
+from tidelark.sources import synthetic as syn
 from tidelark.sources import tables as tb
 
 TENORS = (5, 21, 63)
@@ -64,9 +65,13 @@ class World:
     def labels(self) -> DataFrame:
         return tb.cut_labels(self.market)
 
+    @cached_property
+    def cumulative(self) -> DataFrame:
+        return self._kept(ld.cumulative(self.td))
+
     @cached_property
     def cum_lab(self) -> DataFrame:
-        return self._kept(ld.attach_entry_labels(ld.cumulative(self.td), self.labels))
+        return self._kept(ld.attach_entry_labels(self.cumulative, self.labels))
 
     @cached_property
     def cum_terms(self) -> DataFrame:
@@ -177,7 +182,7 @@ _COND = f"count({_ON[0]}) AS n_on, count({_ON[1]}) AS n_off, avg({_ON[0]}) AS me
 add("cond_on_off", f"{GS} h:i n_on:i n_off:i mean_on:f mean_off:f diff:f se:f runs:i", f"SELECT * FROM (SELECT {G}, h, {_COND} FROM ent5 GROUP BY {G}, h) JOIN mruns USING (pair)")(lambda w: ex.condition_effect(w.entries, w.mask))
 add("cond_fit_confirm", f"{GS} h:i part n_on:i n_off:i diff:f se:f", f"""SELECT {G}, h, CASE WHEN date_diff('day', DATE '1970-01-01', entry_date) <= cut THEN 'fit' ELSE 'confirm' END AS part, {_COND} FROM ent5 JOIN (SELECT pair, quantile_cont(date_diff('day', DATE '1970-01-01', entry_date), 0.7) AS cut FROM ent GROUP BY ALL) USING (pair) GROUP BY {G}, h, part""")(lambda w: ex.fit_confirm(w.entries, w.mask))
 add("mask_shift_null", f"{GS} h:i shift:i diff:f", f"""SELECT {', '.join('e.' + c for c in G.split(', '))}, e.h, s.shift, avg(CASE WHEN s."on" THEN earn END) - avg(CASE WHEN NOT s."on" THEN earn END) AS diff FROM ent e JOIN
-    (SELECT m.pair, t.date, s.shift, m."on" FROM (SELECT *, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY pair) AS n FROM mask) m CROSS JOIN (SELECT unnest([0, 37, 211, 504]) AS shift) s JOIN (SELECT pair, date, row_number() OVER {W} - 1 AS i FROM mask) t ON t.pair = m.pair AND t.i = (m.i + s.shift) % m.n) s ON s.pair = e.pair AND s.date = e.entry_date GROUP BY ALL""")(lambda w: ex.shift_null(w.entries, w.mask, [37, 211, 504]))
+    (SELECT m.pair, t.date, s.shift, m."on" FROM (SELECT *, row_number() OVER {W} - 1 AS i, count(*) OVER (PARTITION BY pair) AS n FROM mask) m CROSS JOIN (SELECT unnest(range(0, 2001, 10)) AS shift) s JOIN (SELECT pair, date, row_number() OVER {W} - 1 AS i FROM mask) t ON t.pair = m.pair AND t.i = (m.i + s.shift) % m.n) s ON s.pair = e.pair AND s.date = e.entry_date GROUP BY ALL""")(lambda w: ex.shift_null(w.entries, w.mask, list(range(10, 2001, 10))))
 add("bucket_drivers", f"{GS} bucket:i mean:f total:f sd:f hit_rate:f q05:f q50:f q95:f worst:f best:f entries:i", f"""SELECT {G}, bucket, avg(earn) AS mean, sum(earn) AS total, stddev_samp(earn) AS sd, avg(CASE WHEN earn > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, quantile_cont(earn, 0.05) AS q05, quantile_cont(earn, 0.5) AS q50, quantile_cont(earn, 0.95) AS q95, min(earn) AS worst, max(earn) AS best, count(*) AS entries
     FROM (SELECT e.*, ntile(5) OVER (PARTITION BY {', '.join('e.' + c for c in G.split(', '))} ORDER BY round(m.atm_1m, 9), e.entry_date) AS bucket FROM ent e JOIN market m ON m.pair = e.pair AND m.date = e.entry_date WHERE h = 5) GROUP BY ALL""")(lambda w: ex.bucket_drivers(w.entries, w.market, "atm_1m").where("driver = 'earn'"))
 
@@ -192,7 +197,6 @@ add("drift_t", "pair date:d drift_t:f", f"SELECT pair, date, ({roll('avg', 'r',
 add("avg_pair_corr", "pair date:d c:f", "SELECT * FROM coh")(lambda w: ft.mean_pair_corr(w.market, ["g10_1", "g10_2", "g10_3"], 21, "c"))
 add("composite_score", "pair date:d composite:f direction_score:f", f"SELECT pair, date, c AS composite, (c - lag(c, 5) OVER {W}) / 5 AS direction_score FROM (SELECT pair, date, CASE WHEN coalesce(a.v, b.v) IS NOT NULL THEN coalesce(a.v, 0) * 0.6 + coalesce(b.v, 0) * 0.4 END AS c FROM p_vol a JOIN p_slope b USING (pair, date))")(lambda w: ft.composite(ft.build(w.market, ["vol_pct", "term_slope_pct"]), {"vol_pct": 0.6, "term_slope_pct": 0.4}))
 add("pressure_index", "pair date:d pressure:f", "SELECT g.pair, g.date, (g.v * 0.5 + c.v * 0.5 - 50) / 25 AS pressure FROM p_gap g JOIN comp c USING (pair, date)")(lambda w: ft.pressure(ft.build(w.market, ["gap_pct", "complacency"], ft.LEADING), {"gap_pct": 1, "complacency": 1}))
-add("truncation_check", "pair date:d", "SELECT pair, date FROM market WHERE false")(lambda w: ft.truncation_gaps(lambda m: ft.build(m, ["vol_pct", "rr_stress_pct"]), w.market, "1998-06-30"))
 
 # scans and labels
 _SCAN = "SELECT pair, date, row_number() OVER (PARTITION BY pair ORDER BY date) AS k, atm_1m AS x, (atm_1m - lag(atm_1m, 5) OVER (PARTITION BY pair ORDER BY date)) / 5 AS ds FROM market"
@@ -275,11 +279,12 @@ add("blend_pi", "pair state p:f", "SELECT pair, state, sum(p) AS p FROM (SELECT
 _TILT = "SELECT pair, from_state, to_state, v / sum(v) OVER (PARTITION BY pair, from_state) AS p FROM (SELECT m.*, p * exp(0.4 * 1.5 * (b.rk - a.rk)) AS v FROM mat m JOIN rank_of a ON a.regime = m.from_state JOIN rank_of b ON b.regime = m.to_state)"
 add("tilt_matrix", "pair from_state to_state p:f", _TILT)(lambda w: st.tilt(st.transition_matrix(w.labels, 10.0), F.lit(1.5), 0.4))
 add("loglik_k1", "pair n:i loglik:f", f"SELECT pair, count(*) AS n, sum(ln(greatest(p, 1e-300))) AS loglik FROM (SELECT pair, regime AS from_state, lead(regime) OVER {W} AS to_state FROM lab) JOIN mat USING (pair, from_state, to_state) GROUP BY ALL")(lambda w: st.log_likelihood(w.labels, st.transition_matrix(w.labels, 10.0)))
-add("fan_21", "pair h:i state p:f", "SELECT pair, h, state, p FROM fn WHERE h > 0", True, {"fn": "SELECT DISTINCT pair, 0 AS h, from_state AS state, CASE WHEN from_state = 'carry' THEN CAST(1 AS DOUBLE) ELSE 0 END AS p FROM mat UNION ALL SELECT f.pair, f.h + 1, m.to_state, sum(f.p * m.p) FROM fn f JOIN mat m ON m.pair = f.pair AND m.from_state = f.state WHERE f.h < 21 GROUP BY f.pair, f.h, m.to_state"})(lambda w: st.fan(st.transition_matrix(w.labels, 10.0), "carry"))
+_FAN = {"fn": "SELECT DISTINCT pair, 0 AS h, from_state AS state, CASE WHEN from_state = 'carry' THEN CAST(1 AS DOUBLE) ELSE 0 END AS p FROM mat UNION ALL SELECT f.pair, f.h + 1, m.to_state, sum(f.p * m.p) FROM fn f JOIN mat m ON m.pair = f.pair AND m.from_state = f.state WHERE f.h < 21 GROUP BY f.pair, f.h, m.to_state"}
+add("fan_21", "pair h:i state p:f", "SELECT pair, h, state, p FROM fn WHERE h > 0", True, _FAN)(lambda w: st.fan(st.transition_matrix(w.labels, 10.0), "carry"))
 _PAY = {"carry": 0.1, "agitated": -0.05, "stressed": -0.3}
 add("true_ladder", "pair regime h:i true_ev:f", "SELECT * FROM (SELECT pair, start AS regime, h, sum(e + 0.2 * exp(-(21 - h) / 4.0)) OVER (PARTITION BY pair, start ORDER BY h) AS true_ev FROM (SELECT pair, start, h, sum(p * CASE state WHEN 'carry' THEN 0.1 WHEN 'agitated' THEN -0.05 ELSE -0.3 END) AS e FROM fa WHERE h > 0 GROUP BY ALL)) WHERE h IN (1, 3, 5, 10, 20, 21)", True, {
     "fa": "SELECT DISTINCT a.pair, a.from_state AS start, 0 AS h, b.from_state AS state, CASE WHEN a.from_state = b.from_state THEN CAST(1 AS DOUBLE) ELSE 0 END AS p FROM mat a JOIN mat b ON a.pair = b.pair UNION ALL SELECT f.pair, f.start, f.h + 1, m.to_state, sum(f.p * m.p) FROM fa f JOIN mat m ON m.pair = f.pair AND m.from_state = f.state WHERE f.h < 21 GROUP BY f.pair, f.start, f.h, m.to_state"})(lambda w: st.true_ladder(st.transition_matrix(w.labels, 10.0), _PAY, 0.2))
-add("covariate_paths", "h:i frozen:f decay:f zero:f", "SELECT h, 1.2 AS frozen, 1.2 * power(0.5, h / 10.0) AS decay, 0.0 AS zero FROM (SELECT unnest(range(1, 22)) AS h)")(lambda w: st.covariate_paths(w.spark, 1.2, 21))
+add("covariate_paths", "h:i frozen:f decay:f zero:f calendar:f", "SELECT h, 1.2 AS frozen, 1.2 * power(0.5, h / 10.0) AS decay, 0.0 AS zero, coalesce([0.5, 1.5, 0.25][h], 0) AS calendar FROM (SELECT unnest(range(1, 22)) AS h)")(lambda w: st.covariate_paths(w.spark, 1.2, 21, calendar=(0.5, 1.5, 0.25)))
 _AL = f"""SELECT *, rank() OVER (PARTITION BY pair, k ORDER BY x) + (count(*) OVER (PARTITION BY pair, k, x) - 1) / 2.0 AS a, rank() OVER (PARTITION BY pair, k ORDER BY y) + (count(*) OVER (PARTITION BY pair, k, y) - 1) / 2.0 AS b FROM (SELECT m.pair, s.k, round(m.atm_1m, 9) AS x, t.rv_1w AS y FROM market m CROSS JOIN (SELECT unnest([-10, -5, 0, 5, 10]) AS k) s JOIN market t ON t.pair = m.pair AND t.i = m.i + s.k) WHERE x IS NOT NULL AND y IS NOT NULL"""
 add("alignment_spearman", "pair k:i n:i rho:f", f"SELECT pair, k, count(*) AS n, corr(a, b) AS rho FROM ({_AL}) GROUP BY ALL")(lambda w: st.alignment(w.market, "atm_1m", "rv_1w", (-10, -5, 0, 5, 10)))
 add("alarm_matches", "pair alarms:i events:i alarms_hit:i events_caught:i", f"""SELECT * FROM (SELECT pair, count(*) AS alarms FROM am GROUP BY ALL) FULL JOIN (SELECT pair, count(*) AS events FROM ae GROUP BY ALL) USING (pair) LEFT JOIN (SELECT a.pair, count(DISTINCT a.date) AS alarms_hit, count(DISTINCT e.date) AS events_caught FROM am a JOIN ae e ON e.pair = a.pair AND e.date > a.date AND e.date <= a.date + 30 GROUP BY ALL) USING (pair)""", False, {
@@ -331,23 +336,125 @@ add("pnl_summary", f"{GS} trades:i rows:i first_entry:d last_entry:d mean:f sd:f
 # fitted models, rows only
 def _scored(w: World) -> DataFrame:
     y = {"target": F.lead("atm_1m", 5).over(series()) - F.col("atm_1m"), "level_target": F.lead("rv_1m", 5).over(series()), "score": rolling_percentile("atm_1m", 252)}
-    return w.market.withColumns(y).select("pair", "date", "score", "target", "level_target")
+    y["score2"] = rolling_percentile("rv_1m", 252)
+    return w.market.withColumns(y).select("pair", "date", "score", "score2", "target", "level_target")
 
 
 def _screened(w: World) -> DataFrame:
-    t = w.labels.join(w.market.select("pair", "date", "rr25_1m", "fly25_1m", F.col("atm_1y").alias("score"), (F.lead("rv_1w", 5).over(series())).alias("y")), ["pair", "date"])
-    return t
+    """Labels, a score, all leading features, and outcomes: what straddles, risk reversals and realised vol do next."""
+    base = w.market.select("pair", "date", "rr25_1m", "fly25_1m", F.col("atm_1y").alias("score"))
+    t = w.labels.join(base, ["pair", "date"]).join(md.outcomes(w.td, w.market, ["straddle_atm", "call_25d"]), ["pair", "date"])
+    return t.withColumn("y", F.col("straddle_atm")).join(ft.build(w.market, None, ft.LEADING), ["pair", "date"])
 
 
 add("har_forecast", "pair date:d forecast:f", None)(lambda w: md.har_forecast(w.market))
 add("shock_score", "pair date:d cusum:f p_young:f run:i score:f", None)(lambda w: md.shock_score(w.market))
-add("finder_report", "pair candidate:i partition r2:f switches:i min_episodes:i lower:f upper:f feasible:b chosen:b winner:b", None)(lambda w: md.finder(_scored(w)))
+_SPEC = "halflife:f delta:f dir_k:f lower:f upper:f top:f d_up:f delta_d:f extreme_merged:b"
+add("finder_report", f"pair candidate:i partition r2:f switches:i min_episodes:i {_SPEC} extreme_episodes:i feasible:b chosen:b winner:b", None)(lambda w: md.finder(_scored(w)))
+add("finder_top", f"pair partition place:i candidate:i r2:f switches:i min_episodes:i {_SPEC}", None)(lambda w: md.top_candidates(md.finder(_scored(w))))
+add("labeller_specs", f"pair partition r2:f fell_back:b {_SPEC}", None)(lambda w: md.specs(md.finder(_scored(w)), "6x"))
 add("auto_labels", "pair date:d regime warm:b", None)(lambda w: md.make_labels(_scored(w), md.finder(_scored(w))))
-add("tilt_fit", "pair feature n:i beta:f gain:f folds_up:i", None)(lambda w: md.tilt_fits(_screened(w), ["rr25_1m", "fly25_1m"]))
-add("leading_screen", "pair feature n:i delta_r2:f folds_up:i gain:f gain_folds_up:i p_perm:f retain:b fail_reason for_holdout:b delta_r2_holdout:f gain_holdout:f", None)(lambda w: md.leading_screen(_screened(w).join(ft.build(w.market, None, ft.LEADING), ["pair", "date"]), list(ft.LEADING)))
+add("fixed_labels", "pair date:d regime warm:b", None)(lambda w: md.apply_spec(_scored(w), md.fixed_specs(_scored(w), 3.0, (30.0, 60.0, 90.0), 2.0, 0.75, "6x")))
+add("tilt_fit", "pair feature n:i gamma:f beta:f gain:f folds_up:i", None)(lambda w: md.tilt_fits(_screened(w), list(ft.LEADING)[:6], base="score"))
+add("pooled_tilt", "feature pairs:i n:i gamma:f beta:f loglik:f loglik0:f", None)(lambda w: md.pooled_tilt(_screened(w), ["rr25_1m", "fly25_1m"], 5, "score"))
+_LEAD_SPEC = "pair feature target n:i delta_r2:f folds_up:i gain:f gain_folds_up:i p_perm:f delta_r2_low:f gain_k10:f gain_k21:f delta_r2_diag:f retain:b fail_reason for_holdout:b delta_r2_holdout:f gain_holdout:f"
+add("leading_screen", _LEAD_SPEC, None)(lambda w: _screen(w))
+add("pressure_gain", "pair n:i gain:f folds_up:i", None)(lambda w: md.pressure_gain(_pressed(w)))
+add("gate4", "retained:i pressure_gain:f folds_up:i pass:b", None)(lambda w: md.gate_leading(_screen(w), md.pressure_gain(_pressed(w))))
 add("discover_substates", "pair regime k:i bic:f min_runs:i stability:f accepted:b", None)(lambda w: md.discover(st.characteristics(w.market), w.labels))
 add("factor_share", "pair date:d share:f", None)(lambda w: md.factor_share(w.market, ["spot", "g10_1", "g10_2", "g10_3"]))
-add("sweep_table", "variant pair candidate:i partition r2:f switches:i min_episodes:i", None)(lambda w: md.sweep(_scored(w), {"base": {}, "tight": {"budget": 15.0}}))
+add("sweep_table", f"variant pair partition fell_back:b on_grid_edge:b r2:f switches:i gate2_fit:f gate2_confirm:f high_minus_carry:f agreement:f {_SPEC}", None)(lambda w: md.sweep(_scored(w), w.cumulative))
+add("lift_interval", "pair p_event_signal:f p_event_all:f n_signal:i lift:f lift_lo:f lift_hi:f", None)(lambda w: ev.lift_interval(w.labels.join(w.market.select("pair", "date", "rr25_1m"), ["pair", "date"]), "rr25_1m", horizon=5))
+add("interval_coverage", "world:i cells:i coverage:f median_error:f", None)(lambda w: syn.interval_coverage(w.spark, worlds=4, days=1000))
+
+
+def _screen(w: World) -> DataFrame:
+    targets = {"drift_t": "call_25d", "gap_z_signed": "call_25d"}
+    return md.leading_screen(_screened(w), [*ft.LEADING], targets=targets, diagnosis="realised_minus_implied")
+
+
+def _pressed(w: World) -> DataFrame:
+    return ft.pressure(_screened(w), {"gap_pct": 1.0, "complacency": 1.0, "coupling_shift_pct": 1.0})
+
+
+# several tenors
+_TERMS = {"ages": f"SELECT tenor_days, unnest(range(1, tenor_days + 1)) AS age FROM (SELECT unnest({list(TENORS)}) AS tenor_days)"}
+add("ladder_hac_terms", f"{CS} to_expiry:b n:i n_eff:f mean:f se:f ci_lo:f ci_hi:f p_profit:f q05:f q50:f q95:f es05:f episodes:i", "SELECT * FROM lad", False, _TERMS)(lambda w: ld.ladder(w.cum_terms, w.labels))
+add("walk_forward_terms", f"{GS} h:i n_test:i mse_uncond:f mse_regime:f improvement:f rank_ic:f calib_slope:f", "SELECT * FROM wo", False, _FOLDS | _TERMS)(lambda w: ev.walk_forward(w.cum_terms))
+add("combine_rr_terms", "trade_id pair archetype tenor_days:i entry_date:d date:d age:i remaining:i pnl:f", "SELECT *, concat_ws('-', pair, 'rr_25d', strftime(entry_date, '%Y-%m-%d'), tenor_days) AS trade_id, 'rr_25d' AS archetype, tenor_days - age AS remaining FROM cmb", False, _TERMS)(lambda w: cmb.combine(w.terms, cmb.COMBINATIONS["rr_25d"], "rr_25d"))
+_SHORT = "SELECT * FROM ent e WHERE tenor_days = (SELECT min(tenor_days) FROM ent x WHERE x.archetype = e.archetype AND h = 3 AND NOT to_expiry)"
+add("trailing_earn_terms", "pair archetype date:d earn_mean:f earn_z:f", f"""SELECT pair, archetype, date, m AS earn_mean, (m - CASE WHEN count(m) OVER p >= 126 THEN avg(m) OVER p END) / nullif(CASE WHEN count(m) OVER p >= 126 THEN stddev_samp(m) OVER p END, 0) AS earn_z FROM
+    (SELECT *, CASE WHEN count(earn) OVER q >= 10 THEN avg(earn) OVER q END AS m FROM (SELECT m.pair, a.archetype, m.date, k.earn FROM market m CROSS JOIN (SELECT DISTINCT archetype FROM ent) a
+    LEFT JOIN (SELECT e.pair, e.archetype, x.i + 3 AS i, e.earn FROM es1 e JOIN market x ON x.pair = e.pair AND x.date = e.entry_date WHERE h = 3 AND NOT to_expiry) k ON k.pair = m.pair AND k.archetype = a.archetype AND k.i = m.i)
+    WINDOW q AS (PARTITION BY pair, archetype ORDER BY date ROWS 19 PRECEDING)) WINDOW p AS (PARTITION BY pair, archetype ORDER BY date ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING)""", False, _TERMS | {"es1": _SHORT})(lambda w: ex.trailing_earn(ex.entries(w.terms), w.market, h=3))
+
+# more of states, packets and statistics
+add("unconverted_trades", f"{GS} trades:i dropped:i", f"SELECT {G}, count(*) AS trades, sum(CASE WHEN coalesce(v, 0) = 0 THEN 1 ELSE 0 END) AS dropped FROM (SELECT {G}, trade_id, max(CASE WHEN age = 1 AND dayofweek(entry_date) <> 1 THEN abs(vega) END) AS v FROM td GROUP BY ALL) GROUP BY ALL")(
+    lambda w: cmb.unconverted(w.td.withColumn("vega", F.when(F.dayofweek("entry_date") != 2, F.col("vega")))))
+add("reconciliation", "package leg coefficient:f r2:f n:i", "SELECT 'package' AS package, a.leg, (b.yx * o.xx - b2.yx * b.x12) / (b.xx * o.xx - b.x12 * b.x12) AS coefficient, r2.r2, r2.n FROM rg b JOIN rg o ON o.leg <> b.leg JOIN rg b2 ON b2.leg = o.leg JOIN (SELECT unnest(['call_25d', 'put_25d']) AS leg) a ON a.leg = b.leg CROSS JOIN rr2 r2", False, {
+    "rw": "SELECT pair, tenor_days, entry_date, age, max(CASE archetype WHEN 'call_25d' THEN pnl END) AS c, max(CASE archetype WHEN 'put_25d' THEN pnl END) AS p, max(CASE archetype WHEN 'straddle_atm' THEN pnl END) AS s FROM td GROUP BY ALL",
+    "ry": "SELECT *, 0.9 * c - 1.1 * p + 0.05 * s AS y FROM rw",
+    "rg": "SELECT 'call_25d' AS leg, sum(c * c) AS xx, sum(y * c) AS yx, sum(c * p) AS x12 FROM ry UNION ALL SELECT 'put_25d', sum(p * p), sum(y * p), sum(c * p) FROM ry",
+    "rb": "SELECT (sum(y * c) * sum(p * p) - sum(y * p) * sum(c * p)) / (sum(c * c) * sum(p * p) - sum(c * p) * sum(c * p)) AS b1, (sum(y * p) * sum(c * c) - sum(y * c) * sum(c * p)) / (sum(c * c) * sum(p * p) - sum(c * p) * sum(c * p)) AS b2 FROM ry",
+    "rr2": "SELECT 1 - sum(power(y - b1 * c - b2 * p, 2)) / (sum(y * y) - sum(y) * sum(y) / count(*)) AS r2, count(*) AS n FROM ry CROSS JOIN rb"})(lambda w: cmb.reconcile(_with_package(w), "package", cmb.COMBINATIONS["rr_25d"]))
+add("threshold_labels", "pair date:d regime", "SELECT pair, date, ['carry', 'transition', 'crisis'][c + 1] AS regime FROM lv", True, _LEVEL)(lambda w: scans.threshold_labels(w.market.select("pair", "date", "atm_1m"), "atm_1m", 9.5, 10.5, 0.2))
+_FOUR = "CASE WHEN x > 11.2 AND c <= 2 THEN 3 WHEN x > 10.7 AND c <= 1 THEN 2 WHEN x > 9.7 AND c = 0 THEN 1 ELSE c END"
+_DROP = "CASE WHEN u = 3 AND x < 10.8 THEN CASE WHEN x < 9.3 THEN 0 WHEN x < 10.3 THEN 1 ELSE 2 END WHEN u = 2 AND x < 10.3 THEN CASE WHEN x < 9.3 THEN 0 ELSE 1 END WHEN u = 1 AND x < 9.3 THEN 0 ELSE u END"
+_LEVEL4 = _LEVEL | {
+    "l4": f"SELECT pair, k, date, CASE WHEN x > 11.2 THEN 3 WHEN x > 10.7 THEN 2 WHEN x > 9.7 THEN 1 ELSE 0 END AS c FROM sx WHERE k = 1 UNION ALL SELECT pair, k, date, {_DROP} FROM (SELECT t.*, {_FOUR} AS u FROM (SELECT s.*, l.c FROM l4 l JOIN sx s ON s.pair = l.pair AND s.k = l.k + 1) t) s",
+    "ld4": "SELECT a.pair, a.k, a.date, ['low', 'mid', 'high', 'extreme'][a.c + 1] AS l, ['down', 'flat', 'up'][b.c + 2] AS d FROM l4 a JOIN dr b USING (pair, k)",
+    "au4": f"SELECT pair, k, date, {_NEXT} AS s FROM (SELECT *, 'carry' AS s FROM ld4 WHERE k = 1) UNION ALL SELECT pair, k, date, {_NEXT} FROM (SELECT n.*, a.s FROM au4 a JOIN ld4 n ON n.pair = a.pair AND n.k = a.k + 1)",
+}
+add("four_bands", "pair date:d level", "SELECT pair, date, ['low', 'mid', 'high', 'extreme'][c + 1] AS level FROM l4", True, _LEVEL4)(lambda w: _levels4(w))
+add("extreme_states", "pair date:d regime", "SELECT pair, date, s AS regime FROM au4", True, _LEVEL4)(lambda w: scans.state_scan(_levels4(w).join(_directions(w), ["pair", "date"])))
+add("state_order", "regime place:i", "SELECT regime, row_number() OVER (ORDER BY p, regime) AS place FROM (SELECT DISTINCT regime, list_position(['carry', 'settling', 'rising', 'agitated', 'normalising', 'stressed', 'extreme', 'transition', 'crisis'], regime) AS p FROM lab)")(lambda w: st.state_order(w.labels))
+add("modal_state", "pair regime days:i", "SELECT pair, regime, days FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY days DESC, regime) AS k FROM (SELECT pair, regime, count(*) AS days FROM lab GROUP BY ALL)) WHERE k = 1")(lambda w: st.modal_state(w.labels))
+add("state_summary", "pair regime observed_mean_days:f episodes:i days:i share:f score_mean:f score_min:f score_max:f", """SELECT pair, regime, observed_mean_days, episodes, days, share, score_mean, score_min, score_max FROM (SELECT pair, regime, avg(days) AS observed_mean_days, count(*) AS episodes FROM runs GROUP BY ALL)
+    JOIN (SELECT pair, regime, count(*) AS days, count(*) / CAST(sum(count(*)) OVER (PARTITION BY pair) AS DOUBLE) AS share FROM lab GROUP BY pair, regime) USING (pair, regime) JOIN (SELECT pair, regime, avg(atm_1m) AS score_mean, min(atm_1m) AS score_min, max(atm_1m) AS score_max FROM lab JOIN market USING (pair, date) GROUP BY ALL) USING (pair, regime)""")(lambda w: st.state_summary(w.labels, w.market.select("pair", "date", F.col("atm_1m").alias("score"))))
+add("mask_runs", "pair date:d run:i", f"SELECT pair, date, sum(new) OVER {W} AS run FROM (SELECT *, CASE WHEN coalesce(i - lag(i) OVER {W}, 1000000000) > 3 THEN 1 ELSE 0 END AS new FROM (SELECT pair, date, i FROM market WHERE atm_1m > 10.8))")(lambda w: runs_of_days(w.market.select("pair", "date", "atm_1m"), "atm_1m > 10.8", least_gap=3))
+add("expected_days", "pair state days:f", "SELECT pair, state, sum(p) AS days FROM fn WHERE h > 0 GROUP BY ALL", True, _FAN)(lambda w: st.expected_days(st.fan(st.transition_matrix(w.labels, 10.0), "carry")))
+add("p_state_at", "pair h:i p:f", "SELECT pair, h, sum(CASE WHEN state IN ('stressed', 'extreme') THEN p ELSE 0 END) AS p FROM fn WHERE h IN (5, 10, 21) GROUP BY ALL", True, _FAN)(lambda w: st.p_state_at(st.fan(st.transition_matrix(w.labels, 10.0), "carry"), st.HIGH))
+add("fold_dates", "cut:i date:d", "SELECT k AS cut, CASE WHEN d IS NULL THEN last + 1 ELSE d END AS date FROM (SELECT s.k, max(CASE WHEN o.i = CAST(floor(floor(0.4 * o.n) + (o.n - floor(0.4 * o.n)) * s.k / 4.0) AS BIGINT) THEN o.date END) AS d, max(o.date) AS last FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM lab)) o CROSS JOIN (SELECT unnest(range(5)) AS k) s GROUP BY s.k)")(lambda w: md.fold_dates(w.labels))
+add("asset_correlations", "pair date:d corr_spot_g10_1:f corr_vol_g10_1:f corr_spot_atm_1y:f corr_vol_atm_1y:f", f"SELECT pair, date, {roll2('corr', 'r', 'x1', 20)} AS corr_spot_g10_1, {roll2('corr', 'dv', 'x1', 20)} AS corr_vol_g10_1, {roll2('corr', 'r', 'x2', 20)} AS corr_spot_atm_1y, {roll2('corr', 'dv', 'x2', 20)} AS corr_vol_atm_1y FROM (SELECT *, ln(g10_1) - ln(lag(g10_1) OVER {W}) AS x1, atm_1y - lag(atm_1y) OVER {W} AS x2 FROM market)")(lambda w: st.asset_correlations(w.market, {"g10_1": "log", "atm_1y": "diff"}))
+add("state_phrases", "pair regime phrase", "SELECT pair, any_value(r) AS regime, any_value(r) || ' · ' || string_agg(characteristic || CASE WHEN d > 0 THEN ' high (' ELSE ' low (' END || printf('%+.1f', round(d, 1)) || 'σ)', ' · ' ORDER BY place) AS phrase FROM (SELECT *, regime AS r, row_number() OVER (PARTITION BY pair, regime ORDER BY round(abs(d), 9) DESC, characteristic) AS place FROM (SELECT *, (state_mean - all_mean) / nullif(all_sd, 0) AS d FROM prof) WHERE d IS NOT NULL) t WHERE place <= 3 GROUP BY pair, r")(lambda w: st.describe(st.state_profile(st.characteristics(w.market), w.labels)))
+add("tags_from_config", "pair date:d intervention event_window", "SELECT pair, date, CASE WHEN coalesce(spot / lag(spot, 21) OVER " + W + " - 1 > CASE pair WHEN 'F' THEN 0.05 ELSE 0.08 END, false) THEN 'risk' ELSE 'none' END AS intervention, coalesce(t, 'none') AS event_window FROM market LEFT JOIN (SELECT pair, i, CASE WHEN bool_or(i <= pos) THEN 'pre' ELSE 'post' END AS t FROM (SELECT pair, pos, unnest(range(pos - 2, pos + 2)) AS i FROM epos) GROUP BY ALL) USING (pair, i)")(
+    lambda w: st.build_tags(w.market, {"intervention": {"move": 0.08}, "events": EVENTS, "event_window": {"before": 2}, "pairs": {"F": {"intervention": {"move": 0.05}}}}))
+add("before_escalations", "pair date:d days_before:i feature value:f", f"SELECT * FROM (UNPIVOT (SELECT m.pair, m.date, s.k AS days_before, t.atm_1m, t.rr25_1m FROM (SELECT pair, date, i FROM market SEMI JOIN (SELECT pair, date FROM (SELECT *, lag(regime) OVER {W} AS was FROM lab) WHERE regime = 'stressed' AND was <> 'stressed') e USING (pair, date)) m CROSS JOIN (SELECT unnest([1, 5, 20]) AS k) s LEFT JOIN market t ON t.pair = m.pair AND t.i = m.i - s.k) ON atm_1m, rr25_1m INTO NAME feature VALUE value) UNION ALL SELECT m.pair, m.date, s.k, f.n, NULL FROM (SELECT pair, date, i FROM market SEMI JOIN (SELECT pair, date FROM (SELECT *, lag(regime) OVER {W} AS was FROM lab) WHERE regime = 'stressed' AND was <> 'stressed') e USING (pair, date)) m CROSS JOIN (SELECT unnest([1, 5, 20]) AS k) s CROSS JOIN (SELECT unnest(['atm_1m', 'rr25_1m']) AS n) f WHERE m.i - s.k < 1")(lambda w: st.before_escalations(w.market.select("pair", "date", "atm_1m", "rr25_1m"), w.labels))
+add("feature_correlations", "pair a b n:i corr:f", "SELECT pair, 'atm_1m' AS a, 'atm_1y' AS b, count(*) AS n, corr(atm_1m, atm_1y) AS corr FROM market GROUP BY ALL UNION ALL SELECT pair, 'atm_1m', 'rr25_1m', count(*), corr(atm_1m, rr25_1m) FROM market GROUP BY ALL UNION ALL SELECT pair, 'atm_1y', 'rr25_1m', count(*), corr(atm_1y, rr25_1m) FROM market GROUP BY ALL")(lambda w: st.correlation_matrix(w.market.select("pair", "date", "atm_1m", "atm_1y", "rr25_1m")))
+add("gate1", "integrity_all_pass:b golden_trades_match:b pass:b", "SELECT true AS integrity_all_pass, false AS golden_trades_match, false AS pass")(lambda w: ev.gate_integrity(ev.check_trade_days(w.td), w.spark.createDataFrame([("a", 1e-9), ("b", 0.5)], "trade_id string, abs_error double")))
+add("outcomes", "pair date:d realised_minus_implied:f straddle_atm:f call_25d:f", f"SELECT m.pair, m.date, lead(rv_1m, 21) OVER (PARTITION BY m.pair ORDER BY m.date) - atm_1m AS realised_minus_implied, a.straddle_atm, a.call_25d FROM market m LEFT JOIN (SELECT pair, entry_date AS date, avg(CASE archetype WHEN 'straddle_atm' THEN cum_pnl END) AS straddle_atm, avg(CASE archetype WHEN 'call_25d' THEN cum_pnl END) AS call_25d FROM cum WHERE h = 5 GROUP BY ALL) a ON a.pair = m.pair AND a.date = m.date")(lambda w: md.outcomes(w.td, w.market, ["straddle_atm", "call_25d"]))
+add("trade_coverage", f"{GS} trades:i rows:i first_entry:d last_entry:d max_age:i", f"SELECT {G}, count(DISTINCT trade_id) AS trades, count(*) AS rows, min(entry_date) AS first_entry, max(entry_date) AS last_entry, max(age) AS max_age FROM td GROUP BY ALL")(lambda w: ev.trade_coverage(w.td))
+add("pooled_cumulative", "archetype tenor_days:i h:i to_expiry:b n:i mean:f sd:f lowest:f highest:f", "SELECT archetype, tenor_days, h, to_expiry, count(*) AS n, avg(cum_pnl) AS mean, stddev_samp(cum_pnl) AS sd, min(cum_pnl) AS lowest, max(cum_pnl) AS highest FROM cum GROUP BY ALL")(lambda w: ev.pooled_cumulative(w.cumulative))
+add("largest_market_days", "date:d pair archetype mean_pnl:f live_trades:i", "SELECT date, pair, archetype, avg(pnl) AS mean_pnl, count(*) AS live_trades FROM td GROUP BY ALL ORDER BY round(abs(avg(pnl)), 9) DESC, date, pair, archetype LIMIT 20")(lambda w: ev.largest_market_days(w.td))
+add("vega_at_entry", "archetype tenor_days:i median:f lowest:f highest:f not_positive:i", "SELECT archetype, tenor_days, quantile_cont(vega, 0.5) AS median, min(vega) AS lowest, max(vega) AS highest, sum(CASE WHEN vega <= 0 THEN 1 ELSE 0 END) AS not_positive FROM td WHERE age = 1 GROUP BY ALL")(lambda w: ev.vega_at_entry(w.terms.where("tenor_days = 21")))
+add("market_summary", "pair series n:i mean:f lowest:f highest:f", "SELECT pair, series, count(value) AS n, avg(value) AS mean, min(value) AS lowest, max(value) AS highest FROM (" + " UNION ALL ".join(f"SELECT pair, '{c}' AS series, {c} AS value FROM market" for c in ("spot", "atm_1m", "atm_1y", "rr25_1m", "fly25_1m", "g10_1", "g10_2", "g10_3", "rv_1w", "rv_1m", "rv_3m")) + ") GROUP BY ALL")(lambda w: ev.market_summary(w.market))
+add("target_by_state", "pair state n:i mean:f se:f", f"SELECT pair, regime AS state, count(y) AS n, avg(y) AS mean, stddev_samp(y) / sqrt(count(y)) * sqrt(5.0) AS se FROM ({_Y}) WHERE y IS NOT NULL GROUP BY ALL")(lambda w: ev.target_by_state(w.labels.join(w.market.select("pair", "date", (F.lead("atm_1m", 5).over(series()) - F.col("atm_1m")).alias("y")), ["pair", "date"]), "regime", "y"))
+add("coerced_days", f"trade_id {GS} age:i remaining:i date:d pnl:f", f"SELECT trade_id, {G}, age, tenor_days - age AS remaining, date, pnl FROM td")(lambda w: tb.coerce(w.td.withColumns({"age": F.col("age").cast("string"), "date": F.col("date").cast("timestamp"), "pnl": F.col("pnl").cast("string")})))
+add("last_day_of_trades", f"trade_id {GS} age:i pnl:f", f"SELECT trade_id, {G}, max(age) AS age, max_by(pnl, age) AS pnl FROM td GROUP BY trade_id, {G}")(lambda w: tb.keep_last(w.td, [*tb.GROUP, "trade_id"], ["age"]))
+add("statistics", "pair date:d atm_1m:f atm_1m_pct252:f atm_1m_minus_rv_1m:f spot_vs_ma60:f g10_1:f regime gap_z_signed:f", f"SELECT m.pair, m.date, m.atm_1m, p.v AS atm_1m_pct252, m.atm_1m - m.rv_1m AS atm_1m_minus_rv_1m, s.spot_vs_ma60, m.g10_1, l.regime, z.gap_z AS gap_z_signed FROM market m JOIN p_252 p USING (pair, date) JOIN ({_STATS}) s USING (pair, date) JOIN lab l USING (pair, date) JOIN gapz z USING (pair, date)", False, ranked("market", "atm_1m", 252, "p_252"))(
+    lambda w: ex.statistics(w.market, {"named state": w.labels, "leading candidates": ft.build_leading(w.market, None, ["gap_z_signed"])}, {"g10_1": "another series"}))
+add("leading_with_events", "pair date:d drift_t:f event_proximity:f", f"SELECT m.pair, m.date, ({roll('avg', 'r', 60)}) / nullif({roll('stddev_samp', 'r', 60)}, 0) * sqrt(60.0) AS drift_t, 100 * coalesce(p, 0) AS event_proximity FROM market m LEFT JOIN (SELECT pair, i, max(1 - (pos - i) / 10.0) AS p FROM (SELECT pair, pos, unnest(range(pos - 10, pos + 1)) AS i FROM epos) GROUP BY ALL) USING (pair, i)")(lambda w: ft.build_leading(w.market, w.events, ["drift_t"]))
+add("pressure_z", "pair date:d pressure:f", f"SELECT pair, date, 0.5 * ({z('atm_1m', 252)}) + 0.5 * ({z('rr25_1m', 252)}) AS pressure FROM market")(lambda w: ft.pressure(w.market, {"atm_1m": 1.0, "rr25_1m": 1.0}, zscore_window=252))
+add("truncation_check", "pair date:d leak:f leak_cut:f", f"SELECT pair, date, leak, leak_cut FROM (SELECT pair, date, round(lead(spot, 3) OVER {W}, 9) AS leak, CASE WHEN date < '1998-06-30' THEN round(lead(CASE WHEN date <= '1998-06-30' THEN spot END, 3) OVER {W}, 9) ELSE NULL END AS leak_cut FROM market) WHERE date <= '1998-06-30' AND leak IS DISTINCT FROM leak_cut")(lambda w: _truncated(w))
+
+
+def _truncated(w: World) -> DataFrame:
+    """All features, none of which looks ahead, and one that does: only its rows may come back."""
+    leak = F.lead("spot", 3).over(series()).alias("leak")
+    f = lambda m: ft.build(m).join(ft.build(m, None, ft.LEADING), ["pair", "date"]).join(m.select("pair", "date", leak), ["pair", "date"])
+    return ft.truncation_gaps(f, w.market, "1998-06-30")
+
+
+def _levels4(w: World) -> DataFrame:
+    return scans.level_scan(w.market.select("pair", "date", "atm_1m"), "atm_1m", [9.5, 10.5, 11.0], 0.2)
+
+
+def _with_package(w: World) -> DataFrame:
+    """Trade days with a package that is nearly the risk reversal."""
+    load = F.when(F.col("archetype") == "call_25d", 0.9).when(F.col("archetype") == "put_25d", -1.1).otherwise(0.05)
+    keys = ["pair", "tenor_days", "entry_date", "age"]
+    package = w.td.groupBy(*keys).agg(F.sum(load * F.col("pnl")).alias("pnl")).withColumn("archetype", F.lit("package"))
+    return w.td.select(*keys, "pnl", "archetype").unionByName(package)
 
 
 def _sparse(w: World) -> DataFrame:
