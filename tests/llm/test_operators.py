@@ -561,6 +561,14 @@ def test_op9_repetitions_agree():
     assert (nodes[:, 7] >= 0).sum() == 1  # the far repetition is linked
 
 
+def test_op9_evidence_in_both_forms(spark):
+    rows = ["nothing here", "Mr Keller", "a\nDR Keller", "form ms", "forms", "x@y", "year 7", "TOKEN", "my tokens", "hadr drei", "", "Señora", "the pwd", "kpwd"]
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(list(enumerate(rows)), "i int, text string").select("i", F.lower("text").rlike(pii._EVIDENCE).alias("e"))
+    assert [r["e"] for r in df.orderBy("i").collect()] == [pii.evident(t) for t in rows]
+
+
 def test_op9_texts_do_not_touch():
     a, b = "mail x9@a.example.com", "y0 and 10.0.0.1"
     found = next(pii._find(iter([__import__("pyarrow").RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [a, b, ""]})])))
