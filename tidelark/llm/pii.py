@@ -368,9 +368,13 @@ def find_personal_data(docs: DataFrame, training_docs: int = TRAINING_DOCS, trai
 
 
 def _learn(docs: DataFrame, training_docs: int, training_nodes: int, training_chars: int) -> dict[str, np.ndarray] | None:
-    some = texts(docs).where((F.char_length("text") <= training_chars) & F.lower("text").rlike(_EVIDENCE))
-    chosen = some.withColumn("h", F.xxhash64("doc_id", "text")).orderBy("h", "doc_id", "text").limit(training_docs).repartition(16, "h")
-    found = chosen.drop("h").mapInArrow(_find, _FOUND).select("nodes").where(F.size("nodes") > 0)
+    marked = texts(docs).withColumn("h", F.xxhash64("doc_id", "text"))
+    fits = (F.char_length("text") <= training_chars) & F.lower("text").rlike(_EVIDENCE)
+    last = marked.where(fits).select("h").distinct().orderBy("h").limit(training_docs).agg(F.max("h")).first()[0]
+    if last is None:
+        return None
+    chosen = marked.where(F.col("h") <= last).where(fits).groupBy("h").agg(F.first("text").alias("text"))  # equal rows are one
+    found = chosen.select(F.col("h").alias("doc_id"), "text").mapInArrow(_find, _FOUND).select("nodes").where(F.size("nodes") > 0)
     sample, held = [], 0
     for nodes in sorted(r["nodes"] for r in found.collect()):  # bounded: training_docs texts of training_chars
         if held + len(nodes) // WIDTH <= training_nodes:
