@@ -280,7 +280,7 @@ def distinguishing(profile: DataFrame, top: int = 3) -> DataFrame:
 
 def describe(profile: DataFrame, top: int = 3) -> DataFrame:
     """A phrase for each state: what is high or low in it, and by how many standard deviations."""
-    d = F.round("d", 1)
+    d = F.round("d", 1) + F.lit(0.0)  # no minus before a zero
     part = F.concat(F.col("characteristic"), F.when(F.col("d") > 0, " high (").otherwise(" low ("), F.format_string("%+.1f", d), F.lit("σ)"))
     held = distinguishing(profile, top).groupBy("pair", "regime").agg(F.array_sort(F.collect_list(F.struct("place", part.alias("t")))).alias("p"))
     return held.select("pair", "regime", F.concat_ws(" · ", "regime", F.concat_ws(" · ", F.col("p.t"))).alias("phrase"))

@@ -416,7 +416,7 @@ add("expected_days", "pair state days:f", "SELECT pair, state, sum(p) AS days FR
 add("p_state_at", "pair h:i p:f", "SELECT pair, h, sum(CASE WHEN state IN ('stressed', 'extreme') THEN p ELSE 0 END) AS p FROM fn WHERE h IN (5, 10, 21) GROUP BY ALL", True, _FAN)(lambda w: st.p_state_at(st.fan(st.transition_matrix(w.labels, 10.0), "carry"), st.HIGH))
 add("fold_dates", "cut:i date:d", "SELECT k AS cut, CASE WHEN d IS NULL THEN last + 1 ELSE d END AS date FROM (SELECT s.k, max(CASE WHEN o.i = CAST(floor(floor(0.4 * o.n) + (o.n - floor(0.4 * o.n)) * s.k / 4.0) AS BIGINT) THEN o.date END) AS d, max(o.date) AS last FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM lab)) o CROSS JOIN (SELECT unnest(range(5)) AS k) s GROUP BY s.k)")(lambda w: md.fold_dates(w.labels))
 add("asset_correlations", "pair date:d corr_spot_g10_1:f corr_vol_g10_1:f corr_spot_atm_1y:f corr_vol_atm_1y:f", f"SELECT pair, date, {roll2('corr', 'r', 'x1', 20)} AS corr_spot_g10_1, {roll2('corr', 'dv', 'x1', 20)} AS corr_vol_g10_1, {roll2('corr', 'r', 'x2', 20)} AS corr_spot_atm_1y, {roll2('corr', 'dv', 'x2', 20)} AS corr_vol_atm_1y FROM (SELECT *, ln(g10_1) - ln(lag(g10_1) OVER {W}) AS x1, atm_1y - lag(atm_1y) OVER {W} AS x2 FROM market)")(lambda w: st.asset_correlations(w.market, {"g10_1": "log", "atm_1y": "diff"}))
-add("state_phrases", "pair regime phrase", "SELECT pair, any_value(r) AS regime, any_value(r) || ' · ' || string_agg(characteristic || CASE WHEN d > 0 THEN ' high (' ELSE ' low (' END || printf('%+.1f', round(d, 1)) || 'σ)', ' · ' ORDER BY place) AS phrase FROM (SELECT *, regime AS r, row_number() OVER (PARTITION BY pair, regime ORDER BY round(abs(d), 9) DESC, characteristic) AS place FROM (SELECT *, (state_mean - all_mean) / nullif(all_sd, 0) AS d FROM prof) WHERE d IS NOT NULL) t WHERE place <= 3 GROUP BY pair, r")(lambda w: st.describe(st.state_profile(st.characteristics(w.market), w.labels)))
+add("state_phrases", "pair regime phrase", "SELECT pair, any_value(r) AS regime, any_value(r) || ' · ' || string_agg(characteristic || CASE WHEN d > 0 THEN ' high (' ELSE ' low (' END || printf('%+.1f', round(d, 1) + 0.0) || 'σ)', ' · ' ORDER BY place) AS phrase FROM (SELECT *, regime AS r, row_number() OVER (PARTITION BY pair, regime ORDER BY round(abs(d), 9) DESC, characteristic) AS place FROM (SELECT *, (state_mean - all_mean) / nullif(all_sd, 0) AS d FROM prof) WHERE d IS NOT NULL) t WHERE place <= 3 GROUP BY pair, r")(lambda w: st.describe(st.state_profile(st.characteristics(w.market), w.labels)))
 add("tags_from_config", "pair date:d intervention event_window", "SELECT pair, date, CASE WHEN coalesce(spot / lag(spot, 21) OVER " + W + " - 1 > CASE pair WHEN 'F' THEN 0.05 ELSE 0.08 END, false) THEN 'risk' ELSE 'none' END AS intervention, coalesce(t, 'none') AS event_window FROM market LEFT JOIN (SELECT pair, i, CASE WHEN bool_or(i <= pos) THEN 'pre' ELSE 'post' END AS t FROM (SELECT pair, pos, unnest(range(pos - 2, pos + 2)) AS i FROM epos) GROUP BY ALL) USING (pair, i)")(
     lambda w: st.build_tags(w.market, {"intervention": {"move": 0.08}, "events": EVENTS, "event_window": {"before": 2}, "pairs": {"F": {"intervention": {"move": 0.05}}}}))
 add("before_escalations", "pair date:d days_before:i feature value:f", f"SELECT * FROM (UNPIVOT (SELECT m.pair, m.date, s.k AS days_before, t.atm_1m, t.rr25_1m FROM (SELECT pair, date, i FROM market SEMI JOIN (SELECT pair, date FROM (SELECT *, lag(regime) OVER {W} AS was FROM lab) WHERE regime = 'stressed' AND was <> 'stressed') e USING (pair, date)) m CROSS JOIN (SELECT unnest([1, 5, 20]) AS k) s LEFT JOIN market t ON t.pair = m.pair AND t.i = m.i - s.k) ON atm_1m, rr25_1m INTO NAME feature VALUE value) UNION ALL SELECT m.pair, m.date, s.k, f.n, NULL FROM (SELECT pair, date, i FROM market SEMI JOIN (SELECT pair, date FROM (SELECT *, lag(regime) OVER {W} AS was FROM lab) WHERE regime = 'stressed' AND was <> 'stressed') e USING (pair, date)) m CROSS JOIN (SELECT unnest([1, 5, 20]) AS k) s CROSS JOIN (SELECT unnest(['atm_1m', 'rr25_1m']) AS n) f WHERE m.i - s.k < 1")(lambda w: st.before_escalations(w.market.select("pair", "date", "atm_1m", "rr25_1m"), w.labels))
