@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 pytest.importorskip("tidelark.llm.llm_queries")
-from tidelark.llm import lm, mixing, packing, pii, quality, sharding, simhash, suffix_dedup, tiff, token_output  # noqa: E402
+from tidelark.llm import _chunks, lm, mixing, packing, pii, quality, sharding, simhash, suffix_dedup, tiff, token_output  # noqa: E402
 from tidelark.llm._tokens import Encoder  # noqa: E402
 from tidelark.llm.llm_queries import queries, tokenizer_path  # noqa: E402
 
@@ -283,6 +283,15 @@ def test_op5_model_is_the_mixture(spark):
         assert got[d]["score"] == pytest.approx(s)
 
 
+def test_op5_same_through_relays(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = ({r["doc_id"]: r for r in lm.score_documents(df, **kw).collect()} for kw in ({}, {"chunk_bytes": 8000, "fan": 2}))
+    assert one.keys() == many.keys()
+    for d, r in one.items():
+        assert tuple(r)[:5] == tuple(many[d])[:5]
+        assert r["base_score"] == pytest.approx(many[d]["base_score"]) and r["score"] == pytest.approx(many[d]["score"])
+
+
 def test_op5_awkward(awkward, empty):
     rows = lm.score_documents(awkward).collect()
     assert len(rows) == len(AWKWARD) and all(math.isfinite(r["score"]) for r in rows)
@@ -479,6 +488,28 @@ def test_op8_awkward(awkward, empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("fan", [3, 2])
+def test_op8_same_through_relays(spark, sf, docs, fan):
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"), chunk_bytes=8000, fan=fan).collect())
+    assert got == plain_removal([(d, r["text"] or "") for d, r in docs.items()])
+
+
+def test_hops_rows_grow_with_chunks_alone():
+    """Of each hop: its bits are bounded, and groups times prefixes give back the bits of all buckets."""
+    for bits in range(1, 40):
+        hops = _chunks.hop_bits(bits, 10)
+        assert sum(hops) == bits and max(hops) <= 10 and len(hops) == -(-bits // 10)
+    keys = np.sort(np.random.default_rng(3).integers(0, 1 << 64, 5000, np.uint64))
+    hops = _chunks.hop_bits(11, 4)
+    level = {(_chunks.group_of(7, 11), 0): keys}
+    done = 0
+    for b in hops:
+        level = {(g >> b, (p << b) + i): k[x:y] for (g, p), k in level.items() for edge in [_chunks.cut_keys(k, b, done, p)] for i, (x, y) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if y > x}
+        done += b
+    assert {g for g, _ in level} == {0}
+    assert all((k >> np.uint64(64 - 11) == p).all() for (_, p), k in level.items()) and sum(map(len, level.values())) == 5000
+
+
 def test_suffix_order():
     rng = np.random.default_rng(5)
     text = rng.integers(1, 3, 4000).astype(np.uint16)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelark.llm._chunks import SENT, answer, bucket_bits, chunk_table, send, squeeze, unsqueeze, with_replies
+from tidelark.llm._chunks import CHUNK, FAN, SENT, answer, bucket_bits, chunk_table, hop_bits, send, squeeze, unsqueeze, with_replies
 from tidelark.llm._common import stored
 
 FOLDS, HELD_OUT, EM_STEPS, BINS = 7, 2, 60, 160
@@ -88,10 +88,16 @@ class ChunkTokens:
         return back[: len(self.word_keys)][self.word], back[len(self.word_keys) :][self.pair_of]
 
 
-def _merge(keys: np.ndarray, groups: np.ndarray, info: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    totals = np.bincount(groups, weights=info, minlength=len(keys)).astype(np.int64)
+def _fold(n: int, groups: np.ndarray, info: np.ndarray) -> np.ndarray:
+    totals = np.zeros(n, np.int64)
+    np.add.at(totals, groups, info)
+    return totals
+
+
+def _tell(keys: np.ndarray, totals: np.ndarray) -> list[int]:
+    """Training tokens, and different words among them."""
     words = totals[(keys & np.uint64(1)) == 0]
-    return totals[groups], np.array([words.sum(), (words > 0).sum()])
+    return [int(words.sum()), int((words > 0).sum())]
 
 
 def _before(c1: np.ndarray, starts: np.ndarray, c_end: int) -> np.ndarray:
@@ -128,28 +134,29 @@ def interpolation_weights(cells: np.ndarray, counts: np.ndarray, vocabulary: int
     return np.maximum(lam, [[0, 1e-9, 1e-9]])
 
 
-def score_documents(docs: DataFrame, em_steps: int = EM_STEPS) -> DataFrame:
+def score_documents(docs: DataFrame, em_steps: int = EM_STEPS, chunk_bytes: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Base score and log10 probability of every whole text.
 
     docs: doc_id, text; other columns are left aside. A null or empty text is its end token
     alone; repeated rows count as often as they come; an empty table, or one without a
     training document, gives a uniform model. Training and held-out documents are told apart
-    by the checksum of their ids alone.
+    by the checksum of their ids alone. chunk_bytes and fan (bits by which a hop of the exchange
+    deals at most) change no result.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
-    chunks = chunk_table(docs)
-    bits = bucket_bits(chunks)
+    chunks = chunk_table(docs, chunk_bytes)
+    hops = hop_bits(bucket_bits(chunks), fan)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 t = ChunkTokens(r["ids"], r["lengths"], r["body"])
-                yield send(r["unit"], t.keys, t.counts().astype(np.uint32), bits)
+                yield send(r["unit"], t.keys, t.counts(), hops)
 
-    replies = answer(chunks.mapInArrow(count, SENT), _merge, np.uint32, "lm-counts")
-    told = [np.frombuffer(r["reply"], np.int64) for r in replies.where("unit < 0").select("reply").toLocalIterator()]
-    total, vocabulary = (int(x) for x in np.sum(told, axis=0)) if told else (0, 0)
+    replies = answer(chunks.mapInArrow(count, SENT), _fold, np.int64, hops, "lm-counts", _tell)
+    told = replies.where("unit < 0").agg(*(F.sum(F.get("told", F.lit(i))) for i in range(2))).first()
+    total, vocabulary = (int(x or 0) for x in told)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,9 +178,9 @@ def score_documents(docs: DataFrame, em_steps: int = EM_STEPS) -> DataFrame:
     looked = pa.schema([("c_end", pa.int64()), ("ids", longs), ("n", longs), ("known", longs), ("base", pa.list_(pa.float64())), ("c1", pa.binary()), ("c2", pa.binary()), ("cells", longs), ("cell_n", longs)])
     fields = "c_end long, ids array<long>, n array<long>, known array<long>, base array<double>, c1 binary, c2 binary, cells array<long>, cell_n array<long>"
     held = stored(with_replies(chunks, replies).mapInArrow(look_up, fields), "lm-held")
-    cells = held.select(F.explode(F.arrays_zip("cells", "cell_n")).alias("x")).groupBy("x.cells").agg(F.sum("x.cell_n").alias("n")).collect()  # 65 * BINS * BINS rows at most
-    code = np.array([r["cells"] for r in cells], np.int64)
-    lam = interpolation_weights(np.stack([code // (BINS * BINS), code // BINS % BINS, code % BINS], axis=1), np.array([float(r["n"]) for r in cells]), vocabulary, em_steps)
+    cells = held.select(F.explode(F.arrays_zip("cells", "cell_n")).alias("x")).groupBy("x.cells").agg(F.sum("x.cell_n").alias("n")).toArrow()  # 65 * BINS * BINS rows at most
+    code = cells.column("cells").to_numpy().astype(np.int64)
+    lam = interpolation_weights(np.stack([code // (BINS * BINS), code // BINS % BINS, code % BINS], axis=1), cells.column("n").to_numpy().astype(float), vocabulary, em_steps)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
