@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 
 pytest.importorskip("tidelark.llm.llm_queries")
 from tidelark.llm import _chunks, lm, mixing, packing, pii, quality, sharding, simhash, suffix_dedup, tiff, token_output  # noqa: E402
@@ -494,6 +495,30 @@ def test_op8_same_through_relays(spark, sf, docs, fan):
     assert got == plain_removal([(d, r["text"] or "") for d, r in docs.items()])
 
 
+@pytest.mark.parametrize("hot", [0, 2, 40])
+def test_op8_same_with_frequent_minimizers_cut(spark, sf, docs, hot):
+    got = Counter(tuple(r) for r in suffix_dedup.remove_repeats(spark.read.parquet(f"{sf}/documents.parquet"), chunk_bytes=40000, fan=4, hot=hot).collect())
+    assert got == plain_removal([(d, r["text"] or "") for d, r in docs.items()])
+
+
+def test_op8_blocks_stay_small():
+    """Of a passage with many surroundings, no key gets more than a bounded part; leading bits deal minimizers evenly."""
+    rng = np.random.default_rng(11)
+    letters = np.frombuffer(b"etaoin shrdlu", np.uint8)
+    raw = [rng.choice(letters, 60).tobytes() + PASSAGE.encode() + rng.choice(letters, 60).tobytes() for _ in range(3000)]
+    m = suffix_dedup.ChunkMinimizers([len(x) for x in raw], zstandard.compress(b"".join(raw)), 50, 18)
+    share = np.bincount((m.keys >> np.uint64(57)).astype(int), minlength=128) / len(m.keys)
+    common = np.sort(share)[-20:]  # those of the passage itself stand in every text
+    assert np.sort(share)[64] > 0.001 and common[0] < 0.03
+    keys, of, times = np.unique(m.keys, return_inverse=True, return_counts=True)
+    told = (times * 2 + (times > 1)).astype(np.uint32)[of]
+    whole, cut = (suffix_dedup.ChunkFragments(m, np.arange(3000), told, 3, hot) for hot in (1 << 15, 100))
+    largest = [int(np.bincount(np.unique(f.keys, return_inverse=True)[1], weights=list(map(len, f.parts))).max()) for f in (whole, cut)]
+    assert largest[0] > 50_000 and largest[1] <= 13 * 13 * 51
+    windows = [Counter(m.raw[i : i + 50] for a, b in zip(f.first, f.last, strict=True) for i in range(a, b + 1)) for f in (whole, cut)]
+    assert windows[0] == windows[1]
+
+
 def test_hops_rows_grow_with_chunks_alone():
     """Of each hop: its bits are bounded, and groups times prefixes give back the bits of all buckets."""
     for bits in range(1, 40):
