@@ -48,3 +48,22 @@ def test_slow_ones_answer(name, spark, sf):
     if name == "sweep_table":
         base = rows[rows["variant"] == "base"]
         assert (base["agreement"] == 1).all() and not base["fell_back"].any() and rows["gate2_fit"].notna().any() and rows["gate2_confirm"].notna().any()
+
+
+@pytest.fixture(scope="module")
+def calm(spark, sf, tmp_path_factory):
+    """Tables in which one pair's vol is 10 on all days: never in carry, its condition never on."""
+    from pyspark.sql import functions as F
+
+    out = str(tmp_path_factory.mktemp("calm"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    lines.withColumn("l_discount", F.when(F.col("l_linestatus") == "F", 0.05).otherwise(F.col("l_discount"))).write.parquet(f"{out}/lineitem.parquet")
+    return out
+
+
+@pytest.mark.parametrize("name", ["cond_on_off", "cond_fit_confirm"])
+def test_condition_never_met(name, spark, calm):
+    c = duckdb.connect()
+    c.sql(f"create view lineitem as select * from '{calm}/lineitem.parquet/*.parquet'")
+    ours, theirs = catalogue.answer(name, spark, calm).toPandas(), c.sql(SQL[name]).df()
+    assert plain(ours) == plain(theirs) != []
