@@ -67,3 +67,11 @@ def test_condition_never_met(name, spark, calm):
     c.sql(f"create view lineitem as select * from '{calm}/lineitem.parquet/*.parquet'")
     ours, theirs = catalogue.answer(name, spark, calm).toPandas(), c.sql(SQL[name]).df()
     assert plain(ours) == plain(theirs) != []
+
+
+@pytest.mark.parametrize("name", ["fan_21"])
+def test_start_state_never_seen(name, spark, calm):
+    c = duckdb.connect()
+    c.sql(f"create view lineitem as select * from '{calm}/lineitem.parquet/*.parquet'")
+    ours, theirs = catalogue.answer(name, spark, calm).toPandas(), c.sql(SQL[name]).df()
+    assert plain(ours) == plain(theirs) and set(ours["pair"]) == {"F", "O"}
