@@ -69,7 +69,7 @@ def test_condition_never_met(name, spark, calm):
     assert plain(ours) == plain(theirs) != []
 
 
-@pytest.mark.parametrize("name", ["expected_days", "fan_21"])
+@pytest.mark.parametrize("name", ["expected_days", "fan_21", "p_state_at"])
 def test_start_state_never_seen(name, spark, calm):
     c = duckdb.connect()
     c.sql(f"create view lineitem as select * from '{calm}/lineitem.parquet/*.parquet'")
