@@ -87,7 +87,7 @@ def all_calm(spark, sf, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", ["expected_days"])
+@pytest.mark.parametrize("name", ["expected_days", "p_state_at"])
 def test_start_state_in_no_pair(name, spark, all_calm):
     c = duckdb.connect()
     c.sql(f"create view lineitem as select * from '{all_calm}/lineitem.parquet/*.parquet'")
